@@ -34,16 +34,13 @@ def early_stop(
     ``stop_iter`` is null when the run never stops early; ``best_iter`` and ``best_value``
     are the last improvement up to the stop.
     """
-    order = Window.partitionBy(run).orderBy(iteration)
+    order = Window.partitionBy(run).orderBy("_iter")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     value = null_if_nan(metric)
-    marked = log.select(
-        run,
-        F.col(iteration).alias("_iter"),
-        value.alias("_value"),
-        F.row_number().over(order).alias("_row"),
-        F.min(value).over(before).alias("_least"),
+    entries = log.select(run, F.col(iteration).alias("_iter"), value.alias("_value"))
+    marked = entries.withColumns(
+        {"_row": F.row_number().over(order), "_least": F.min("_value").over(before)}
     )
     improved = F.col("_value").isNotNull() & (F.col("_least").isNull() | (F.col("_value") < F.col("_least")))
     waited = marked.withColumn("_improved", improved).withColumn(

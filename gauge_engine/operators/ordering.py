@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 DEFAULT_BUCKETS = 256
 
 
-def _bucket_of(key: str, bounds: Column) -> Column:
+def _bucket_of(key: str, bounds: str) -> Column:
     """How many bounds lie at or below the key: an order-preserving bucket number."""
     return F.aggregate(bounds, F.lit(0), lambda acc, b: acc + (b <= F.col(key)).cast("int"))
 
@@ -31,20 +31,24 @@ def ordered_prefix(
         .limit(buckets)
         .agg(F.sort_array(F.collect_list(key)).alias("bounds"))
     )
-    placed = df.withColumn("_bucket", _bucket_of(key, bounds.scalar()))
+    placed = (
+        df.withColumn("_bounds", bounds.scalar())
+        .withColumn("_bucket", _bucket_of(key, "_bounds"))
+        .drop("_bounds")
+    )
     earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = (
         placed.groupBy("_bucket")
         .agg(F.sum(value).alias("_total"))
-        .select("_bucket", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
+        .select("_bucket", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_earlier"))
     )
     inside = Window.partitionBy("_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     return (
         placed.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
         # At most buckets + 1 rows by construction.
         .join(F.broadcast(totals), "_bucket")
-        .withColumn(out, F.col("_offset") + F.col("_inside"))
-        .drop("_bucket", "_inside", "_offset")
+        .withColumn(out, F.col("_earlier") + F.col("_inside"))
+        .drop("_bucket", "_inside", "_earlier")
     )
 
 

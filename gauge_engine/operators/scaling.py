@@ -60,6 +60,7 @@ def fit_scaler(
 
 def apply_scaler(windows: DataFrame, scaler: DataFrame, block: str = "x") -> DataFrame:
     """Standardise matrix blocks with a one-row scaler table."""
-    return windows.withColumn(
-        block, scale_block(block, scaler.select("mean").scalar(), scaler.select("std").scalar())
+    fitted = windows.withColumns(
+        {"_mean": scaler.select("mean").scalar(), "_std": scaler.select("std").scalar()}
     )
+    return fitted.withColumn(block, scale_block(block, "_mean", "_std")).drop("_mean", "_std")

@@ -9,7 +9,9 @@ from pyspark.sql import types as T
 from gauge_engine.columns import (
     INTERVALS_SCHEMA,
     METRIC_LOG_SCHEMA,
+    PREDICTIONS_SCHEMA,
     STATIONS,
+    TRUTH_SCHEMA,
     SensorColumns,
     index_schema,
     readings_schema,
@@ -24,6 +26,22 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({name: null_if_nan(name) for name in floating})
 
 
+def _read_by_name(
+    spark: SparkSession, path: str, declared: T.StructType, other: T.DataType | None = None, **options: str
+) -> DataFrame:
+    """CSV with a header in any column order; only the header line is looked at up front.
+
+    Declared columns get their declared type. Others get the type ``other``, or are left
+    out when it is not given.
+    """
+    reader = spark.read.options(header=True, **options)
+    header = reader.csv(path).columns
+    types = {f.name: f.dataType for f in declared.fields}
+    schema = T.StructType([T.StructField(c, types.get(c, other or T.StringType())) for c in header])
+    df = reader.schema(schema).csv(path)
+    return df if other else df.select(*[c for c in header if c in types])
+
+
 def read_readings(
     spark: SparkSession,
     path: str,
@@ -31,14 +49,14 @@ def read_readings(
     schema: T.StructType | None = None,
     fmt: str = "csv",
 ) -> DataFrame:
-    reader = spark.read.schema(schema or readings_schema(cols))
+    declared = schema or readings_schema(cols)
     if fmt == "csv":
-        reader = reader.option("header", True)
-    return nan_to_null(reader.format(fmt).load(path))
+        return nan_to_null(_read_by_name(spark, path, declared))
+    return nan_to_null(spark.read.schema(declared).format(fmt).load(path))
 
 
 def read_index(spark: SparkSession, path: str, cols: SensorColumns = STATIONS) -> DataFrame:
-    return spark.read.schema(index_schema(cols)).option("header", True).csv(path)
+    return _read_by_name(spark, path, index_schema(cols))
 
 
 def _lines_in_order(df: DataFrame, name: str) -> DataFrame:
@@ -54,13 +72,7 @@ def _lines_in_order(df: DataFrame, name: str) -> DataFrame:
 
 def read_intervals(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated intervals with US dates; ``window_idx`` keeps duplicates apart."""
-    raw = (
-        spark.read.schema(INTERVALS_SCHEMA)
-        .option("header", True)
-        .option("sep", "\t")
-        .option("dateFormat", "M/d/yyyy")
-        .csv(path)
-    )
+    raw = _read_by_name(spark, path, INTERVALS_SCHEMA, sep="\t", dateFormat="M/d/yyyy")
     numbered = _lines_in_order(raw, "window_idx")
     return numbered.select(F.col("window_idx").cast("int").alias("window_idx"), "start_date", "end_date")
 
@@ -71,8 +83,8 @@ def read_entities(spark: SparkSession, path: str, cols: SensorColumns = STATIONS
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def _read_with_id(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    df = spark.read.schema(schema).option("header", True).csv(path)
+def _read_with_id(spark: SparkSession, path: str, declared: T.StructType) -> DataFrame:
+    df = _read_by_name(spark, path, declared, other=T.DoubleType())
     return df if "id" in df.columns else _lines_in_order(df, "id")
 
 
@@ -84,14 +96,15 @@ def repair_truth(truth: DataFrame) -> DataFrame:
     return truth.select("id", "y_true")
 
 
-def read_truth(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_truth(spark: SparkSession, path: str) -> DataFrame:
     """Truth file of any column layout; ids are line positions when the file has none."""
-    return repair_truth(_read_with_id(spark, path, schema))
+    return repair_truth(_read_with_id(spark, path, TRUTH_SCHEMA)).withColumn("y_true", F.col("y_true").cast("int"))
 
 
-def read_predictions(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """Prediction file; a missing path fails, a missing id becomes the line position."""
-    return nan_to_null(_read_with_id(spark, path, schema))
+    declared = T.StructType([*PREDICTIONS_SCHEMA.fields, T.StructField("label", T.IntegerType())])
+    return nan_to_null(_read_with_id(spark, path, declared))
 
 
 def read_truth_checked(
@@ -103,7 +116,7 @@ def read_truth_checked(
     them fail the job instead.
     """
     schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("y_true", T.StringType())])
-    text = spark.read.schema(schema).option("header", True).option("encoding", encoding).csv(path)
+    text = _read_by_name(spark, path, schema, encoding=encoding)
     if strict:
         cast = text.select(F.col("id").cast("bigint").alias("id"), F.col("y_true").cast("int").alias("y_true"))
         return cast, text.filter(F.lit(False))
@@ -116,4 +129,5 @@ def read_truth_checked(
 def read_metric_log(
     spark: SparkSession, path: str, schema: T.StructType = METRIC_LOG_SCHEMA
 ) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).option("sep", "\t").csv(path)
+    """Tab-separated training log, one row per iteration."""
+    return _read_by_name(spark, path, schema, sep="\t")

@@ -31,14 +31,24 @@ def require_rows(df: DataFrame, message: str) -> DataFrame:
 
 
 def write_table(
-    df: DataFrame, path: str, fmt: str = "csv", partition_by: Sequence[str] = (), mode: str = "errorifexists"
+    df: DataFrame,
+    path: str,
+    fmt: str = "csv",
+    partition_by: Sequence[str] = (),
+    mode: str = "errorifexists",
+    **options: str,
 ) -> None:
     writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        # Full precision; the default pattern stops at milliseconds.
+        writer = writer.options(
+            header=True,
+            timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+            timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+        )
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.save(path)
+    writer.options(**options).save(path)
 
 
 def publish_predictions(df: DataFrame, path: str, fmt: str = "csv", mode: str = "errorifexists") -> None:
