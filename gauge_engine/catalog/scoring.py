@@ -71,7 +71,7 @@ def _(spark, sf):
 
 @query("auc_bucketed", _PAIRS + _auc_sql("revenue") + "SELECT round(auc, 6) AS auc FROM area")
 def _(spark, sf):
-    return emit(roc_auc(score_histogram(_pairs(spark, sf), "revenue"), buckets=64), 6)
+    return emit(roc_auc(score_histogram(_pairs(spark, sf), "revenue"), bits=6), 6)
 
 
 @query("scores", _JOINED + _auc_sql("s") + _ROW_SQL)

@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from gauge_engine.columns import DECISION_CUTOFF
 from gauge_engine.functions.scalars import binarize, null_if_nan
-from gauge_engine.operators.ordering import DEFAULT_BUCKETS, ordered_prefix
+from gauge_engine.operators.ordering import BUCKET_BITS, running_before, with_order_buckets
+
+
+_CELLS = ("tn", "fp", "fn", "tp")
 
 
 def _count_where(condition: Column) -> Column:
@@ -67,29 +70,47 @@ def score_histogram(pairs: DataFrame, score: str = "score", label: str = "y_true
     )
 
 
-def _area(pos: Column, neg: Column, wins: Column, unusable: Column) -> Column:
-    pairs = pos.cast("double") * neg.cast("double")
-    undefined = (unusable > 0) | (pairs == 0) | pairs.isNull()
-    return F.when(undefined, F.lit(0.5)).otherwise(wins / F.nullif(pairs, F.lit(0.0)))
+def _totals(histogram: DataFrame, cutoff: float, bits: int) -> DataFrame:
+    """One row: confusion counts, won pairs (ties half) and unusable scores.
+
+    Won pairs are counted inside order buckets first; each bucket then adds its positives
+    times the negatives of all earlier buckets, a running sum over the few bucket rows.
+    """
+    hit = F.col("score") >= cutoff
+    inside = F.col("pos").cast("double") * (F.col("_below") + F.col("neg") / 2)
+    buckets = (
+        with_order_buckets(histogram, "score", bits=bits)
+        .withColumn("_below", running_before("neg", "score", "_bucket"))
+        .groupBy("_bucket")
+        .agg(
+            F.sum(F.when(hit, 0).otherwise(F.col("neg"))).alias("tn"),
+            F.sum(F.when(hit, F.col("neg")).otherwise(0)).alias("fp"),
+            F.sum(F.when(hit, 0).otherwise(F.col("pos"))).alias("fn"),
+            F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("tp"),
+            F.sum(inside).alias("_wins"),
+            _count_where(F.abs("score") == float("inf")).alias("_unusable"),
+        )
+        .withColumn("_neg", F.col("tn") + F.col("fp"))
+        .withColumn("_earlier", running_before("_neg", "_bucket"))
+    )
+    across = (F.col("fn") + F.col("tp")).cast("double") * F.col("_earlier")
+    return buckets.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _CELLS],
+        F.sum(F.col("_wins") + across).alias("wins"),
+        F.sum("_unusable").alias("unusable"),
+    )
 
 
-def _with_wins(histogram: DataFrame, buckets: int) -> DataFrame:
-    """Per score: negatives outranked, ties counting half."""
-    below = ordered_prefix(histogram, "score", "neg", "_below", buckets)
-    wins = F.col("pos").cast("double") * (F.col("_below") + F.col("neg") / 2)
-    return below.withColumns({"_wins": wins, "_unusable": F.abs("score") == float("inf")})
+def _area(tn: Column, fp: Column, fn: Column, tp: Column) -> Column:
+    pairs = (tp + fn).cast("double") * (tn + fp).cast("double")
+    undefined = (F.col("unusable") > 0) | (pairs == 0)
+    return F.when(undefined, F.lit(0.5)).otherwise(F.col("wins") / F.nullif(pairs, F.lit(0.0)))
 
 
-def roc_auc(histogram: DataFrame, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def roc_auc(histogram: DataFrame, bits: int = BUCKET_BITS) -> DataFrame:
     """Area under the ROC curve; 0.5 when one class or any score is missing."""
-    sums = _with_wins(histogram, buckets).agg(
-        F.sum("pos").alias("pos"),
-        F.sum("neg").alias("neg"),
-        F.sum("_wins").alias("wins"),
-        _count_where(F.col("_unusable")).alias("unusable"),
-    )
-    auc = _area(F.col("pos"), F.col("neg"), F.col("wins"), F.col("unusable"))
-    return sums.select(auc.alias("auc"))
+    cells = [F.col(c) for c in _CELLS]
+    return _totals(histogram, DECISION_CUTOFF, bits).select(_area(*cells).alias("auc"))
 
 
 def confusion_counts(y_true: Column, y_pred: Column, weight: Column | None = None) -> dict[str, Column]:
@@ -119,31 +140,19 @@ def matthews(tn: Column, fp: Column, fn: Column, tp: Column) -> Column:
     return F.coalesce((tp * tn - fp * fn) / F.nullif(spread, F.lit(0.0)), F.lit(0.0))
 
 
-_CELLS = ("tn", "fp", "fn", "tp")
-
-
 def confusion(df: DataFrame, score: str, label: str, cutoff: float = DECISION_CUTOFF, strict: bool = False) -> DataFrame:
     """One row with the four confusion counts at a cut-off."""
     cells = confusion_counts(F.col(label).cast("int"), binarize(score, cutoff, strict))
     return df.agg(*[c.alias(name) for name, c in cells.items()])
 
 
-def score_row(histogram: DataFrame, cutoff: float = DECISION_CUTOFF, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def score_row(histogram: DataFrame, cutoff: float = DECISION_CUTOFF, bits: int = BUCKET_BITS) -> DataFrame:
     """One row ``auc, acc, f1, mcc, n`` from a score histogram; fails when it is empty."""
-    hit = F.col("score") >= cutoff
-    sums = _with_wins(histogram, buckets).agg(
-        F.sum(F.when(~hit, F.col("neg")).otherwise(0)).alias("tn"),
-        F.sum(F.when(hit, F.col("neg")).otherwise(0)).alias("fp"),
-        F.sum(F.when(~hit, F.col("pos")).otherwise(0)).alias("fn"),
-        F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("tp"),
-        F.sum("_wins").alias("wins"),
-        _count_where(F.col("_unusable")).alias("unusable"),
-    )
     tn, fp, fn, tp = (F.col(c) for c in _CELLS)
-    n = F.coalesce(tn + fp + fn + tp, F.lit(0))
+    n = tn + fp + fn + tp
     checked = F.when(n > 0, n).otherwise(F.raise_error(F.lit("no overlapping ids between truth and predictions")))
-    return sums.select(
-        _area(tp + fn, tn + fp, F.col("wins"), F.col("unusable")).alias("auc"),
+    return _totals(histogram, cutoff, bits).select(
+        _area(tn, fp, fn, tp).alias("auc"),
         accuracy(tn, fp, fn, tp).alias("acc"),
         f1(tn, fp, fn, tp).alias("f1"),
         matthews(tn, fp, fn, tp).alias("mcc"),

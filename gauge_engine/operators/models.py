@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field, replace
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -67,7 +68,12 @@ def fit_boosting(
     if validation:
         learner = learner.setValidationIndicatorCol(validation)
         keep = [validation]
-    return learner.fit(_prepared(windows, label, keep))
+    # Fitting passes over its rows many times; lost blocks are recomputed from the source.
+    prepared = _prepared(windows, label, keep).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return learner.fit(prepared)
+    finally:
+        prepared.unpersist()
 
 
 def fit_then_refit(

@@ -7,48 +7,60 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 256
+# The key range is cut into two to the power of this many buckets.
+BUCKET_BITS = 9
 
 
-def _bucket_of(key: str, bounds: str) -> Column:
-    """How many bounds lie at or below the key: an order-preserving bucket number."""
-    return F.aggregate(bounds, F.lit(0), lambda acc, b: acc + (b <= F.col(key)).cast("int"))
+def with_order_buckets(df: DataFrame, key: str, name: str = "_bucket", bits: int = BUCKET_BITS) -> DataFrame:
+    """Add an order-preserving bucket number for a unique ``key``.
 
+    The key range is cut at the keys with the smallest hash: an even sample, so buckets
+    hold about equally many keys, and the same sample on every evaluation. Which keys are
+    picked affects balance only, never a result.
 
-def ordered_prefix(
-    df: DataFrame, key: str, value: str, out: str, buckets: int = DEFAULT_BUCKETS
-) -> DataFrame:
-    """Add ``out``: the sum of ``value`` over all rows with a smaller ``key``.
-
-    ``key`` must be unique. The key range is cut at the ``buckets`` keys with the smallest
-    hash - an even sample of the keys, the same on every evaluation - so buckets hold about
-    equally many keys. Which keys are picked affects balance only, never the result. Bucket
-    totals (at most ``buckets`` + 1 rows) are summed up in order and joined back.
+    The cuts carry all columns of ``df``, so that finding them reads the same shuffle as
+    the rows themselves and the input is computed once. Rows find their bucket by halving,
+    one generated-code projection per bit.
     """
-    bounds = (
-        df.select(key)
-        .orderBy(F.xxhash64(key), key)
-        .limit(buckets)
-        .agg(F.sort_array(F.collect_list(key)).alias("bounds"))
-    )
-    placed = (
-        df.withColumn("_bounds", bounds.scalar())
-        .withColumn("_bucket", _bucket_of(key, "_bounds"))
-        .drop("_bounds")
+    whole_row = F.struct(key, *[c for c in df.columns if c != key])
+    cuts = (
+        df.orderBy(F.xxhash64(key), key)
+        .limit(2**bits - 1)
+        .agg(F.sort_array(F.collect_list(whole_row)).alias("rows"))
+        .select(F.col(f"rows.{key}").alias("cuts"))
     )
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    searched = df.withColumns({"_cuts": cuts.scalar(), name: F.lit(0)})
+    for bit in reversed(range(bits)):
+        step = 2**bit
+        passed = F.get("_cuts", F.col(name) + (step - 1)) <= F.col(key)
+        searched = searched.withColumn(name, F.col(name) + F.when(passed, step).otherwise(0))
+    return searched.drop("_cuts")
+
+
+def running_before(value: str, order: str, *partition: str) -> Column:
+    """Sum of ``value`` over the earlier rows of a partition."""
+    w = Window.partitionBy(*partition) if partition else Window
+    frame = w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(value).over(frame), F.lit(0))
+
+
+def ordered_prefix(df: DataFrame, key: str, value: str, out: str, bits: int = BUCKET_BITS) -> DataFrame:
+    """``key, value`` and ``out``: the sum of ``value`` over all rows with a smaller ``key``.
+
+    ``key`` must be unique. Sums run inside order buckets; the bucket totals (at most
+    two to the power of ``bits`` rows) are summed up in order and joined back.
+    """
+    placed = with_order_buckets(df.select(key, value), key, bits=bits)
     totals = (
         placed.groupBy("_bucket")
         .agg(F.sum(value).alias("_total"))
-        .select("_bucket", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_earlier"))
+        .select("_bucket", running_before("_total", "_bucket").alias("_earlier"))
     )
-    inside = Window.partitionBy("_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        placed.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        # At most buckets + 1 rows by construction.
+        placed.withColumn("_inside", running_before(value, key, "_bucket"))
+        # At most 2**bits rows by construction.
         .join(F.broadcast(totals), "_bucket")
-        .withColumn(out, F.col("_earlier") + F.col("_inside"))
-        .drop("_bucket", "_inside", "_earlier")
+        .select(key, value, (F.col("_earlier") + F.col("_inside")).alias(out))
     )
 
 
