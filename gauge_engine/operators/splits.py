@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gauge_engine.columns import STATIONS, SensorColumns
 from gauge_engine.operators.ordering import with_dense_id
 
-HASH_BUCKET_DIGITS = 3
+HASH_BUCKET_DIGITS = 4
 
 
 def keep_entities(df: DataFrame, names: Iterable[str], cols: SensorColumns = STATIONS) -> DataFrame:
@@ -44,7 +44,7 @@ def _mark_smallest_hashes(
 ) -> DataFrame:
     """Mark exactly ``share`` of each stratum: the rows with the smallest key hash.
 
-    Hash prefixes are counted first (strata x 4096 rows). Only the one bucket per stratum
+    Hash prefixes are counted first (strata x 65536 rows). Only the one bucket per stratum
     where the cut falls is sorted, to find the cut-off hash; every row is then compared
     with it in place. The full table is never sorted or shuffled, and a stratum that
     holds most rows costs no more than a small one. ``keys`` must identify a row.
