@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gauge_engine.columns import STATIONS, THRESHOLD_STDS, SensorColumns
 from gauge_engine.functions.scalars import event_flag, null_if_nan
-from gauge_engine.operators.daily import READING_COUNT, READING_SQUARES
+from gauge_engine.operators.daily import READING_COUNT, READING_SQUARES, series_window
 
 
 def thresholds(
@@ -35,7 +35,8 @@ def add_own_threshold(
     the reading-level mean and deviation; ``basis='daily'`` uses the daily means. Both are
     whole-entity frames on the partitioning the sliding windows need anyway.
     """
-    whole = Window.partitionBy(cols.entity)
+    # Ordered like the sliding windows, so that one sort serves them all.
+    whole = series_window(cols).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     if basis == "daily":
         rule = F.avg(cols.value).over(whole) + stds * F.stddev_samp(cols.value).over(whole)
         return daily.withColumn(cols.threshold, rule)
