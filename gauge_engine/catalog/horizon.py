@@ -28,7 +28,7 @@ from gauge_engine.operators.logs import best_iteration, early_stop
 from gauge_engine.operators.windows import sliding_windows
 from gauge_engine.plans.evaluate import evaluate_intervals
 from gauge_engine.plans.training import flagged_daily
-from gauge_engine.session import scratch_path
+from gauge_engine.session import materialize, scratch_path
 from gauge_engine.sources.readers import read_intervals, read_metric_log
 from gauge_engine.sources.sinks import write_table
 
@@ -108,7 +108,9 @@ def _(spark, sf):
 
 
 def _status_daily(spark, sf):
-    return add_features(flagged_daily(status_readings(spark, sf), STATUS, stds=0.5), STATUS, STATUS.tree_features)
+    """Flagged and featured days; blocks and truth read them several times."""
+    flagged = flagged_daily(status_readings(spark, sf), STATUS, stds=0.5)
+    return materialize(add_features(flagged, STATUS, STATUS.tree_features), "status-days")
 
 
 @query(

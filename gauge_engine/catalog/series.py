@@ -78,8 +78,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     readings = event_readings(spark, sf)
-    with_rule = attach_thresholds(readings, thresholds(readings, EVENTS), EVENTS)
-    return emit(daily_tumbling(with_rule, EVENTS, [EVENTS.threshold]))
+    days = daily_tumbling(readings, EVENTS)
+    return emit(attach_thresholds(days, thresholds(readings, EVENTS), EVENTS))
 
 
 @query(

@@ -26,6 +26,11 @@ def _earliest_known(attr: str, time: str) -> Column:
     return F.min_by(F.col(attr), known_at)
 
 
+def known_readings(readings: DataFrame, cols: SensorColumns = STATIONS) -> DataFrame:
+    """Readings that name their entity and time; the others belong to no series."""
+    return readings.filter(F.col(cols.entity).isNotNull() & F.col(cols.time).isNotNull())
+
+
 def daily_rollup(
     readings: DataFrame,
     cols: SensorColumns = STATIONS,
@@ -46,7 +51,8 @@ def daily_rollup(
             F.count(measure).alias(READING_COUNT),
             (F.var_pop(measure) * F.count(measure)).alias(READING_SQUARES),
         ]
-    return readings.groupBy(cols.entity, F.to_date(cols.time).alias(cols.date)).agg(*aggs)
+    days = F.to_date(cols.time).alias(cols.date)
+    return known_readings(readings, cols).groupBy(cols.entity, days).agg(*aggs)
 
 
 def daily_slim(readings: DataFrame, cols: SensorColumns = STATIONS) -> DataFrame:
@@ -54,18 +60,13 @@ def daily_slim(readings: DataFrame, cols: SensorColumns = STATIONS) -> DataFrame
     return daily_rollup(readings, cols, attrs=())
 
 
-def daily_tumbling(
-    readings: DataFrame, cols: SensorColumns = STATIONS, constants: Sequence[str] = ()
-) -> DataFrame:
-    """The same days through one-day tumbling buckets, with per-entity constants carried."""
+def daily_tumbling(readings: DataFrame, cols: SensorColumns = STATIONS) -> DataFrame:
+    """The same days through one-day tumbling buckets; here too only observed days appear."""
     measure = null_if_nan(cols.value)
     return (
-        readings.groupBy(cols.entity, F.window(cols.time, "1 day").alias("bucket"))
-        .agg(
-            F.avg(measure).alias(cols.value),
-            F.max(measure).alias(cols.peak),
-            *[F.any_value(c, F.lit(True)).alias(c) for c in constants],
-        )
+        known_readings(readings, cols)
+        .groupBy(cols.entity, F.window(cols.time, "1 day").alias("bucket"))
+        .agg(F.avg(measure).alias(cols.value), F.max(measure).alias(cols.peak))
         .withColumn(cols.date, F.to_date("bucket.start"))
         .drop("bucket")
     )
@@ -79,8 +80,9 @@ def daily_selfjoin(readings: DataFrame, cols: SensorColumns = STATIONS) -> DataF
     """
     measure = null_if_nan(cols.value)
     keys = [F.col(cols.entity), F.to_date(cols.time).alias(cols.date)]
-    means = readings.groupBy(*keys).agg(F.avg(measure).alias(cols.value))
-    peaks = readings.groupBy(*keys).agg(F.max(measure).alias(cols.peak))
+    known = known_readings(readings, cols)
+    means = known.groupBy(*keys).agg(F.avg(measure).alias(cols.value))
+    peaks = known.groupBy(*keys).agg(F.max(measure).alias(cols.peak))
     return means.join(peaks, [cols.entity, cols.date])
 
 
@@ -116,6 +118,11 @@ def add_features(
     return daily.withColumns({f: known[f]() for f in wanted if f in known})
 
 
+def whole_series(cols: SensorColumns) -> WindowSpec:
+    """All rows of an entity, ordered like the sliding frames so that one sort serves both."""
+    return series_window(cols).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def row_position(daily: DataFrame, cols: SensorColumns = STATIONS, name: str = "position") -> DataFrame:
     """0-based position of each observed day inside its entity."""
     return daily.withColumn(name, F.row_number().over(series_window(cols)) - 1)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gauge_engine.columns import HISTORY_DAYS, HORIZON_DAYS, STATIONS, SensorColumns
+from gauge_engine.operators.daily import whole_series
 from gauge_engine.operators.ordering import with_dense_id
 
 
@@ -20,7 +21,7 @@ def calendar_index(
     The bounds are calendar dates, so days inside them may be missing; row windows that do
     not line up with such an anchor simply find no match later.
     """
-    whole = Window.partitionBy(cols.entity)
+    whole = whole_series(cols)
     anchor = F.col(cols.date)
     return (
         daily.select(

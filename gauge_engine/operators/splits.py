@@ -40,7 +40,7 @@ def _hash_order(keys: Sequence[str], seed: int) -> Column:
 
 
 def _mark_smallest_hashes(
-    df: DataFrame, keys: Sequence[str], stratum: Column, share: float, rounding: str, seed: int, out: str
+    df: DataFrame, keys: Sequence[str], stratum: Column | None, share: float, rounding: str, seed: int, out: str
 ) -> DataFrame:
     """Mark exactly ``share`` of each stratum: the rows with the smallest key hash.
 
@@ -49,7 +49,8 @@ def _mark_smallest_hashes(
     with it in place. The full table is never sorted or shuffled, and a stratum that
     holds most rows costs no more than a small one. ``keys`` must identify a row.
     """
-    tagged = df.withColumns({"_stratum": stratum, "_hash": _hash_order(keys, seed)})
+    classes = F.lit(True) if stratum is None else stratum
+    tagged = df.withColumns({"_stratum": classes, "_hash": _hash_order(keys, seed)})
     slim = tagged.select("_stratum", "_hash", F.substring("_hash", 1, HASH_BUCKET_DIGITS).alias("_bucket"))
     counts = slim.groupBy("_stratum", "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     each = Window.partitionBy("_stratum")
@@ -65,16 +66,18 @@ def _mark_smallest_hashes(
         .select("_stratum", "_bucket", (F.col("_want") - F.col("_upto") + F.col("_rows")).alias("_need"))
     )
     cutoffs = (
-        # One edge row per stratum; strata are the two classes or a single constant.
+        # One edge row per stratum, and a stratum is a truth value: at most two rows.
         slim.join(F.broadcast(edge), ["_stratum", "_bucket"])
         .withColumn("_rank", F.row_number().over(each.orderBy("_hash")))
         .filter(F.col("_rank") == F.col("_need"))
         .select("_stratum", F.col("_hash").alias("_cutoff"))
     )
-    return (
-        tagged.join(F.broadcast(cutoffs), "_stratum", "left")
-        .withColumn(out, F.coalesce(F.col("_hash") <= F.col("_cutoff"), F.lit(False)))
-        .drop("_stratum", "_hash", "_cutoff")
+    if stratum is None:
+        marked = tagged.withColumn("_cutoff", cutoffs.select("_cutoff").scalar())
+    else:
+        marked = tagged.join(F.broadcast(cutoffs), "_stratum", "left")
+    return marked.withColumn(out, F.coalesce(F.col("_hash") <= F.col("_cutoff"), F.lit(False))).drop(
+        "_stratum", "_hash", "_cutoff"
     )
 
 
@@ -94,7 +97,7 @@ def split_random(
     df: DataFrame, keys: Sequence[str], share: float = 0.1, seed: int = 42, out: str = "is_validation"
 ) -> DataFrame:
     """Mark ``floor(share * n)`` rows for validation; independent of the partitioning."""
-    return _mark_smallest_hashes(df, keys, F.lit(True), share, "floor", seed, out)
+    return _mark_smallest_hashes(df, keys, None, share, "floor", seed, out)
 
 
 def split_tail(

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gauge_engine.columns import STATIONS, THRESHOLD_STDS, SensorColumns
 from gauge_engine.functions.scalars import event_flag, null_if_nan
-from gauge_engine.operators.daily import READING_COUNT, READING_SQUARES, series_window
+from gauge_engine.operators.daily import READING_COUNT, READING_SQUARES, whole_series
 
 
 def thresholds(
@@ -20,7 +20,8 @@ def thresholds(
     """
     measure = null_if_nan(cols.value)
     rule = F.avg(measure) + stds * F.stddev_samp(measure)
-    return series.groupBy(cols.entity).agg(rule.alias(cols.threshold))
+    known = series.filter(F.col(cols.entity).isNotNull())
+    return known.groupBy(cols.entity).agg(rule.alias(cols.threshold))
 
 
 def add_own_threshold(
@@ -35,8 +36,7 @@ def add_own_threshold(
     the reading-level mean and deviation; ``basis='daily'`` uses the daily means. Both are
     whole-entity frames on the partitioning the sliding windows need anyway.
     """
-    # Ordered like the sliding windows, so that one sort serves them all.
-    whole = series_window(cols).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = whole_series(cols)
     if basis == "daily":
         rule = F.avg(cols.value).over(whole) + stds * F.stddev_samp(cols.value).over(whole)
         return daily.withColumn(cols.threshold, rule)
@@ -54,9 +54,19 @@ def add_own_threshold(
 def reading_thresholds(
     daily: DataFrame, cols: SensorColumns = STATIONS, stds: float = THRESHOLD_STDS
 ) -> DataFrame:
-    """Reading-level thresholds as a table, merged from daily moments."""
-    with_rule = add_own_threshold(daily, cols, stds, basis="raw")
-    return with_rule.groupBy(cols.entity).agg(F.max(cols.threshold).alias(cols.threshold))
+    """Reading-level thresholds as a table, merged from daily moments.
+
+    Two partially aggregated passes over the daily table: the means first, then the
+    squared deviations from them, so nothing cancels and no entity is gathered whole.
+    """
+    count, value = F.col(READING_COUNT), F.col(cols.value)
+    means = daily.groupBy(cols.entity).agg(
+        F.sum(count).alias("_n"), (F.sum(count * value) / F.nullif(F.sum(count), F.lit(0))).alias("_mean")
+    )
+    squares = F.sum(F.col(READING_SQUARES) + count * F.pow(value - F.col("_mean"), 2))
+    deviation = F.sqrt(squares / F.nullif(F.max("_n") - 1, F.lit(0)))
+    rule = F.max("_mean") + stds * deviation
+    return daily.join(means, cols.entity).groupBy(cols.entity).agg(rule.alias(cols.threshold))
 
 
 def attach_thresholds(daily: DataFrame, table: DataFrame, cols: SensorColumns = STATIONS) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from gauge_engine.columns import STATIONS, THRESHOLD_STDS, SensorColumns
 from gauge_engine.functions.arrays import horizon_blend, horizon_max
 from gauge_engine.operators.align import align_to_index
+from gauge_engine.operators.daily import daily_rollup
 from gauge_engine.operators.models import (
     BoostingSettings,
     ModelBundle,
@@ -21,7 +22,14 @@ from gauge_engine.operators.models import (
 )
 from gauge_engine.operators.plugin import Scorer, score_with
 from gauge_engine.operators.splits import split_stratified
-from gauge_engine.plans.training import scoring_windows, training_thresholds, training_windows
+from gauge_engine.plans.training import (
+    flag_series,
+    scoring_windows,
+    series_thresholds,
+    training_windows,
+    windows_of,
+)
+from gauge_engine.session import materialize
 from gauge_engine.sources.sinks import require_rows
 
 NO_WINDOWS = "no test windows could be built from the test readings"
@@ -38,13 +46,14 @@ def fit_bundle(
 ) -> ModelBundle:
     """Fit on the training entities only; ``refit`` first chooses the rounds on a split."""
     names = cols.tree_features if features is None else features
-    windows = training_windows(train, cols, names, stds=stds, basis=basis)
+    daily = materialize(daily_rollup(train, cols, attrs=(), moments=True), "daily")
+    windows = windows_of(flag_series(daily, cols, stds=stds, basis=basis), cols, names)
     if refit:
         marked = split_stratified(windows, [cols.entity, "hist_start"])
         model = fit_then_refit(marked, "is_validation", settings)
     else:
         model = fit_boosting(windows, settings)
-    return ModelBundle(model, names, settings, thresholds=training_thresholds(train, cols, stds, basis))
+    return ModelBundle(model, names, settings, thresholds=series_thresholds(daily, cols, stds, basis))
 
 
 def forecast(

@@ -17,10 +17,11 @@ from gauge_engine.operators.thresholds import (
     thresholds,
 )
 from gauge_engine.operators.windows import sliding_windows
+from gauge_engine.session import materialize
 
 
-def flagged_daily(
-    readings: DataFrame,
+def flag_series(
+    daily: DataFrame,
     cols: SensorColumns = STATIONS,
     table: DataFrame | None = None,
     stds: float = THRESHOLD_STDS,
@@ -28,33 +29,63 @@ def flagged_daily(
 ) -> DataFrame:
     """Daily series with threshold and event flag.
 
-    Without a threshold ``table`` each entity uses its own, from the same single scan.
+    Without a threshold ``table`` each entity uses its own; the raw basis then needs the
+    daily moments.
     """
     if table is not None:
-        return flag_events(attach_thresholds(daily_rollup(readings, cols, attrs=()), table, cols), cols)
-    daily = daily_rollup(readings, cols, attrs=(), moments=basis == "raw")
+        return flag_events(attach_thresholds(daily, table, cols), cols)
     return flag_events(add_own_threshold(daily, cols, stds, basis), cols)
 
 
-def training_windows(
+def flagged_daily(
     readings: DataFrame,
     cols: SensorColumns = STATIONS,
-    features: Sequence[str] | None = None,
     table: DataFrame | None = None,
     stds: float = THRESHOLD_STDS,
     basis: str = "raw",
+) -> DataFrame:
+    """The same from readings, in a single scan."""
+    moments = table is None and basis == "raw"
+    return flag_series(daily_rollup(readings, cols, attrs=(), moments=moments), cols, table, stds, basis)
+
+
+def windows_of(
+    flagged: DataFrame,
+    cols: SensorColumns = STATIONS,
+    features: Sequence[str] | None = None,
     layout: str = "flat",
     drop_last: bool = False,
     guard_nulls: bool = True,
 ) -> DataFrame:
-    """Labelled windows: two shuffles in all (by entity and day, then by entity)."""
+    """Labelled windows of a flagged daily series."""
     names = cols.tree_features if features is None else features
-    daily = add_features(flagged_daily(readings, cols, table, stds, basis), cols, names)
     return sliding_windows(
-        daily, cols, names, labels=True, layout=layout, drop_last=drop_last, guard_nulls=guard_nulls
+        add_features(flagged, cols, names),
+        cols,
+        names,
+        labels=True,
+        layout=layout,
+        drop_last=drop_last,
+        guard_nulls=guard_nulls,
     )
 
 
+def training_windows(
+    readings: DataFrame,
+    cols: SensorColumns = STATIONS,
+    features: Sequence[str] | None = None,
+    table: DataFrame | None = None,
+    stds: float = THRESHOLD_STDS,
+    basis: str = "raw",
+    layout: str = "flat",
+    drop_last: bool = False,
+    guard_nulls: bool = True,
+) -> DataFrame:
+    """Labelled windows: two shuffles in all (by entity and day, then by entity)."""
+    flagged = flagged_daily(readings, cols, table, stds, basis)
+    return windows_of(flagged, cols, features, layout, drop_last, guard_nulls)
+
+
 def training_windows_segmented(
     readings: DataFrame,
     cols: SensorColumns = STATIONS,
@@ -66,11 +97,12 @@ def training_windows_segmented(
 ) -> DataFrame:
     """The same windows for few, very long series: work is split below the entity.
 
-    Thresholds come from a partially aggregated table instead of a whole-entity frame.
+    Thresholds come from partially aggregated tables instead of a whole-entity frame. The
+    daily table feeds three branches, so it is written once.
     """
     names = cols.tree_features if features is None else features
-    daily = daily_rollup(readings, cols, attrs=())
-    table = thresholds(readings if basis == "raw" else daily, cols, stds)
+    daily = materialize(daily_rollup(readings, cols, attrs=(), moments=True), "daily")
+    table = series_thresholds(daily, cols, stds, basis)
     flagged = flag_events(attach_thresholds(daily, table, cols), cols)
     split = [SEGMENT]
     segments = add_features(split_into_segments(flagged, cols, segment_rows), cols, names, split)
@@ -92,10 +124,8 @@ def scoring_windows(
     return sliding_windows(daily, cols, names, layout=layout)
 
 
-def training_thresholds(
-    readings: DataFrame, cols: SensorColumns = STATIONS, stds: float = THRESHOLD_STDS, basis: str = "raw"
+def series_thresholds(
+    daily: DataFrame, cols: SensorColumns = STATIONS, stds: float = THRESHOLD_STDS, basis: str = "raw"
 ) -> DataFrame:
-    """Thresholds of the training entities, to be kept with a model."""
-    if basis == "raw":
-        return reading_thresholds(daily_rollup(readings, cols, attrs=(), moments=True), cols, stds)
-    return thresholds(daily_rollup(readings, cols, attrs=()), cols, stds)
+    """Threshold table of a daily series on either basis; the raw one needs the moments."""
+    return (reading_thresholds if basis == "raw" else thresholds)(daily, cols, stds)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app: str = "gauge_engine", **conf: str) -> SparkSession:
@@ -43,6 +43,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write a table that several branches read to the shared folder, and read it back.
+
+    Its source is then scanned once however the branches prune their columns, and the
+    written copy outlives lost executors.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ensure_checkpoints(spark: SparkSession) -> None:
     """Give the context a checkpoint folder, so iterative fits can cut their lineage."""
     if spark.sparkContext.getCheckpointDir() is None:
