@@ -33,6 +33,10 @@ class BoostingSettings:
     validation_tolerance: float = 0.0
 
 
+# The settings of the variant that chooses its rounds on a validation split.
+VALIDATED_SETTINGS = BoostingSettings(depth=6, rounds=600, row_share=1.0, feature_share=1.0)
+
+
 def _prepared(windows: DataFrame, label: str, keep: Sequence[str] = ()) -> DataFrame:
     """Vector features, double labels and balancing weights."""
     weight = class_balance(windows.select(label), label).select("weight").scalar()

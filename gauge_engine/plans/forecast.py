@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import logging
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 
 from gauge_engine.columns import STATIONS, THRESHOLD_STDS, SensorColumns
 from gauge_engine.functions.arrays import horizon_blend, horizon_max
-from gauge_engine.operators.align import align_to_index
+from gauge_engine.operators.align import align_to_index, constant_predictions
 from gauge_engine.operators.daily import daily_rollup
 from gauge_engine.operators.models import (
     BoostingSettings,
@@ -30,7 +31,9 @@ from gauge_engine.plans.training import (
     windows_of,
 )
 from gauge_engine.session import materialize
-from gauge_engine.sources.sinks import require_rows
+from gauge_engine.sources.sinks import publish_predictions, require_rows
+
+logger = logging.getLogger(__name__)
 
 NO_WINDOWS = "no test windows could be built from the test readings"
 
@@ -97,6 +100,23 @@ def forecast_horizon(
     return align_to_index(index, daily.withColumn("y_prob", combined), cols)
 
 
+def publish_forecast(
+    index: DataFrame, predict: Callable[[], DataFrame], path: str, fmt: str = "csv"
+) -> bool:
+    """Write what ``predict`` yields; if it fails, write the constant table instead.
+
+    Planning and running both count as ``predict``: Spark reports many errors only when
+    the table is written. Returns whether the predictions themselves were written.
+    """
+    try:
+        publish_predictions(predict(), path, fmt, mode="overwrite")
+    except Exception:
+        logger.exception("prediction failed; writing the constant table")
+        publish_predictions(constant_predictions(index), path, fmt, mode="overwrite")
+        return False
+    return True
+
+
 def forecast_with(
     scorer: Scorer,
     test: DataFrame,

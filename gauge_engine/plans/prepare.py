@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -21,10 +21,14 @@ class Dataset:
     test: DataFrame
     index: DataFrame
 
-    def write(self, path: str, fmt: str = "csv", cols: SensorColumns = STATIONS) -> None:
-        """Readings are laid out by entity, so entity filters prune folders."""
-        write_table(self.train, f"{path}/train", fmt, [cols.entity])
-        write_table(self.test, f"{path}/test", fmt, [cols.entity])
+    def write(self, path: str, fmt: str = "csv", partition_by: Sequence[str] = ()) -> None:
+        """Write the three tables.
+
+        Partitioning readings by entity lets entity filters prune folders; it suits up to
+        some thousands of entities, as every entity becomes a folder.
+        """
+        write_table(self.train, f"{path}/train", fmt, partition_by)
+        write_table(self.test, f"{path}/test", fmt, partition_by)
         write_table(self.index, f"{path}/index", fmt)
 
 

@@ -33,6 +33,14 @@ def test_rollup_skips_nan_and_null_and_keeps_empty_days(spark):
     assert [(r.sea_level, r.sea_level_max, r.latitude) for r in got] == [(3.0, 4.0, 7.0), (None, None, 1.0)]
 
 
+def test_rows_without_station_or_time_belong_to_no_series(spark):
+    (day,) = days(1)
+    df = readings(spark, [reading("a", day, 1.0), reading(None, day, 9.0), (None, "a", 1.0, 2.0, 9.0)])
+    assert [r.sea_level for r in daily_rollup(df, S).collect()] == [1.0]
+    assert daily_tumbling(df, S).count() == 1 and daily_selfjoin(df, S).count() == 1
+    assert [r.station_name for r in thresholds(df, S).collect()] == ["a"]
+
+
 def test_only_observed_days(spark):
     df = readings(spark, [reading("a", d, 1.0) for i, d in enumerate(days(10)) if i not in (4, 5)])
     assert daily_slim(df, S).count() == 8

@@ -70,12 +70,13 @@ def brute_stop(values, patience):
     return None, at, best
 
 
-@given(st.lists(st.integers(0, 6), min_size=1, max_size=25), st.integers(1, 5))
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-def test_early_stop_against_brute_force(spark, values, patience):
-    log = spark.createDataFrame([("r", i, float(v)) for i, v in enumerate(values)], "run string, iter int, Logloss double")
-    got = early_stop(log, "run", patience=patience).first()
-    assert (got.stop_iter, got.best_iter, got.best_value) == brute_stop([float(v) for v in values], patience)
+@given(st.lists(st.lists(st.integers(0, 6), min_size=1, max_size=25), min_size=20, max_size=40), st.integers(1, 5))
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_early_stop_against_brute_force(spark, runs, patience):
+    rows = [(run, i, float(v)) for run, values in enumerate(runs) for i, v in enumerate(values)]
+    log = spark.createDataFrame(rows, "run int, iter int, Logloss double")
+    got = {r.run: (r.stop_iter, r.best_iter, r.best_value) for r in early_stop(log, "run", patience=patience).collect()}
+    assert got == {run: brute_stop([float(v) for v in values], patience) for run, values in enumerate(runs)}
 
 
 def test_best_iteration_takes_the_earliest(spark):

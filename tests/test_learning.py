@@ -3,6 +3,8 @@ import math
 import numpy as np
 import pytest
 from fixtures import S, days, reading, readings
+
+from gauge_engine.columns import SensorColumns
 from pyspark.sql import functions as F
 
 from gauge_engine.functions.arrays import horizon_blend, horizon_max, horizon_weights
@@ -19,11 +21,13 @@ from gauge_engine.operators.models import (
 )
 from gauge_engine.operators.plugin import score_with
 from gauge_engine.operators.splits import split_random, split_stratified, split_tail
-from gauge_engine.plans.evaluate import evaluation_report
-from gauge_engine.plans.forecast import NO_WINDOWS, forecast, forecast_horizon, forecast_with
+from gauge_engine.plans.evaluate import evaluation_report, score_predictions
+from gauge_engine.plans.forecast import NO_WINDOWS, forecast, forecast_horizon, forecast_with, publish_forecast
+from gauge_engine.plans.prepare import prepare_dataset
 from gauge_engine.plans.training import scoring_windows, training_windows
+from gauge_engine.sources.readers import read_index, read_predictions, read_readings
 
-QUICK = BoostingSettings(rounds=3, rate=0.3, depth=2)
+QUICK = BoostingSettings(rounds=2, rate=0.3, depth=2)
 
 
 def waves(spark, stations, n=120):
@@ -132,11 +136,42 @@ def test_forecast_answers_every_id(spark, train, test, tmp_path):
         forecast(train, test.limit(0), index, S, settings=QUICK, bundle_path=str(tmp_path / "m"))
 
 
+def test_from_matrix_to_scores_through_files(spark, tmp_path):
+    wide = spark.range(24 * 60).select(
+        (F.col("id") / 24 + 719529.0).alias("t"),
+        *[(F.sin(F.col("id") / (40.0 + k)) * 3).alias(name) for k, name in enumerate("abcyz")],
+    )
+    cols = SensorColumns(attrs=())
+    path = str(tmp_path)
+    prepare_dataset(wide, train="abc", test="yz", cols=cols, to_seconds=True).write(path)
+    train, test = (read_readings(spark, f"{path}/{part}", cols) for part in ("train", "test"))
+    index = read_index(spark, f"{path}/index", cols)
+    assert index.count() == 2 * 40
+    assert publish_forecast(index, lambda: forecast(train, test, index, cols, settings=QUICK), f"{path}/out")
+    predictions = read_predictions(spark, f"{path}/out")
+    labelled = training_windows(test, cols).select("station_name", "hist_start", "future_start", "y")
+    truth = index.join(labelled, ["station_name", "hist_start", "future_start"]).select("id", F.col("y").alias("y_true"))
+    assert score_predictions(truth, predictions).first().n == 80
+
+
+def test_failing_prediction_leaves_the_constant_table(spark, tmp_path):
+    index = spark.range(5)
+
+    def fails_when_run():
+        return index.select("id", F.raise_error(F.lit("no")).cast("double").alias("y_prob"))
+
+    def fails_at_once():
+        raise RuntimeError("no model")
+
+    for i, predict in enumerate((fails_when_run, fails_at_once)):
+        assert not publish_forecast(index, predict, str(tmp_path / str(i)))
+        assert {r.y_prob for r in read_predictions(spark, str(tmp_path / str(i))).collect()} == {0.5}
+
+
 def test_horizon_forecast_answers_every_id(train, test):
     index = index_with_ids(daily_slim(test, S), S)
-    for combine in ("blend", "max"):
-        got = forecast_horizon(train, test, index, S, settings=QUICK, stds=0.5, combine=combine).collect()
-        assert sorted(r.id for r in got) == list(range(len(got))) and all(0 <= r.y_prob <= 1 for r in got)
+    got = forecast_horizon(train, test, index, S, settings=QUICK, stds=0.5).collect()
+    assert sorted(r.id for r in got) == list(range(len(got))) and all(0 <= r.y_prob <= 1 for r in got)
 
 
 def test_plugin_scores_rows_in_batches(spark, test):

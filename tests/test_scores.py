@@ -48,7 +48,7 @@ def test_published_case(spark):
 
 
 @given(st.lists(st.tuples(st.integers(0, 1), st.sampled_from([0.0, 0.1, 0.5, 0.5000001, 0.9, 1.0])), min_size=1, max_size=60))
-@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 def test_auc_against_all_pairs(spark, rows):
     truth, scores = [r[0] for r in rows], [r[1] for r in rows]
     want = brute_auc(truth, scores)

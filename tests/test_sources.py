@@ -154,5 +154,6 @@ def test_prepare_dataset(spark, tmp_path):
     )
     made = prepare_dataset(wide, train=["a", "c"], test=["b"], cols=S.__class__(attrs=()))
     assert (made.train.count(), made.test.count(), made.index.count()) == (60, 30, 10)
-    made.write(str(tmp_path / "d"), cols=S)
+    made.write(str(tmp_path / "d"), partition_by=["station_name"])
+    assert read_readings(spark, str(tmp_path / "d" / "train"), S.__class__(attrs=())).count() == 60
     assert read_index(spark, str(tmp_path / "d" / "index")).count() == 10

@@ -53,7 +53,7 @@ def test_null_day_in_history_drops_in_future_stays(spark):
 
 
 @given(st.lists(st.one_of(st.none(), st.floats(0, 10)), min_size=0, max_size=45))
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 def test_against_brute_force(spark, values):
     df = series(spark, "a", [NAN if v is None else v for v in values])
     got = training_windows(df, S, S.sequence_features, table=table(spark, 5.0)).orderBy("hist_start").collect()
