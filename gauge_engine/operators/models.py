@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark import StorageLevel
@@ -48,14 +49,20 @@ def _prepared(windows: DataFrame, label: str, keep: Sequence[str] = ()) -> DataF
     )
 
 
-def fit_boosting(
-    windows: DataFrame,
-    settings: BoostingSettings = BoostingSettings(),
-    label: str = "y",
-    validation: str | None = None,
+@contextmanager
+def _held(rows: DataFrame) -> Iterator[DataFrame]:
+    """Keep rows while a fit passes over them; lost blocks are recomputed from the source."""
+    rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+
+
+def _fit(
+    rows: DataFrame, settings: BoostingSettings, label: str, validation: str | None = None
 ) -> GBTClassificationModel:
-    """Class-weighted boosted trees on flat blocks; ``validation`` marks held-out rows."""
-    ensure_checkpoints(windows.sparkSession)
+    ensure_checkpoints(rows.sparkSession)
     learner = GBTClassifier(
         featuresCol="features",
         labelCol="label",
@@ -68,16 +75,21 @@ def fit_boosting(
         seed=settings.seed,
         validationTol=settings.validation_tolerance,
     )
-    keep: list[str] = []
-    if validation:
-        learner = learner.setValidationIndicatorCol(validation)
-        keep = [validation]
-    # Fitting passes over its rows many times; lost blocks are recomputed from the source.
-    prepared = _prepared(windows, label, keep).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return learner.fit(prepared)
-    finally:
-        prepared.unpersist()
+    if validation is None:
+        return learner.fit(_prepared(rows, label))
+    return learner.setValidationIndicatorCol(validation).fit(_prepared(rows, label, [validation]))
+
+
+def fit_boosting(
+    windows: DataFrame,
+    settings: BoostingSettings = BoostingSettings(),
+    label: str = "y",
+    validation: str | None = None,
+) -> GBTClassificationModel:
+    """Class-weighted boosted trees on flat blocks; ``validation`` marks held-out rows."""
+    needed = ["x", label, *([validation] if validation else [])]
+    with _held(windows.select(*needed)) as rows:
+        return _fit(rows, settings, label, validation)
 
 
 def fit_then_refit(
@@ -91,10 +103,10 @@ def fit_then_refit(
 
     ``use_best_rounds=False`` refits with the full number of rounds.
     """
-    if not use_best_rounds:
-        return fit_boosting(windows, settings, label)
-    chosen = fit_boosting(windows, settings, label, validation)
-    return fit_boosting(windows, replace(settings, rounds=chosen.getNumTrees), label)
+    with _held(windows.select("x", label, validation)) as rows:
+        if use_best_rounds:
+            settings = replace(settings, rounds=_fit(rows, settings, label, validation).getNumTrees)
+        return _fit(rows, settings, label)
 
 
 def score_windows(model: GBTClassificationModel, windows: DataFrame, out: str = "y_prob") -> DataFrame:
@@ -112,9 +124,13 @@ def _with_day(block: str, day: str) -> F.Column:
 def fit_horizon(
     windows: DataFrame, settings: BoostingSettings = BoostingSettings(), labels: str = "y_days"
 ) -> GBTClassificationModel:
-    """One model for all horizon days, with the day as a further feature."""
-    per_day = windows.select("x", F.posexplode(labels).alias("_day", "_event"))
-    return fit_boosting(per_day.withColumn("x", _with_day("x", "_day")), settings, "_event")
+    """One model for all horizon days, with the day as a further feature.
+
+    The windows are kept, not their copies per day.
+    """
+    with _held(windows.select("x", labels)) as rows:
+        per_day = rows.select("x", F.posexplode(labels).alias("_day", "_event"))
+        return _fit(per_day.select(_with_day("x", "_day").alias("x"), "_event"), settings, "_event")
 
 
 def score_horizon(

@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from gauge_engine.catalog.stand_ins import EVENTS, EVENTS_TRAIN, ORDERS, event_readings, order_readings
-from gauge_engine.operators.daily import daily_slim
+from gauge_engine.operators.daily import daily_slim, preview_per_key
+from gauge_engine.operators.metrics import roc_auc, score_histogram
+from gauge_engine.operators.models import BoostingSettings, fit_horizon, score_horizon
 from gauge_engine.operators.splits import keep_entities
-from gauge_engine.plans.training import training_windows
+from gauge_engine.plans.training import scoring_windows, training_windows
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,3 +45,27 @@ def test_no_cross_joins(spark, name):
 
     text = plan(QUERIES[name](spark, SF))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_horizon_scoring_adds_no_shuffle(spark):
+    readings = order_readings(spark, SF)
+    model = fit_horizon(training_windows(readings, ORDERS), BoostingSettings(rounds=1, depth=1))
+    windows = scoring_windows(readings, ORDERS)
+    scored = score_horizon(model, windows, ORDERS)
+    assert plan(scored).count("Exchange") == plan(windows).count("Exchange") == 2
+    assert scored.count() == windows.count()
+
+
+def test_previews_are_limited_before_the_shuffle(spark):
+    text = plan(preview_per_key(event_readings(spark, SF), EVENTS))
+    assert text.index("WindowGroupLimit") < text.index("Exchange") < text.rindex("WindowGroupLimit")
+
+
+def test_score_input_is_read_once(spark):
+    """Bucket cuts and rows share one shuffle of the histogram."""
+    pairs = spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr(
+        "CAST(l_returnflag = 'R' AS INT) AS y_true", "l_extendedprice AS score"
+    )
+    auc = roc_auc(score_histogram(pairs))
+    auc.collect()
+    assert "ReusedExchange" in plan(auc)
