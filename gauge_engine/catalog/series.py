@@ -16,7 +16,6 @@ from gauge_engine.catalog.stand_ins import (
     event_readings,
     order_readings,
     pending_orders_unread,
-    saturated_events,
     series_ctes,
 )
 from gauge_engine.columns import SensorColumns

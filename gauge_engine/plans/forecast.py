@@ -90,13 +90,24 @@ def forecast_horizon(
     settings: BoostingSettings = BoostingSettings(),
     stds: float = THRESHOLD_STDS,
     combine: str = "blend",
+    bundle_path: str | None = None,
 ) -> DataFrame:
-    """Prediction per index id from a daily horizon forecast, blended or its maximum."""
+    """Prediction per index id from a daily horizon forecast, blended or its maximum.
+
+    A bundle at ``bundle_path`` is reused, else fitted and kept.
+    """
+    if combine not in ("blend", "max"):
+        raise ValueError(f"combine must be 'blend' or 'max', not {combine!r}")
     names = cols.sequence_features if features is None else features
-    model = fit_horizon(training_windows(train, cols, names, stds=stds), settings)
-    windows = require_rows(scoring_windows(test, cols, names), NO_WINDOWS)
-    daily = score_horizon(model, windows, cols)
-    combined = horizon_blend("probs") if combine == "blend" else horizon_max("probs")
+
+    def fit() -> ModelBundle:
+        model = fit_horizon(training_windows(train, cols, names, stds=stds), settings)
+        return ModelBundle(model, names, settings)
+
+    bundle = load_or_fit(test.sparkSession, bundle_path, fit) if bundle_path else fit()
+    windows = require_rows(scoring_windows(test, cols, bundle.features), NO_WINDOWS)
+    daily = score_horizon(bundle.model, windows, cols, bundle.horizon)
+    combined = horizon_blend("probs", bundle.horizon) if combine == "blend" else horizon_max("probs")
     return align_to_index(index, daily.withColumn("y_prob", combined), cols)
 
 

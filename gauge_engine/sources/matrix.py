@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from gauge_engine.columns import STATIONS, SensorColumns
 from gauge_engine.functions.scalars import daynum_to_timestamp, null_if_nan
@@ -17,7 +18,7 @@ def melt_matrix(
 ) -> DataFrame:
     """One reading per matrix cell, nulls kept, times decoded from day-numbers.
 
-    ``entities`` carries the per-entity attributes; its join strategy follows its size.
+    ``entities`` carries the attributes, one row per entity.
     """
     names = [c for c in wide.columns if c != daynum]
     tall = wide.unpivot(daynum, names, cols.entity, cols.value)
@@ -26,8 +27,14 @@ def melt_matrix(
         cols.entity,
         null_if_nan(cols.value).alias(cols.value),
     )
-    if entities is None:
+    if entities is None or not cols.attrs:
         return readings
-    return readings.join(entities.select(cols.entity, *cols.attrs), cols.entity, "left").select(
+    attributes = (
+        entities.filter(F.col(cols.entity).isin(names))
+        .groupBy(cols.entity)
+        .agg(*[F.any_value(a, F.lit(True)).alias(a) for a in cols.attrs])
+    )
+    # At most one row per matrix column, so the cells never shuffle by entity.
+    return readings.join(F.broadcast(attributes), cols.entity, "left").select(
         cols.time, cols.entity, *cols.attrs, cols.value
     )

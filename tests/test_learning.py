@@ -172,6 +172,8 @@ def test_horizon_forecast_answers_every_id(train, test):
     index = index_with_ids(daily_slim(test, S), S)
     got = forecast_horizon(train, test, index, S, settings=QUICK, stds=0.5).collect()
     assert sorted(r.id for r in got) == list(range(len(got))) and all(0 <= r.y_prob <= 1 for r in got)
+    with pytest.raises(ValueError, match="combine"):
+        forecast_horizon(train, test, index, S, combine="mean")
 
 
 def test_plugin_scores_rows_in_batches(spark, test):
