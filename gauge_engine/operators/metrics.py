@@ -45,17 +45,23 @@ def score_column(columns: Sequence[str]) -> str:
     return list(columns)[-1]
 
 
+def _required(name: str, dtype: str | None = None) -> Column:
+    """The column, failing the job where it is null (an unreadable truth row)."""
+    c = F.col(name).cast(dtype) if dtype else F.col(name)
+    return F.coalesce(c, F.raise_error(F.lit(f"truth row without a usable {name}"))).alias(name)
+
+
 def scored_pairs(truth: DataFrame, predictions: DataFrame) -> DataFrame:
     """Truth joined to predictions on id: ``score``, ``y_true`` and a row ``weight``.
 
     Copies in the truth are counted before the join, so repeated ids on both sides do not
-    multiply; the weight restores their number.
+    multiply; the weight restores their number. A truth row without id or label fails the
+    job; set such rows aside beforehand to go on without them.
     """
     name = score_column(predictions.columns)
     score = F.col(name).cast("int" if name == "label" else "double")
-    counted = truth.groupBy("id", F.col("y_true").cast("int").alias("y_true")).agg(
-        F.count(F.lit(1)).alias("weight")
-    )
+    usable = truth.select(_required("id"), _required("y_true", "int"))
+    counted = usable.groupBy("id", "y_true").agg(F.count(F.lit(1)).alias("weight"))
     return predictions.select("id", score.cast("double").alias("score")).join(counted, "id")
 
 

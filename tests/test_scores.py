@@ -87,6 +87,15 @@ def test_no_overlap_fails(spark):
         score_predictions(t, p.selectExpr("id + 100 AS id", "y_prob")).collect()
 
 
+@pytest.mark.parametrize("row", [(None, 1), (2, None)])
+def test_unusable_truth_fails(spark, row):
+    t = spark.createDataFrame([(0, 1), (1, 0), row], "id bigint, y_true int")
+    p = spark.createDataFrame([(0, 0.9), (1, 0.2), (2, 0.2)], "id bigint, y_prob double")
+    with pytest.raises(Exception, match="without a usable"):
+        score_predictions(t, p).collect()
+    assert score_predictions(t.dropna(), p).first().n == 2
+
+
 def test_repeated_ids_count_every_pair(spark):
     t = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (2, 0)], "id bigint, y_true int")
     p = spark.createDataFrame([(1, 0.9), (1, 0.2), (2, 0.4)], "id bigint, y_prob double")
