@@ -17,6 +17,7 @@ from gauge_engine.catalog.stand_ins import (
     order_readings,
     pending_orders_unread,
     series_ctes,
+    whole_seconds,
 )
 from gauge_engine.columns import SensorColumns
 from gauge_engine.functions.scalars import UNIX_EPOCH_DAYNUM, composite_key, daynum_to_timestamp
@@ -306,8 +307,7 @@ def _(spark, sf):
     """SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S.%f') AS decoded FROM events""",
 )
 def _(spark, sf):
-    seconds = F.unix_timestamp(F.date_trunc("second", "ts").cast("timestamp"))
-    daynum = seconds / 86400.0 + UNIX_EPOCH_DAYNUM
+    daynum = whole_seconds("ts") / 86400.0 + UNIX_EPOCH_DAYNUM
     coded = event_readings(spark, sf).select("event_id", daynum.alias("t"))
     return emit(coded.select("event_id", daynum_to_timestamp("t", to_seconds=True).alias("decoded")))
 

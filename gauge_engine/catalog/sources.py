@@ -16,6 +16,7 @@ from gauge_engine.catalog.stand_ins import (
     order_readings,
     saturated_events,
     series_ctes,
+    whole_seconds,
 )
 from gauge_engine.catalog.windows import _INDEX_COLUMNS, INDEX_CTE
 from gauge_engine.functions.scalars import UNIX_EPOCH_DAYNUM
@@ -141,7 +142,7 @@ def _(spark, sf):
 
 def hourly_matrix(spark, sf):
     """Hour by event type, as day-numbers and one column per entity; empty hours are null."""
-    hour = F.unix_timestamp(F.date_trunc("hour", "ts").cast("timestamp")) / 86400.0 + UNIX_EPOCH_DAYNUM
+    hour = F.floor(whole_seconds("ts") / 3600) / 24.0 + UNIX_EPOCH_DAYNUM
     names = [*EVENTS_TRAIN, *EVENTS_TEST]
     return event_readings(spark, sf).groupBy(hour.alias("t")).pivot("event_type", names).agg(F.avg("value"))
 

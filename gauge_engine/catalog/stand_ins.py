@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gauge_engine.catalog.registry import table
@@ -53,6 +53,12 @@ def saturated_events(spark: SparkSession, sf: str) -> DataFrame:
     return event_readings(spark, sf).withColumn("value", value)
 
 
+def whole_seconds(ts: str) -> Column:
+    """Seconds since 1970 of a zone-free time, fractions cut; independent of the session zone."""
+    days = F.datediff(F.to_date(ts), F.lit("1970-01-01"))
+    return days.cast("bigint") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+
+
 def week_intervals(spark: SparkSession, sf: str) -> DataFrame:
     """Seven-day intervals from the data: every calendar week with an order."""
     start = F.to_date(F.date_trunc("week", "o_orderdate"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gauge_engine.catalog.stand_ins import EVENTS, EVENTS_TRAIN, ORDERS, event_readings, order_readings
 from gauge_engine.operators.daily import daily_slim, preview_per_key
-from gauge_engine.operators.metrics import roc_auc, score_histogram
+from gauge_engine.operators.metrics import roc_auc, score_histogram, scored_pairs
 from gauge_engine.operators.models import BoostingSettings, fit_horizon, score_horizon
 from gauge_engine.operators.splits import keep_entities
 from gauge_engine.plans.training import scoring_windows, training_windows
@@ -69,3 +69,28 @@ def test_score_input_is_read_once(spark):
     auc = roc_auc(score_histogram(pairs))
     auc.collect()
     assert "ReusedExchange" in plan(auc)
+
+
+def test_a_hot_id_is_split_by_the_skew_join(spark):
+    """A third of both tables sits on one id, with different scores."""
+    rows = spark.range(300_000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("id"),
+        (F.col("id") % 2).cast("int").alias("y_true"),
+        (F.col("id") / 300_000).alias("y_prob"),
+    )
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        # Several input files, as a hot partition is split along the map tasks.
+        pairs = scored_pairs(rows.select("id", "y_true"), rows.select("id", "y_prob").repartition(8))
+        assert len(pairs.collect()) == 2 * 100_000 + 200_000
+        assert "skew=true" in plan(pairs)
+    finally:
+        for key in small:
+            spark.conf.unset(key)
