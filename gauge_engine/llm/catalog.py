@@ -49,3 +49,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), folder)
     return read_token_files(spark, folder)
+
+
+@query("op2_ngram_join")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gauge_engine.llm.ngram_join import ngram_components
+
+    found = ngram_components(table(spark, sf_dir, "documents"), size=3, percent=90)
+    return found.selectExpr("id AS doc_id", "n_shingles", "component AS component_id")
