@@ -57,3 +57,14 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = ngram_components(table(spark, sf_dir, "documents"), size=3, percent=90)
     return found.selectExpr("id AS doc_id", "n_shingles", "component AS component_id")
+
+
+@query("op3_suffix_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gauge_engine.llm.suffix_dedup import remove_repeats
+
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.selectExpr(
+        "id AS doc_id", "n_bytes", "n_bytes - octet_length(kept) AS n_removed",
+        "CAST(size(spans) AS bigint) AS n_spans", "sha2(kept, 256) AS kept_sha256",
+    )
