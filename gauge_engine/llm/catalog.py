@@ -68,3 +68,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id AS doc_id", "n_bytes", "n_bytes - octet_length(kept) AS n_removed",
         "CAST(size(spans) AS bigint) AS n_spans", "sha2(kept, 256) AS kept_sha256",
     )
+
+
+@query("op9_suffix_tree")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gauge_engine.llm.suffix_tree import suffix_tree_scores
+
+    return suffix_tree_scores(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

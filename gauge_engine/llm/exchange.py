@@ -77,15 +77,18 @@ def unpack_sums(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, kind, offset=1).astype("f8" if kind == "<f8" else "i8")
 
 
-def pieces(bucket: int, keys: np.ndarray, sums: np.ndarray, parts: int) -> pd.DataFrame:
-    """A bucket's sorted distinct keys as rows of ``PIECES``, one per range that has keys."""
+def pieces(bucket: int, keys: np.ndarray, sums: np.ndarray, parts: int, first_part: int = 0) -> pd.DataFrame:
+    """A bucket's sorted distinct keys as rows of ``PIECES``, one per range that has keys.
+
+    Ranges are numbered from ``first_part``, so kinds of keys can have ranges of their own.
+    """
     part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
     edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(keys) else np.empty(0, int)
     ends = np.append(edges[1:], len(keys))
     return pd.DataFrame(
         {
             "bucket": np.full(len(edges), bucket, "i8"),
-            "part": part[edges].astype("i4"),
+            "part": part[edges].astype("i4") + np.int32(first_part),
             "keys": [pack_keys(keys[a:b]) for a, b in zip(edges, ends)],
             "sums": [pack_sums(sums[a:b]) for a, b in zip(edges, ends)],
         }
@@ -126,6 +129,21 @@ def totals(sent: DataFrame, at_least: float | None = None) -> DataFrame:
     return sent.groupBy("part").applyInPandas(merge, RETURNS)
 
 
+def distinct_and_total(sent: DataFrame, parts: int) -> DataFrame:
+    """One row: ``distinct`` keys with a sum above 0 and the ``total`` of all sums, over the
+    ranges below ``parts``. Sums are whole numbers."""
+
+    def measure(frame: pd.DataFrame) -> pd.DataFrame:
+        if frame["part"].iloc[0] >= parts:
+            return pd.DataFrame({"distinct": np.empty(0, "i8"), "total": np.empty(0, "i8")})
+        keys = np.concatenate([unpack_keys(k) for k in frame["keys"]])
+        sums = np.concatenate([unpack_sums(s) for s in frame["sums"]])
+        return pd.DataFrame({"distinct": [len(np.unique(keys[sums > 0]))], "total": [int(sums.sum())]})
+
+    each = sent.groupBy("part").applyInPandas(measure, "distinct bigint, total bigint")
+    return each.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("distinct", "total")])
+
+
 def lookup_table(returned: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """A bucket's returned keys in order, and their sums."""
     if not len(returned):
