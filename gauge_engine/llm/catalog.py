@@ -75,3 +75,28 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gauge_engine.llm.suffix_tree import suffix_tree_scores
 
     return suffix_tree_scores(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op4_url_filter")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gauge_engine.llm.url_filter import Rule, judge_urls
+
+    rules = (
+        Rule("block", "net", "/"),
+        Rule("allow", "example.net", "/en/"),
+        Rule("block", "example.com", "/de/"),
+        Rule("allow", "org", "/fr/"),
+    )
+    judged = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return judged.select("page_id", "host", "path", "rule", "score", "verdict")
+
+
+@query("op5_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gauge_engine.llm.quality import judge_quality
+
+    judged = judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.selectExpr(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed", "kept",
+    )
