@@ -100,3 +100,21 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed", "kept",
     )
+
+
+@query("op6_decontamination")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gauge_engine.llm.decontamination import find_leaks
+
+    found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.selectExpr("id AS doc_id", "item AS item_id", "start", "matched", "stretch")
+
+
+@query("op8_licences")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gauge_engine.llm.licences import scan_licences
+
+    found = scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.selectExpr(
+        "doc_id", "array_join(licence_sentences, ',') AS licence_sentences", "array_join(licences, ',') AS licences"
+    )
