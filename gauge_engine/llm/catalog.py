@@ -118,3 +118,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr(
         "doc_id", "array_join(licence_sentences, ',') AS licence_sentences", "array_join(licences, ',') AS licences"
     )
+
+
+@query("op10_line_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gauge_engine.llm.line_dedup import dedup_lines
+
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.selectExpr("doc_id", "text", "CAST(n_lines AS bigint) AS n_lines", "CAST(n_removed AS bigint) AS n_removed")

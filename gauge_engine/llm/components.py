@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gauge_engine.session import materialize
 
 
+def materialize_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """A written table and its number of rows, from the one job that writes it."""
+    seen = Observation()
+    written = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+    return written, seen.get["n"]
+
+
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """A written edge table, and its size and a checksum of its edges."""
+    seen = Observation()
+    checksum = F.coalesce(F.sum(F.xxhash64("u", "v") % (1 << 31)), F.lit(0))
+    written = materialize(edges.observe(seen, F.count("u").alias("n"), checksum.alias("sum")), "edges")
+    return written, (seen.get["n"], seen.get["sum"])
+
+
 def _oriented(edges: DataFrame) -> DataFrame:
     """``u > v``, each edge once, no loops."""
     return (
@@ -37,13 +52,12 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     A node of a component of one has no row. The number of rounds grows with the logarithm
     of the longest path; a hub's edges meet only in joins, which adaptive execution splits.
     """
-    now = materialize(_oriented(edges.select(F.col(a).alias("u"), F.col(b).alias("v"))), "edges")
+    now, state = _written(_oriented(edges.select(F.col(a).alias("u"), F.col(b).alias("v"))))
     seen = None
     while True:
-        state = now.agg(F.count("u"), F.sum(F.xxhash64("u", "v") % (1 << 31))).first()
         if state == seen or not state[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
                 now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         seen = state
-        now = materialize(_oriented(_small_star(_oriented(_large_star(now)))), "edges")
+        now, state = _written(_oriented(_small_star(_oriented(_large_star(now)))))

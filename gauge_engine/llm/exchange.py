@@ -30,20 +30,22 @@ def bucket_count(df: DataFrame, text_col: str, bucket_bytes: int = BUCKET_BYTES)
 
 
 def bucketed(df: DataFrame, buckets: int, id_col: str, text_col: str) -> DataFrame:
-    """``bucket, id, text``: rows dealt by a hash of id and text, so null ids spread too."""
-    number = F.pmod(F.xxhash64(id_col, text_col), F.lit(buckets))
+    """``bucket, key, id, text``: rows dealt by their key, a hash of id and text, so that
+    null ids spread too."""
+    key = F.xxhash64(id_col, text_col)
     return df.select(
-        number.cast("bigint").alias("bucket"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")
+        F.pmod(key, F.lit(buckets)).cast("bigint").alias("bucket"), key.alias("key"),
+        F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"),
     )
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted unsigned 64-bit keys: width, first key, then the differences in ``width`` bytes,
+    """Sorted unsigned 64-bit keys, equal ones too: width, first key, then the differences in ``width`` bytes,
     lowest bytes of all first."""
     if not len(keys):
         return b""
     steps = np.diff(keys)
-    width = (int(steps.max()).bit_length() + 7) // 8 if len(steps) else 0
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 0
     planes = steps.astype("<u8").view("u1").reshape(-1, 8)[:, :width].T
     return bytes([width]) + keys[:1].astype("<u8").tobytes() + planes.tobytes()
 
@@ -54,7 +56,6 @@ def unpack_keys(packed: bytes) -> np.ndarray:
     width = packed[0]
     first = np.frombuffer(packed, "<u8", 1, 1)
     if not width:
-        # One key, or the same key again cannot occur: keys are distinct.
         return first.astype(np.uint64)
     planes = np.frombuffer(packed, "u1", offset=9).reshape(width, -1)
     steps = np.zeros((planes.shape[1], 8), "u1")
@@ -77,14 +78,19 @@ def unpack_sums(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, kind, offset=1).astype("f8" if kind == "<f8" else "i8")
 
 
+def ranges(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Range of each sorted key, and where the keys of each range begin and end."""
+    part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(keys) else np.empty(0, int)
+    return part, edges, np.append(edges[1:], len(keys))
+
+
 def pieces(bucket: int, keys: np.ndarray, sums: np.ndarray, parts: int, first_part: int = 0) -> pd.DataFrame:
     """A bucket's sorted distinct keys as rows of ``PIECES``, one per range that has keys.
 
     Ranges are numbered from ``first_part``, so kinds of keys can have ranges of their own.
     """
-    part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(keys) else np.empty(0, int)
-    ends = np.append(edges[1:], len(keys))
+    part, edges, ends = ranges(keys, parts)
     return pd.DataFrame(
         {
             "bucket": np.full(len(edges), bucket, "i8"),

@@ -9,9 +9,11 @@ pairs left are compared in full.
 
 Groups are not expanded pair by pair. A round compares, for each prefix shingle, one
 member of the most common component with all groups that are not in that component yet;
-components then grow, and what one component holds is never compared again. The pairs
-that are still apart after the rounds are compared without exception, so the result is
-exact; rounds only decide how few comparisons that takes.
+components then grow, and what one component holds is never compared again. Sets
+that are still apart after the rounds are paired without exception, so the result is
+exact; rounds only decide how few comparisons that takes. Before a pair is compared in
+full, a bitmap of each set, one bit per hash value telling whether an odd number of
+shingles has it, bounds from below in how many shingles the two differ.
 """
 
 from __future__ import annotations
@@ -20,19 +22,21 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gauge_engine.llm.components import connected_components
+from gauge_engine.llm.components import connected_components, materialize_counted
 from gauge_engine.llm.exchange import bucket_count, bucketed, look_up, lookup_table, no_pieces, pieces, totals
 from gauge_engine.llm.exchange import PIECES
 from gauge_engine.llm.shipping import ship_package
 from gauge_engine.session import materialize
 
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+BITMAP_WORDS = 4
 
 SETS = (
-    "id bigint, set_key bigint, n bigint, shared array<bigint>, prefix array<bigint>, alone bigint"
+    "key bigint, id bigint, set_key bigint, n bigint, shared array<bigint>, prefix array<bigint>, alone bigint, "
+    "bitmap array<bigint>"
 )
 
 _M1, _M2, _M3 = (np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
@@ -82,6 +86,12 @@ def _coarse(keys: np.ndarray) -> np.ndarray:
     return keys & ~np.uint64(0xFFFF)
 
 
+def _bitmap(keys: np.ndarray) -> np.ndarray:
+    """Parities of how many keys fall on each of ``BITMAP_WORDS * 64`` values."""
+    counts = np.bincount((keys & np.uint64(64 * BITMAP_WORDS - 1)).astype("i8"), minlength=64 * BITMAP_WORDS)
+    return np.packbits((counts & 1).astype("u1")).view("<i8")
+
+
 def _shingle_counts(size: int, parts: int):
     def count(frame: pd.DataFrame) -> pd.DataFrame:
         hashes = WordHashes()
@@ -102,7 +112,7 @@ def _indexed_sets(size: int, percent: int):
         known = lookup_table(returned)
         hashes = WordHashes()
         rows = []
-        for number, text in zip(texts["id"].astype("Int64"), texts["text"]):
+        for key, number, text in zip(texts["key"], texts["id"].astype("Int64"), texts["text"]):
             keys = shingle_keys(words_of(text), size, hashes)
             n = len(keys)
             number = None if number is pd.NA else int(number)
@@ -112,10 +122,10 @@ def _indexed_sets(size: int, percent: int):
             alone = n - len(shared)
             length = n - (percent * n + 99) // 100 + 1 if n else 0
             if number is None or length <= alone:
-                rows.append((number, set_key, n, None, None, None))
+                rows.append((key, number, set_key, n, None, None, None, None))
                 continue
             order = np.lexsort((shared, counts))[: length - alone]
-            rows.append((number, set_key, n, shared.astype("i8"), shared[order].astype("i8"), alone))
+            rows.append((key, number, set_key, n, shared.astype("i8"), shared[order].astype("i8"), alone, _bitmap(keys)))
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in SETS.split(", ")])
         return out.astype({"id": "Int64", "set_key": "Int64", "n": "i8", "alone": "Int64"})
 
@@ -124,29 +134,25 @@ def _indexed_sets(size: int, percent: int):
 
 def _links(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """``a, b``: the pairs of sets that are similar enough, compared in full."""
-    left = members.select(F.col("set_key").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"))
-    right = members.select(F.col("set_key").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb")).cast("bigint")
+    left = members.select(*[F.col(c).alias(f"a_{c}") for c in members.columns]).withColumnRenamed("a_set_key", "a")
+    right = members.select(*[F.col(c).alias(f"b_{c}") for c in members.columns]).withColumnRenamed("b_set_key", "b")
+    both = F.size(F.array_intersect("a_shared", "b_shared")).cast("bigint")
     return (
         pairs.join(left, "a")
         .join(right, "b")
-        .where((100 + percent) * both >= percent * (F.col("na") + F.col("nb")))
+        .where((100 + percent) * both >= percent * (F.col("a_n") + F.col("b_n")))
         .select("a", "b")
     )
 
 
-def _can_match(a: str, b: str, percent: int):
+def _can_match(a: str, b: str, percent: int) -> Column:
     """Size and position filter of two groups that share a prefix shingle.
 
     Behind the shared one, at most the shorter rest can match; before it, at most the
-    shorter head.
+    shorter indexed head.
     """
-    most = (
-        F.least(F.col(f"{a}.pos"), F.col(f"{b}.pos"))
-        + 1
-        + F.least(F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos"))
-        - 1
-    )
+    rest = F.least(F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos"))
+    most = F.least(f"{a}.i", f"{b}.i") + rest
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     return (
         (100 * F.least(n, m) >= percent * F.greatest(n, m))
@@ -154,11 +160,18 @@ def _can_match(a: str, b: str, percent: int):
     )
 
 
+def _few_differences(a: str, b: str, percent: int) -> Column:
+    """Bits in which the bitmaps differ are as many shingles at least."""
+    bits = [F.bit_count(F.get(f"{a}.bitmap", F.lit(w)).bitwiseXOR(F.get(f"{b}.bitmap", F.lit(w)))) for w in range(BITMAP_WORDS)]
+    return (100 + percent) * sum(bits[1:], bits[0]) <= (100 - percent) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
 def ngram_components(
     docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """Near-duplicate components: ``id, n_shingles, component``, one row per row of ``docs``.
+    """Near-duplicate components: ``key, id, n_shingles, component``, a row per row of ``docs``.
 
+    ``key`` is a hash of id and text and names the row.
     A document's set holds its distinct ``size``-word shingles; with fewer words, all words
     as one shingle. Two sets are linked when ``100 * intersection >= percent * union``;
     ``component`` is the smallest id reachable over links.
@@ -184,7 +197,7 @@ def ngram_components(
     sets = materialize(
         rows.where("prefix IS NOT NULL")
         .groupBy("set_key")
-        .agg(*[F.first(c).alias(c) for c in ("n", "shared", "prefix", "alone")], F.min("id").alias("first_id"))
+        .agg(*[F.first(c).alias(c) for c in ("n", "shared", "prefix", "alone", "bitmap")], F.min("id").alias("first_id"))
         .withColumn("gid", F.xxhash64("n", "alone", "prefix")),
         "distinct-sets",
     )
@@ -197,7 +210,7 @@ def ngram_components(
         "prefix-groups",
     )
     tokens = groups.select("gid", "n", "alone", F.posexplode("prefix").alias("i", "token")).select(
-        "token", "gid", "n", (F.col("alone") + F.col("i")).alias("pos")
+        "token", "gid", "n", "i", (F.col("alone") + F.col("i")).alias("pos")
     )
     of_group = sets.select("gid", "set_key")
 
@@ -217,20 +230,20 @@ def ngram_components(
         units = parted.groupBy("gid", "component").agg(F.min("set_key").alias("speaker"))
         placed = tokens.join(units, "gid")
         # Only shingles met by two components can still bring a link.
+        most = placed.groupBy("token", "component").agg(F.count("gid").alias("units"))
+        hub_component = most.groupBy("token").agg(
+            F.max_by("component", F.struct("units", "component")).alias("component"), F.count("units").alias("parts")
+        ).where("parts > 1").drop("parts")
+        hub, contested = materialize_counted(
+            placed.join(hub_component, ["token", "component"])
+            .groupBy("token", "component")
+            .agg(F.min_by(F.struct("gid", "n", "i", "pos", "speaker"), F.xxhash64("speaker", F.lit(turn))).alias("hub"))
+            .select("token", F.col("component").alias("hub_component"), "hub.*"),
+            "hubs",
+        )
+        if not contested:
+            break
         if turn < STAR_ROUNDS:
-            most = placed.groupBy("token", "component").agg(F.count("gid").alias("units"))
-            hub_component = most.groupBy("token").agg(
-                F.max_by("component", F.struct("units", "component")).alias("component"), F.count("units").alias("parts")
-            ).where("parts > 1").drop("parts")
-            hub = materialize(
-                placed.join(hub_component, ["token", "component"])
-                .groupBy("token", "component")
-                .agg(F.min_by(F.struct("gid", "n", "pos", "speaker"), F.xxhash64("speaker", F.lit(turn))).alias("hub"))
-                .select("token", F.col("component").alias("hub_component"), "hub.*"),
-                "hubs",
-            )
-            if hub.isEmpty():
-                break
             near = (
                 placed.alias("x")
                 .join(hub.alias("h"), "token")
@@ -240,26 +253,20 @@ def ngram_components(
             )
             pairs = near.join(parted, ["gid", "component"]).select("a", F.col("set_key").alias("b"))
         else:
-            near = (
-                placed.alias("x")
-                .join(placed.alias("y"), "token")
-                .where(
-                    (F.col("x.component") < F.col("y.component")) & _can_match("x", "y", percent)
-                )
-                .select(
-                    F.col("x.gid").alias("gid"), F.col("x.component").alias("component"),
-                    F.col("y.gid").alias("other_gid"), F.col("y.component").alias("other_component"),
-                )
-                .distinct()
-            )
-            other = parted.select(
-                F.col("gid").alias("other_gid"), F.col("component").alias("other_component"), F.col("set_key").alias("b")
+            apart = (
+                tokens.join(hub.select("token"), "token", "left_semi")
+                .join(parted, "gid")
+                .join(sets.select("set_key", "bitmap"), "set_key")
             )
             pairs = (
-                near.join(parted, ["gid", "component"])
-                .withColumnRenamed("set_key", "a")
-                .join(other, ["other_gid", "other_component"])
-                .select("a", "b")
+                apart.alias("x")
+                .join(apart.alias("y"), "token")
+                .where(
+                    (F.col("x.component") < F.col("y.component"))
+                    & _few_differences("x", "y", percent)
+                    & _can_match("x", "y", percent)
+                )
+                .select(F.col("x.set_key").alias("a"), F.col("y.set_key").alias("b"))
             )
         links.append(materialize(_links(pairs.distinct(), members, percent), "links"))
 
@@ -272,7 +279,10 @@ def ngram_components(
     smallest = named.groupBy("component").agg(F.min("first_id").alias("smallest"))
     of_set = named.join(smallest, "component").select("set_key", "smallest")
     return (
-        rows.select("id", "set_key", "n")
+        rows.select("key", "id", "set_key", "n")
         .join(of_set, "set_key", "left")
-        .select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("smallest", "id")).alias("component"))
+        .select(
+            "key", "id", F.col("n").alias("n_shingles"),
+            F.when(F.col("id").isNotNull(), F.coalesce("smallest", "id")).alias("component"),
+        )
     )

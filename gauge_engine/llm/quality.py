@@ -9,7 +9,7 @@ ones. The order decides speed only: a document is kept if no rule rejects it.
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -30,20 +30,20 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects``: a condition over the columns of ``with_metrics`` and ``text``."""
+    """``rejects`` makes a condition from the metrics of ``metrics``."""
 
     name: str
-    rejects: str
+    rejects: Callable[[Mapping[str, Column]], Column]
 
 
 # The first two are the base rules.
 RULES = (
-    Rule("few_words", "n_words < 10"),
-    Rule("repeated_words", "100 * n_repeat_words > 20 * n_words"),
-    Rule("symbols", "10 * n_symbols > n_words"),
-    Rule("repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
-    Rule("exclamations", "2 * n_exclamations > n_words"),
-    Rule("word_length", "word_chars < 2 * n_words OR word_chars > 20 * n_words"),
+    Rule("few_words", lambda m: m["n_words"] < 10),
+    Rule("repeated_words", lambda m: 100 * m["n_repeat_words"] > 20 * m["n_words"]),
+    Rule("symbols", lambda m: 10 * m["n_symbols"] > m["n_words"]),
+    Rule("repeated_lines", lambda m: 10 * m["n_dup_lines"] > 3 * m["n_lines"]),
+    Rule("exclamations", lambda m: 2 * m["n_exclamations"] > m["n_words"]),
+    Rule("word_length", lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 20 * m["n_words"])),
 )
 
 
@@ -97,41 +97,56 @@ def _repeat_words(found: Column) -> Column:
     return F.when(F.size(found) <= n, 0).otherwise(F.get(F.transform(F.array(windows), count), F.lit(0)))
 
 
-def with_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the numbers that rules refer to; each is computed only where it is used."""
-    text = F.coalesce(text_col, F.lit(""))
-    parts = docs.withColumns({"_words": words(F.col(text_col))})
+def metrics(text: Column, found: Column) -> dict[str, Column]:
+    """The numbers that rules refer to, from a text and its words."""
+    text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(_NOT_SPACE))
     numbers = {
-        "n_words": F.size("_words"),
+        "n_words": F.size(found),
         "word_chars": F.length(_without(text, _SPACES)),
         "n_symbols": F.length(text) - F.length(_without(text, SYMBOLS)),
         "n_lines": F.size(lines),
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
-        "n_repeat_words": _repeat_words(F.col("_words")),
+        "n_repeat_words": _repeat_words(found),
         "n_exclamations": F.length(text) - F.length(_without(text, "!")),
     }
-    return parts.withColumns({k: v.cast("bigint") for k, v in numbers.items()}).drop("_words")
+    return {name: number.cast("bigint") for name, number in numbers.items()}
+
+
+def with_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with all metrics; clashing columns are replaced."""
+    held = docs.withColumn("_words", words(F.col(text_col)))
+    return held.withColumns(metrics(F.col(text_col), F.col("_words"))).drop("_words")
+
+
+def keeps(ordered: Sequence[Rule], text_col: str = "text") -> Column:
+    """False at the first rule that rejects, else true.
+
+    The words are bound once, as the variable of a one-element transform; a metric is
+    computed only if no earlier rule has rejected.
+    """
+
+    def cascade(found: Column) -> Column:
+        numbers = metrics(F.col(text_col), found)
+        verdict = F.when(F.lit(False), F.lit(False))
+        for rule in ordered:
+            verdict = verdict.when(F.coalesce(rule.rejects(numbers), F.lit(False)), False)
+        return verdict.otherwise(True)
+
+    return F.get(F.transform(F.array(words(F.col(text_col))), cascade), F.lit(0))
 
 
 def order_rules(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text") -> list[Rule]:
     """Rules by rejections per second on a sample, highest first."""
-    sample = materialize(docs.select(F.col(text_col).alias("text")).sample(SAMPLE_SHARE, seed=7).limit(SAMPLE_ROWS), "rule-sample")
+    sample = materialize(
+        docs.select(F.col(text_col).alias("text")).sample(SAMPLE_SHARE, seed=7).limit(SAMPLE_ROWS), "rule-sample"
+    )
     worth = {}
     for rule in rules:
         began = time.perf_counter()
-        rejected = with_metrics(sample).where(rule.rejects).count()
-        worth[rule] = rejected / (time.perf_counter() - began)
-    return sorted(rules, key=lambda r: (-worth[r], r.name))
-
-
-def keeps(ordered: Sequence[Rule]) -> Column:
-    """False at the first rule that rejects, else true."""
-    verdict = None
-    for rule in ordered:
-        rejects = F.coalesce(F.expr(rule.rejects), F.lit(False))
-        verdict = F.when(rejects, False) if verdict is None else verdict.when(rejects, False)
-    return F.lit(True) if verdict is None else verdict.otherwise(True)
+        rejected = sample.where(~keeps([rule])).count()
+        worth[rule.name] = rejected / (time.perf_counter() - began)
+    return sorted(rules, key=lambda r: (-worth[r.name], r.name))
 
 
 def judge_quality(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text") -> DataFrame:
@@ -141,11 +156,13 @@ def judge_quality(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str
     columns do not matter. Repeated rows get equal verdicts. An empty table stays empty.
     Very long texts are measured whole.
     """
-    return with_metrics(docs, text_col).withColumn("kept", keeps(order_rules(docs, rules, text_col)))
+    measured = with_metrics(docs, text_col)
+    verdict = F.when(F.lit(False), F.lit(False))
+    for rule in order_rules(docs, rules, text_col):
+        verdict = verdict.when(F.coalesce(rule.rejects({c: F.col(c) for c in measured.columns}), F.lit(False)), False)
+    return measured.withColumn("kept", verdict.otherwise(True))
 
 
 def keep_quality(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with their own columns."""
-    ordered = order_rules(docs, rules, text_col)
-    held = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("text"))
-    return with_metrics(held).where(keeps(ordered)).select("_row.*")
+    return docs.where(keeps(order_rules(docs, rules, text_col), text_col))

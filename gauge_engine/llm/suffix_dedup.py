@@ -5,7 +5,8 @@ anchors are the grams with the smallest hash, so equal strings have equal anchor
 places, wherever they stand. Anchors that two documents share are found by sums per gram
 (``exchange``). Around each of those, a context reaches as far as any string of ``length``
 bytes over that anchor. Contexts of one gram meet in one task, each distinct one once per
-bucket with the smallest document that has it.
+bucket with the smallest document that has it. They meet as hashes first: that settles
+equal contexts, and only grams with different contexts send their bytes.
 
 There the suffixes of the contexts are sorted. A scan of the sorted suffixes with a stack
 walks the tree of common-prefix intervals; an interval whose occurrences differ in the
@@ -25,7 +26,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gauge_engine.llm.exchange import PIECES, bucket_count, bucketed, look_up, lookup_table, no_pieces, pieces, totals
+from gauge_engine.llm.exchange import (
+    PIECES,
+    bucket_count,
+    bucketed,
+    look_up,
+    lookup_table,
+    no_pieces,
+    pack_keys,
+    pieces,
+    ranges,
+    totals,
+    unpack_keys,
+)
 from gauge_engine.llm.shipping import ship_package
 
 GRAM = 25
@@ -34,17 +47,21 @@ LENGTH = 50
 REACH = LENGTH - GRAM
 WIDTH = REACH + LENGTH
 HOT_DOCUMENTS = 5_000
-SLICE = 1 << 20
+SLICE = 1 << 17
 # Contexts whose suffixes are sorted together, plus those of one more gram.
 TOGETHER = 8_000
 
+HASHED = "bucket bigint, part int, keys binary, hashes binary, least binary, repeated binary"
+EQUAL = "bucket bigint, hashes binary, least binary, flags binary"
 CONTEXTS = "bucket bigint, part int, keys binary, contexts binary, least binary"
-COVERED = "bucket bigint, contexts binary, masks binary, least binary"
+COVERED = "bucket bigint, hashes binary, masks binary"
 KEPT = "id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
 
 _NO_ID = np.iinfo(np.int64).max
 _B = 0x9E3779B97F4A7C15
 _DIVERSE = -1
+# What is known of a context: several documents have it; its gram has other contexts.
+_SEVERAL, _OTHERS = 1, 2
 
 
 def _powers(n: int) -> np.uint64:
@@ -122,6 +139,18 @@ class Bucket:
         out[:, WIDTH + 1] = np.minimum(LENGTH, self.sizes[doc] - inside)
         return out
 
+    def context_hashes(self, place: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        step = 1 << 15
+        held = [
+            _context_hash(self.contexts(place[a : a + step], doc[a : a + step])) for a in range(0, len(place), step)
+        ]
+        return np.concatenate(held) if held else np.empty(0, np.uint64)
+
+
+def _coarse(keys: np.ndarray) -> np.ndarray:
+    """The upper 48 bits: a clash only makes a gram look shared."""
+    return keys & ~np.uint64(0xFFFF)
+
 
 def _context_hash(contexts: np.ndarray) -> np.ndarray:
     words = np.ascontiguousarray(contexts).view("<u8").astype(np.uint64)
@@ -218,7 +247,7 @@ def _anchor_counts(parts: int):
         _, keys, docs = Bucket(frame).anchors()
         if not len(keys):
             return no_pieces()
-        keys = keys & ~np.uint64(0xFFFF)
+        keys = _coarse(keys)
         order = np.lexsort((docs, keys))
         keys, docs = keys[order], docs[order]
         once = np.concatenate([[True], (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])])
@@ -228,113 +257,185 @@ def _anchor_counts(parts: int):
     return count
 
 
-def _shared_contexts(parts: int, hot_documents: int):
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    kinds = {"bucket": "i8", "part": "i4"}
+    names = _names(schema)
+    return pd.DataFrame(rows, columns=names).astype({n: kinds[n] for n in names if n in kinds})
+
+
+def _hashed_contexts(parts: int, hot_documents: int):
+    """Each distinct context of a shared gram in a bucket, with its smallest document."""
+
     def contexts(texts: pd.DataFrame, returned: pd.DataFrame) -> pd.DataFrame:
-        names = [c.split()[0] for c in CONTEXTS.split(", ")]
         if not len(texts) or not len(returned):
-            return pd.DataFrame([], columns=names).astype({"bucket": "i8", "part": "i4"})
+            return _frame([], HASHED)
         held = Bucket(texts)
         place, keys, docs = held.anchors()
-        known = look_up(lookup_table(returned), keys & ~np.uint64(0xFFFF))
+        known = look_up(lookup_table(returned), _coarse(keys))
         place, keys, docs, known = (x[known >= 2] for x in (place, keys, docs, known))
-        rows, least = held.contexts(place, docs), held.ids[docs]
         hot = known > hot_documents
+        hashes, least = held.context_hashes(place, docs), held.ids[docs]
         if hot.any():
-            of, _, single = _single_strings(rows[hot])
-            rows = np.concatenate([rows[~hot], single])
+            of, single = [], []
+            for a in range(0, int(hot.sum()), 1 << 12):
+                p, d = place[hot][a : a + (1 << 12)], docs[hot][a : a + (1 << 12)]
+                own, _, strings = _single_strings(held.contexts(p, d))
+                of.append(a + own)
+                single.append(_context_hash(strings))
+            of, single = np.concatenate(of), np.concatenate(single)
+            keys = np.concatenate([keys[~hot], single])
+            hashes = np.concatenate([hashes[~hot], single])
             least = np.concatenate([least[~hot], least[hot][of]])
-            keys = np.concatenate([keys[~hot], _context_hash(single)])
-        hashes = _context_hash(rows)
+        if not len(keys):
+            return _frame([], HASHED)
         order = np.lexsort((least, hashes, keys))
-        keys, hashes, least, rows = keys[order], hashes[order], least[order], rows[order]
-        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (hashes[1:] != hashes[:-1])]) if len(keys) else np.empty(0, bool)
-        at = np.flatnonzero(new)
-        # The last padding byte tells whether more documents of this bucket have the context.
-        most = np.maximum.reduceat(least, at) if len(at) else least
-        keys, least, rows = keys[at], least[at], rows[at]
-        rows[:, -1] = most > least
-        part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(keys) else np.empty(0, int)
+        keys, hashes, least = keys[order], hashes[order], least[order]
+        at = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (hashes[1:] != hashes[:-1])]))
+        repeated = np.maximum.reduceat(least, at) > least[at]
+        keys, hashes, least = keys[at], hashes[at], least[at]
+        part, edges, ends = ranges(keys, parts)
         bucket = int(texts["bucket"].iloc[0])
-        out = [
-            (bucket, int(part[a]), keys[a:b].tobytes(), rows[a:b].T.tobytes(), least[a:b].tobytes())
-            for a, b in zip(edges, np.append(edges[1:], len(keys)))
-        ]
-        return pd.DataFrame(out, columns=names).astype({"bucket": "i8", "part": "i4"})
+        return _frame(
+            [
+                (bucket, int(part[a]), pack_keys(keys[a:b]), hashes[a:b].tobytes(), least[a:b].tobytes(),
+                 repeated[a:b].tobytes())
+                for a, b in zip(edges, ends)
+            ],
+            HASHED,
+        )
+
+    return contexts
+
+
+def _equal_contexts(frame: pd.DataFrame) -> pd.DataFrame:
+    """Smallest document of each context over all buckets, and whether its gram has others."""
+    held = [unpack_keys(k) for k in frame["keys"]]
+    keys = np.concatenate(held)
+    hashes = np.frombuffer(b"".join(frame["hashes"]), np.uint64)
+    least = np.frombuffer(b"".join(frame["least"]), "i8")
+    repeated = np.frombuffer(b"".join(frame["repeated"]), bool)
+    order = np.lexsort((least, hashes, keys))
+    k, h = keys[order], hashes[order]
+    new_key = np.concatenate([[True], k[1:] != k[:-1]])
+    new = new_key.copy()
+    new[1:] |= h[1:] != h[:-1]
+    at = np.flatnonzero(new)
+    several = np.add.reduceat(1 + repeated[order], at) > 1
+    contexts_of_key = np.bincount(np.cumsum(new_key[at]) - 1)
+    others = np.repeat(contexts_of_key > 1, contexts_of_key)
+    group = np.empty(len(keys), "i8")
+    group[order] = np.cumsum(new) - 1
+    flags = (several * _SEVERAL + others * _OTHERS).astype("u1")[group]
+    least = least[order][at][group]
+    out, begin = [], 0
+    for bucket, own in zip(frame["bucket"], held):
+        some = begin + np.flatnonzero(flags[begin : begin + len(own)])
+        begin += len(own)
+        if len(some):
+            out.append((bucket, hashes[some].tobytes(), least[some].tobytes(), flags[some].tobytes()))
+    return _frame(out, EQUAL)
+
+
+def _different_contexts(parts: int):
+    """The bytes of contexts whose gram has other contexts."""
+
+    def contexts(texts: pd.DataFrame, equal: pd.DataFrame) -> pd.DataFrame:
+        if not len(texts) or not len(equal):
+            return _frame([], CONTEXTS)
+        told = _Told(equal)
+        held = Bucket(texts)
+        place, keys, docs = held.anchors()
+        hashes = held.context_hashes(place, docs)
+        at = told.find(hashes)
+        some = np.flatnonzero(told.flags[at] & _OTHERS)
+        _, once = np.unique(hashes[some], return_index=True)
+        some = some[once]
+        some = some[np.argsort(keys[some], kind="stable")]
+        keys, least, rows = keys[some], told.least[at[some]], held.contexts(place[some], docs[some])
+        part, edges, ends = ranges(keys, parts)
+        bucket = int(texts["bucket"].iloc[0])
+        return _frame(
+            [
+                (bucket, int(part[a]), pack_keys(keys[a:b]), rows[a:b].tobytes(), least[a:b].tobytes())
+                for a, b in zip(edges, ends)
+            ],
+            CONTEXTS,
+        )
 
     return contexts
 
 
 def _compare(frame: pd.DataFrame) -> pd.DataFrame:
     """Contexts of a range of grams, compared with each other; each bucket gets its own back."""
-    keys = [np.frombuffer(k, np.uint64) for k in frame["keys"]]
-    counts = np.array([len(k) for k in keys])
-    rows = np.concatenate([np.frombuffer(c, "u1").reshape(-1, n).T for c, n in zip(frame["contexts"], counts)])
-    least = np.concatenate([np.frombuffer(m, "i8") for m in frame["least"]])
-    keys = np.concatenate(keys)
-    repeated = rows[:, -1].astype(bool)
-    rows[:, -1] = 0
+    held = [unpack_keys(k) for k in frame["keys"]]
+    keys = np.concatenate(held)
+    rows = np.frombuffer(b"".join(frame["contexts"]), "u1").reshape(len(keys), -1)
+    least = np.frombuffer(b"".join(frame["least"]), "i8")
     hashes = _context_hash(rows)
-    order = np.lexsort((least, hashes, keys))
+    order = np.lexsort((hashes, keys))
     k, h = keys[order], hashes[order]
     new = np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])])
     at = np.flatnonzero(new)
-    smallest = least[order][at]
-    several = np.add.reduceat(1 + repeated[order], at) > 1
-    key_new = np.concatenate([[True], k[at][1:] != k[at][:-1]])
-    key_at = np.flatnonzero(key_new)
-    in_key = np.diff(np.append(key_at, len(at)))
+    distinct = order[at]
     masks = np.zeros(len(at), "<u4")
-    # Only grams with different contexts have anything to compare.
-    todo, size = [], 0
-    for first, n in [(f, n) for f, n in zip(key_at, in_key) if n > 1] + [(0, 0)]:
-        if todo and (size >= TOGETHER or not n):
-            which = np.concatenate(todo)
-            masks[which] = _in_smaller_documents(rows[order[at[which]]], smallest[which])
-            todo, size = [], 0
-        if n:
-            todo.append(np.arange(first, first + n))
-            size += n
-    group = np.empty(len(keys), "i8")
-    group[order] = np.cumsum(new) - 1
+    key_ends = np.append(np.flatnonzero(k[at][1:] != k[at][:-1]) + 1, len(at))
+    begin = 0
+    # Whole grams at a time, about TOGETHER contexts.
+    while begin < len(at):
+        end = int(key_ends[min(np.searchsorted(key_ends, begin + TOGETHER), len(key_ends) - 1)])
+        some = distinct[begin:end]
+        masks[begin:end] = _in_smaller_documents(rows[some], least[some])
+        begin = end
+    own_mask = np.empty(len(keys), "<u4")
+    own_mask[order] = masks[np.cumsum(new) - 1]
     out, begin = [], 0
-    for bucket, n in zip(frame["bucket"], counts):
-        own = group[begin : begin + n]
-        tells = (masks[own] != 0) | several[own]
-        if tells.any():
-            own_hashes, own = hashes[begin : begin + n][tells], own[tells]
-            out.append((bucket, own_hashes.tobytes(), masks[own].tobytes(), smallest[own].tobytes()))
-        begin += n
-    return pd.DataFrame(out, columns=[c.split()[0] for c in COVERED.split(", ")]).astype({"bucket": "i8"})
+    for bucket, own in zip(frame["bucket"], held):
+        some = begin + np.flatnonzero(own_mask[begin : begin + len(own)])
+        begin += len(own)
+        if len(some):
+            out.append((bucket, hashes[some].tobytes(), own_mask[some].tobytes()))
+    return _frame(out, COVERED)
 
 
 class _Told:
     """What came back for the contexts of a bucket, by context hash."""
 
-    def __init__(self, covered: pd.DataFrame):
-        rows = covered[covered["contexts"].notna()]
-        joined = [b"".join(rows[c]) for c in ("contexts", "masks", "least")]
-        hashes, masks, least = (np.frombuffer(j, kind) for j, kind in zip(joined, (np.uint64, "<u4", "i8")))
+    def __init__(self, answers: pd.DataFrame):
+        equal = answers[answers["flags"].notna()]
+        joined = [b"".join(equal[c]) for c in ("hashes", "least", "flags")]
+        hashes, least, flags = (np.frombuffer(j, kind) for j, kind in zip(joined, (np.uint64, "i8", "u1")))
         order = np.argsort(hashes, kind="stable")
-        # An entry behind all others, so that every search ends inside.
+        # An entry behind all others, where searches end that find nothing.
         self.hashes = np.append(hashes[order], np.uint64(2**64 - 1))
-        self.masks = np.append(masks[order], np.uint32(0))
         self.least = np.append(least[order], _NO_ID)
-        self.hot = lookup_table(covered[covered["keys"].notna()])
+        self.flags = np.append(flags[order], np.uint8(0))
+        self.masks = np.zeros(len(self.hashes), "<u4")
+        if "masks" in answers:
+            rows = answers[answers["masks"].notna()]
+            of = np.searchsorted(self.hashes, np.frombuffer(b"".join(rows["hashes"]), np.uint64))
+            np.bitwise_or.at(self.masks, of, np.frombuffer(b"".join(rows["masks"]), "<u4"))
+        if "keys" in answers:
+            self.hot = lookup_table(answers[answers["keys"].notna()])
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.hashes, hashes)
+        return np.where(self.hashes[at] == hashes, at, len(self.hashes) - 1)
 
     def __call__(self, contexts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Strings that smaller documents have in other contexts; whether one has this context."""
-        hashes = _context_hash(contexts)
-        at = np.searchsorted(self.hashes, hashes)
-        known = self.hashes[at] == hashes
-        return np.where(known, self.masks[at], np.uint32(0)), known & (ids > self.least[at])
+        at = self.find(_context_hash(contexts))
+        return self.masks[at], ids > self.least[at]
 
 
 def _covered_starts(held: Bucket, told: _Told) -> np.ndarray:
     """Which places of the buffer start a string that a smaller document has."""
     starts = np.zeros(len(held.bytes), bool)
     place, keys, docs = held.anchors()
-    is_hot = look_up(told.hot, keys & ~np.uint64(0xFFFF)) > 0
+    is_hot = look_up(told.hot, _coarse(keys)) > 0
     p_all, d_all = place[~is_hot], docs[~is_hot]
     for a in range(0, len(p_all), 1 << 16):
         p, d = p_all[a : a + (1 << 16)], d_all[a : a + (1 << 16)]
@@ -389,10 +490,12 @@ def remove_repeats(
     by_bucket = texts.groupBy("bucket")
     sent = by_bucket.applyInPandas(_anchor_counts(buckets), PIECES)
     shared = totals(sent, at_least=2)
-    contexts = by_bucket.cogroup(shared.groupBy("bucket")).applyInPandas(
-        _shared_contexts(buckets, hot_documents), CONTEXTS
+    hashed = by_bucket.cogroup(shared.groupBy("bucket")).applyInPandas(
+        _hashed_contexts(buckets, hot_documents), HASHED
     )
+    equal = hashed.groupBy("part").applyInPandas(_equal_contexts, EQUAL)
+    contexts = by_bucket.cogroup(equal.groupBy("bucket")).applyInPandas(_different_contexts(buckets), CONTEXTS)
     covered = contexts.groupBy("part").applyInPandas(_compare, COVERED)
     hot = totals(sent, at_least=hot_documents + 1).select("bucket", "keys", "sums")
-    answers = covered.unionByName(hot, allowMissingColumns=True)
+    answers = equal.unionByName(covered, allowMissingColumns=True).unionByName(hot, allowMissingColumns=True)
     return by_bucket.cogroup(answers.groupBy("bucket")).applyInPandas(_remove, KEPT)

@@ -37,6 +37,9 @@ MAGIC = b"GTOK0001"
 BLOCK_IDS = 64 * 1024
 _HEAD = 8 + 5 * 8
 
+# Partitions of a read; with more files than this, a task reads several.
+MOST_READERS = 10_000
+
 MANIFEST = "file string, part bigint, documents bigint, ids bigint"
 RECORDS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
@@ -166,7 +169,7 @@ def write_token_files(
     """Write whole documents in ascending id order; returns the written manifest.
 
     One file per partition of the ordered rows. Null ids come first; rows with equal ids
-    are ordered by their text, so the files are the same on every run. Null and empty texts
+    are ordered by a hash of their text, so the files are the same on every run. Null and empty texts
     are the end id alone. An empty table gives no file with documents. Other columns are
     ignored. ``folder`` must be shared by all executors and not be written to before.
     """
@@ -199,7 +202,9 @@ def write_token_files(
 
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    written = rows.orderBy(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first()).mapInPandas(write, MANIFEST)
+    # Cuts between partitions are found from sampled sort keys: a hash of the text, not the text.
+    order = (F.col("id").asc_nulls_first(), F.xxhash64("text"))
+    written = rows.orderBy(*order).mapInPandas(write, MANIFEST)
     written.write.mode("overwrite").parquet(f"{folder}/manifest")
     return read_manifest(spark, folder)
 
@@ -240,5 +245,5 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                 held.close()
 
     files = read_manifest(spark, folder).select("file", "start")
-    # One row per file: dealt out, so that every file is read by a task of its own.
-    return files.repartition("file").mapInPandas(read, RECORDS)
+    # One row per file: dealt out, so that many tasks read files at once.
+    return files.repartition(min(files.count(), MOST_READERS) or 1, "file").mapInPandas(read, RECORDS)
