@@ -15,10 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 
 PIECES = "bucket bigint, part int, keys binary, sums binary"
 RETURNS = "bucket bigint, keys binary, sums binary"
+ALIGNED = "bucket bigint, part int, sums binary"
 
 _CODES = ("<u1", "<u2", "<u4", "<u8", "<f8")
 
@@ -29,6 +30,11 @@ def bucket_count(df: DataFrame, text_col: str, bucket_bytes: int = BUCKET_BYTES)
     return 1 + total // bucket_bytes
 
 
+def range_count(buckets: int) -> int:
+    """Ranges of keys for so many buckets; a range then holds the keys of about two."""
+    return buckets // 2 + 1
+
+
 def bucketed(df: DataFrame, buckets: int, id_col: str, text_col: str) -> DataFrame:
     """``bucket, key, id, text``: rows dealt by their key, a hash of id and text, so that
     null ids spread too."""
@@ -105,29 +111,33 @@ def no_pieces() -> pd.DataFrame:
     return pd.DataFrame({"bucket": np.empty(0, "i8"), "part": np.empty(0, "i4"), "keys": [], "sums": []})
 
 
-def totals(sent: DataFrame, at_least: float | None = None) -> DataFrame:
-    """``RETURNS``: per bucket and range its keys with their sums over all buckets.
+def _summed(frame: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
+    """Keys of each piece of a range, and the total of each of them in one row."""
+    held = [unpack_keys(k) for k in frame["keys"]]
+    keys = np.concatenate(held)
+    sums = np.concatenate([unpack_sums(s) for s in frame["sums"]])
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    summed = np.add.reduceat(sums[order], np.flatnonzero(first))
+    per_key = np.empty(len(keys), summed.dtype)
+    per_key[order] = summed[np.cumsum(first) - 1]
+    return held, per_key
+
+
+def totals(sent: DataFrame, at_least: float) -> DataFrame:
+    """``RETURNS``: per bucket and range its keys with a sum of ``at_least`` over all buckets.
 
-    With ``at_least``, keys with a smaller sum are left out. A task holds one range: about
-    as many keys as one bucket has, and a hot key once per bucket.
+    A task holds one range; a hot key is in it once per bucket.
     """
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        held = [unpack_keys(k) for k in frame["keys"]]
-        keys = np.concatenate(held)
-        sums = np.concatenate([unpack_sums(s) for s in frame["sums"]])
-        order = np.argsort(keys, kind="stable")
-        ordered = keys[order]
-        first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-        summed = np.add.reduceat(sums[order], np.flatnonzero(first))
-        per_key = np.empty(len(keys), summed.dtype)
-        per_key[order] = summed[np.cumsum(first) - 1]
+        held, per_key = _summed(frame)
         out, at = [], 0
         for bucket, own in zip(frame["bucket"], held):
             got = per_key[at : at + len(own)]
             at += len(own)
-            if at_least is not None:
-                own, got = own[got >= at_least], got[got >= at_least]
+            own, got = own[got >= at_least], got[got >= at_least]
             if len(own):
                 out.append((bucket, pack_keys(own), pack_sums(got)))
         return pd.DataFrame(out, columns=["bucket", "keys", "sums"]).astype({"bucket": "i8"})
@@ -135,6 +145,33 @@ def totals(sent: DataFrame, at_least: float | None = None) -> DataFrame:
     return sent.groupBy("part").applyInPandas(merge, RETURNS)
 
 
+def aligned_totals(sent: DataFrame) -> DataFrame:
+    """``ALIGNED``: every piece's totals over all buckets, in the order of its keys.
+
+    The bucket knows its keys, so they do not travel back.
+    """
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        held, per_key = _summed(frame)
+        ends = np.cumsum([len(own) for own in held])
+        return pd.DataFrame(
+            {
+                "bucket": frame["bucket"],
+                "part": frame["part"],
+                "sums": [pack_sums(per_key[b - len(own) : b]) for own, b in zip(held, ends)],
+            }
+        )
+
+    return sent.groupBy("part").applyInPandas(merge, ALIGNED)
+
+
+def in_key_order(returned: pd.DataFrame) -> np.ndarray:
+    """A bucket's aligned totals, in the order of its sorted keys."""
+    if not len(returned):
+        return np.empty(0, "i8")
+    return np.concatenate([unpack_sums(s) for s in returned.sort_values("part")["sums"]])
+
+
 def distinct_and_total(sent: DataFrame, parts: int) -> DataFrame:
     """One row: ``distinct`` keys with a sum above 0 and the ``total`` of all sums, over the
     ranges below ``parts``. Sums are whole numbers."""

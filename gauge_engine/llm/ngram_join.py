@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gauge_engine.llm.components import connected_components, materialize_counted
-from gauge_engine.llm.exchange import bucket_count, bucketed, look_up, lookup_table, no_pieces, pieces, totals
+from gauge_engine.llm.exchange import bucket_count, bucketed, look_up, lookup_table, no_pieces, pieces, range_count, totals
 from gauge_engine.llm.exchange import PIECES
 from gauge_engine.llm.shipping import ship_package
 from gauge_engine.session import materialize
@@ -186,7 +186,8 @@ def ngram_components(
     ship_package(spark)
     buckets = bucket_count(docs, text_col)
     texts = bucketed(docs, buckets, id_col, text_col)
-    sent = texts.groupBy("bucket").applyInPandas(_shingle_counts(size, buckets), PIECES)
+    parts = range_count(buckets)
+    sent = texts.groupBy("bucket").applyInPandas(_shingle_counts(size, parts), PIECES)
     returned = totals(sent, at_least=2)
     rows = materialize(
         texts.groupBy("bucket").cogroup(returned.groupBy("bucket")).applyInPandas(_indexed_sets(size, percent), SETS),

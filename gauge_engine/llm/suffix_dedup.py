@@ -35,6 +35,7 @@ from gauge_engine.llm.exchange import (
     no_pieces,
     pack_keys,
     pieces,
+    range_count,
     ranges,
     totals,
     unpack_keys,
@@ -487,14 +488,15 @@ def remove_repeats(
     ship_package(docs.sparkSession)
     buckets = bucket_count(docs, text_col)
     texts = bucketed(docs, buckets, id_col, text_col)
+    parts = range_count(buckets)
     by_bucket = texts.groupBy("bucket")
-    sent = by_bucket.applyInPandas(_anchor_counts(buckets), PIECES)
+    sent = by_bucket.applyInPandas(_anchor_counts(parts), PIECES)
     shared = totals(sent, at_least=2)
     hashed = by_bucket.cogroup(shared.groupBy("bucket")).applyInPandas(
-        _hashed_contexts(buckets, hot_documents), HASHED
+        _hashed_contexts(parts, hot_documents), HASHED
     )
     equal = hashed.groupBy("part").applyInPandas(_equal_contexts, EQUAL)
-    contexts = by_bucket.cogroup(equal.groupBy("bucket")).applyInPandas(_different_contexts(buckets), CONTEXTS)
+    contexts = by_bucket.cogroup(equal.groupBy("bucket")).applyInPandas(_different_contexts(parts), CONTEXTS)
     covered = contexts.groupBy("part").applyInPandas(_compare, COVERED)
     hot = totals(sent, at_least=hot_documents + 1).select("bucket", "keys", "sums")
     answers = equal.unionByName(covered, allowMissingColumns=True).unionByName(hot, allowMissingColumns=True)

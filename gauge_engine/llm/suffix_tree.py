@@ -18,6 +18,7 @@ the counts of its own words; so it is the same kind of sum.
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from functools import reduce
 
 import numpy as np
@@ -27,15 +28,15 @@ from pyspark.sql import functions as F
 
 from gauge_engine.llm.exchange import (
     PIECES,
+    aligned_totals,
     bucket_count,
     bucketed,
     distinct_and_total,
-    look_up,
-    lookup_table,
+    in_key_order,
     pieces,
-    totals,
+    range_count,
 )
-from gauge_engine.llm.ngram_join import WordHashes, words_of
+from gauge_engine.llm.ngram_join import words_of
 from gauge_engine.llm.shipping import ship_package
 
 LEAST_COUNT = 16
@@ -48,11 +49,9 @@ SCORES = (
     "base_score double, score double"
 )
 
-_COUNTS, _GAINS = 0, 1
+_COUNTS, _TRIPLES, _GAINS = 0, 1, 2
 
 _M = np.uint64(0x9E3779B97F4A7C15)
-_TAG = np.uint64(3)
-_END = np.uint64(0x1B873593CC9E2D51) & ~_TAG
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -61,52 +60,102 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _tagged(x: np.ndarray, order: int) -> np.ndarray:
-    """The two lowest bits of a key tell what it counts."""
-    return (x & ~_TAG) | np.uint64(order)
-
-
 def is_held_out(number: int | None) -> bool:
     """Decided by the crc32 of the id as text; a row without an id is training."""
     return number is not None and zlib.crc32(str(number).encode()) % 5 == 1
 
 
+class _Distinct:
+    """Distinct n-grams of a bucket: ``codes`` per occurrence, and their hashed keys in order."""
+
+    def __init__(self, codes: np.ndarray, keys: np.ndarray):
+        self.codes = codes
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
+
+    def sent(self, weights: np.ndarray) -> np.ndarray:
+        """Sums of ``weights`` per n-gram, in the order of the keys."""
+        summed = np.bincount(self.codes, weights=weights, minlength=len(self.order))[self.order]
+        return summed if weights.dtype.kind == "f" else summed.astype("i8")
+
+    def told(self, totals_in_order: np.ndarray) -> np.ndarray:
+        """The total of each n-gram, by code."""
+        per_code = np.empty(len(self.order), totals_in_order.dtype)
+        per_code[self.order] = totals_in_order
+        return per_code
+
+
 class _Tokens:
     """All tokens of a bucket in one row: words, each text closed by the end token.
 
-    ``back1``, ``back2`` are the keys of the word and the pair before each token; they are
-    valid only where ``has1``, ``has2`` say that they lie in the same text.
+    ``has1`` and ``has2`` tell where one and two tokens of the same text come before.
     """
 
     def __init__(self, frame: pd.DataFrame):
-        hashes = WordHashes()
+        import xxhash
+
         self.numbers = [None if n is pd.NA else int(n) for n in frame["id"].astype("Int64")]
+        codes: dict[bytes, int] = defaultdict(lambda: len(codes))
+        end = codes[b""]  # no word is empty
         held, sizes = [], []
         for text in frame["text"]:
             words = words_of(text)
-            held.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
-            held.append(np.array([_END], np.uint64))
-            sizes.append(len(words) + 1)
-        words = _mix(np.concatenate(held)) if held else np.empty(0, np.uint64)
+            words.append(b"")
+            held.append(np.fromiter(map(codes.__getitem__, words), "i8", len(words)))
+            sizes.append(len(words))
+        assert end == 0
+        hashes = _mix(np.array([xxhash.xxh3_64_intdigest(w) for w in codes], np.uint64))
+        word = np.concatenate(held)
         self.sizes = np.array(sizes, "i8")
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.held_out = np.array([is_held_out(n) for n in self.numbers], bool)
         self.training = np.repeat(~self.held_out, self.sizes)
-        place = np.arange(len(words)) - np.repeat(self.starts, self.sizes)
+        place = np.arange(len(word)) - np.repeat(self.starts, self.sizes)
         self.has1, self.has2 = place >= 1, place >= 2
-        previous = np.concatenate([words[:1], words[:-1]])
-        before = np.concatenate([previous[:1], previous[:-1]])
-        self.word = _tagged(words, 1)
-        self.context1 = _tagged(previous, 1)
-        self.pair = _tagged(_mix(previous * _M + words), 2)
-        self.context2 = np.concatenate([self.pair[:1], self.pair[:-1]])
-        self.triple = _tagged(_mix(_mix(before * _M + previous) * _M + words), 3)
+        self.words = _Distinct(word, hashes)
+        # Pairs at the places that have one; the code of all others is never read.
+        self.previous = np.concatenate([word[:1], word[:-1]])
+        codes2, pairs = pd.factorize((self.previous * len(hashes) + word)[self.has1])
+        first, second = np.divmod(pairs, len(hashes))
+        keys = _mix(_mix(hashes[first]) * _M + hashes[second])
+        self.pairs = _Distinct(codes2, keys)
+        self.pair = np.zeros(len(word), "i8")
+        self.pair[self.has1] = codes2
+        self.before = np.concatenate([self.pair[:1], self.pair[:-1]])
+        self._pair_keys, self._hashes = keys, hashes
+
+    def triples(self, at: np.ndarray) -> _Distinct:
+        """Words behind the pairs before them, at the places named."""
+        word, size = self.words.codes[at], len(self._hashes)
+        codes, triples = pd.factorize(self.before[at] * size + word)
+        pair, last = np.divmod(triples, size)
+        return _Distinct(codes, _mix(_mix(self._pair_keys[pair] + np.uint64(1)) * _M + self._hashes[last]))
+
+
+class _Counts:
+    """Training counts at each token: of it, with one and two before it, and of those."""
+
+    def __init__(self, t: _Tokens, returned: pd.DataFrame, parts: int, least_count: int):
+        counts = returned[returned["kind"] == _COUNTS]
+        words = t.words.told(in_key_order(counts[counts["part"] < parts]))
+        pairs = t.pairs.told(in_key_order(counts[counts["part"] >= parts]))
+        self.word = words[t.words.codes]
+        self.context1 = words[t.previous]
+        self.pair, self.context2 = (
+            (pairs[t.pair], pairs[t.before]) if len(pairs) else (np.zeros(len(self.word), "i8"),) * 2
+        )
+        # Places whose contexts are frequent enough to be kept.
+        self.one = t.has1 & (self.context1 >= least_count)
+        self.two = t.has2 & (self.context2 >= least_count)
 
+    def root(self, returned: pd.DataFrame) -> np.ndarray:
+        tokens, distinct = _root_of(returned)
+        return (self.word + 0.5) / (tokens + 0.5 * (distinct + 1))
 
-def _counted(keys: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys with their training counts; held-out keys ask, and add nothing."""
-    distinct, at = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(at, weights=training, minlength=len(distinct)).astype("i8")
+
+def _root_of(returned: pd.DataFrame) -> tuple[int, int]:
+    """Training tokens and distinct training words, which every returned row repeats."""
+    return int(returned["tokens"].iloc[0]), int(returned["distinct"].iloc[0])
 
 
 def _short_counts(parts: int):
@@ -117,35 +166,22 @@ def _short_counts(parts: int):
         bucket = int(frame["bucket"].iloc[0])
         return pd.concat(
             [
-                pieces(bucket, *_counted(t.word, t.training), parts),
-                pieces(bucket, *_counted(t.pair[t.has1], t.training[t.has1]), parts, first_part=parts),
+                pieces(bucket, t.words.keys, t.words.sent(t.training), parts),
+                pieces(bucket, t.pairs.keys, t.pairs.sent(t.training[t.has1]), parts, first_part=parts),
             ]
         )
 
     return count
 
 
-class _Shorter:
-    """Counts of words and pairs at each token, and the root's statistics."""
-
-    def __init__(self, t: _Tokens, table: tuple, root: tuple[int, int]):
-        self.tokens_in_training, self.distinct = root
-        self.word = look_up(table, t.word)
-        self.pair = np.where(t.has1, look_up(table, t.pair), 0)
-        self.context1 = np.where(t.has1, look_up(table, t.context1), 0)
-        self.context2 = np.where(t.has2, np.concatenate([self.pair[:1], self.pair[:-1]]), 0)
-
-    def root(self) -> np.ndarray:
-        return (self.word + 0.5) / (self.tokens_in_training + 0.5 * (self.distinct + 1))
-
-
 def _triple_counts(parts: int, least_count: int):
+    """Words behind the pairs that are frequent enough to be contexts."""
+
     def count(texts: pd.DataFrame, returned: pd.DataFrame) -> pd.DataFrame:
         t = _Tokens(texts)
-        c = _Shorter(t, lookup_table(returned), (0, 0))
-        asked = c.context2 >= least_count
-        keys, counts = _counted(t.triple[asked], t.training[asked])
-        return pieces(int(texts["bucket"].iloc[0]), keys, counts, parts)
+        c = _Counts(t, returned, parts, least_count)
+        triples = t.triples(c.two)
+        return pieces(int(texts["bucket"].iloc[0]), triples.keys, triples.sent(t.training[c.two]), parts)
 
     return count
 
@@ -156,64 +192,66 @@ def _gain(times: np.ndarray, of: np.ndarray, shorter: np.ndarray, smoothing: flo
     return np.log((times - 1 + smoothing * shorter) / ((of - 1 + smoothing) * shorter))
 
 
+def _contexts(t: _Tokens, c: _Counts) -> tuple[_Distinct, _Distinct]:
+    """The distinct contexts of one word and of two that are frequent enough, with the
+    occurrences behind them."""
+    out = []
+    for at, codes, grams in ((c.one, t.previous, t.words), (c.two, t.before, t.pairs)):
+        keys = np.empty(len(grams.keys), np.uint64)
+        keys[grams.order] = grams.keys
+        local, seen = pd.factorize(codes[at])
+        out.append(_Distinct(local, keys[seen] if len(seen) else np.empty(0, np.uint64)))
+    return out[0], out[1]
+
+
 def _divergences(parts: int, least_count: int, smoothing: float):
     """What each training occurrence adds to its contexts' divergence from shorter ones."""
 
     def gather(texts: pd.DataFrame, returned: pd.DataFrame) -> pd.DataFrame:
         t = _Tokens(texts)
-        table = lookup_table(returned)
-        root = _root_of(returned)
-        c = _Shorter(t, table, root)
-        base = c.root()
+        c = _Counts(t, returned, parts, least_count)
+        base = c.root(returned)
+        ones, twos = _contexts(t, c)
         # Words behind a word, against words anywhere.
-        one = t.has1 & (c.context1 >= least_count)
-        own = one & t.training
-        gain1 = np.zeros(len(one))
+        own = c.one & t.training
+        gain1 = np.zeros(len(own))
         gain1[own] = _gain(c.pair[own], c.context1[own], base[own], smoothing)
         # Words behind a pair, against words behind its second word.
-        two = t.has2 & (c.context2 >= least_count)
-        own = two & t.training
+        own = c.two & t.training
         shorter = (c.pair[own] - 1 + smoothing * base[own]) / (c.context1[own] - 1 + smoothing)
-        gain2 = np.zeros(len(two))
-        gain2[own] = _gain(look_up(table, t.triple[own]), c.context2[own], shorter, smoothing)
-        keys, gains = [t.context1[one], t.context2[two]], [gain1[one], gain2[two]]
-        keys, gains = np.concatenate(keys), np.concatenate(gains)
-        distinct, at = np.unique(keys, return_inverse=True)
-        summed = np.bincount(at, weights=gains, minlength=len(distinct)).astype("f8")
-        # Divergence sums answer under keys of their own tag.
-        tagged = _tagged(_mix(distinct), 0)
-        order = np.argsort(tagged)
-        return pieces(int(texts["bucket"].iloc[0]), tagged[order], summed[order], parts)
+        triples = t.triples(c.two)
+        times = triples.told(in_key_order(returned[returned["kind"] == _TRIPLES]))[triples.codes]
+        gain2 = np.zeros(len(own))
+        gain2[own] = _gain(times[t.training[c.two]], c.context2[own], shorter, smoothing)
+        bucket = int(texts["bucket"].iloc[0])
+        return pd.concat(
+            [
+                pieces(bucket, ones.keys, ones.sent(gain1[c.one]), parts),
+                pieces(bucket, twos.keys, twos.sent(gain2[c.two]), parts, first_part=parts),
+            ]
+        )
 
     return gather
 
 
-def _root_of(returned: pd.DataFrame) -> tuple[int, int]:
-    """Training tokens and distinct training words, which every returned row repeats."""
-    return int(returned["tokens"].iloc[0]), int(returned["distinct"].iloc[0])
-
-
-def _scored(least_count: int, divergence: float, smoothing: float):
+def _scored(parts: int, least_count: int, divergence: float, smoothing: float):
     def score(texts: pd.DataFrame, returned: pd.DataFrame) -> pd.DataFrame:
         t = _Tokens(texts)
-        is_gain = returned["kind"] == _GAINS
-        table = lookup_table(returned[~is_gain])
-        kept = lookup_table(returned[is_gain])
-        root = _root_of(returned)
-        c = _Shorter(t, table, root)
-        base = c.root()
+        c = _Counts(t, returned, parts, least_count)
+        base = c.root(returned)
+        gains = returned[returned["kind"] == _GAINS]
+        triples = t.triples(c.two)
+        times = triples.told(in_key_order(returned[returned["kind"] == _TRIPLES]))[triples.codes]
         p = base.copy()
-
-        def keeps(context: np.ndarray, times: np.ndarray) -> np.ndarray:
-            gain = look_up(kept, _tagged(_mix(context), 0))
-            return gain >= divergence * np.maximum(times, 1)
-
-        one = t.has1 & (c.context1 >= least_count)
-        one[one] = keeps(t.context1[one], c.context1[one])
-        p[one] = (c.pair[one] + smoothing * p[one]) / (c.context1[one] + smoothing)
-        two = t.has2 & (c.context2 >= least_count)
-        two[two] = keeps(t.context2[two], c.context2[two])
-        p[two] = (look_up(table, t.triple[two]) + smoothing * p[two]) / (c.context2[two] + smoothing)
+        ones, twos = _contexts(t, c)
+        for at, contexts, of, seen, which in (
+            (c.one, ones, c.context1, c.pair[c.one], gains["part"] < parts),
+            (c.two, twos, c.context2, times, gains["part"] >= parts),
+        ):
+            gain = contexts.told(in_key_order(gains[which]).astype("f8"))[contexts.codes]
+            kept = gain >= divergence * np.maximum(of[at], 1)
+            places = np.flatnonzero(at)[kept]
+            p[places] = (seen[kept] + smoothing * p[places]) / (of[places] + smoothing)
 
         def per_text(values: np.ndarray) -> np.ndarray:
             return np.add.reduceat(values, t.starts)
@@ -224,7 +262,7 @@ def _scored(least_count: int, divergence: float, smoothing: float):
                 "held_out": t.held_out,
                 "n_tokens": t.sizes,
                 "n_known": per_text((c.word > 0).astype("i8")),
-                "train_tokens": root[0],
+                "train_tokens": _root_of(returned)[0],
                 "base_score": per_text(np.log10(base)),
                 "score": per_text(np.log10(p)),
             }
@@ -246,33 +284,31 @@ def suffix_tree_scores(
     Null and empty texts are the end token alone. A row without an id is training. Repeated
     rows count as often as they come. An empty table gives no rows; if all texts are held
     out, every count is 0. Other columns are ignored. Words, pairs and triples are counted
-    by 62-bit hashes.
+    by 64-bit hashes.
     """
     ship_package(docs.sparkSession)
     buckets = bucket_count(docs, text_col)
     texts = bucketed(docs, buckets, id_col, text_col)
     by_bucket = texts.groupBy("bucket")
-    sent = by_bucket.applyInPandas(_short_counts(buckets), PIECES)
-    root = distinct_and_total(sent, buckets)
+    parts = range_count(buckets)
+    sent = by_bucket.applyInPandas(_short_counts(parts), PIECES)
+    root = distinct_and_total(sent, parts)
 
     def answers(*kinds: tuple[int, DataFrame]) -> GroupedData:
         """Sums of all kinds by bucket, each row with the two numbers of the root."""
-        rows = [sums.select("bucket", "keys", "sums", F.lit(kind).alias("kind")) for kind, sums in kinds]
+        rows = [sums.select("bucket", "part", "sums", F.lit(kind).alias("kind")) for kind, sums in kinds]
         return (
             reduce(DataFrame.union, rows)
             .withColumns({"tokens": root.select("total").scalar(), "distinct": root.select("distinct").scalar()})
             .groupBy("bucket")
         )
 
-    short = (_COUNTS, totals(sent))
-    triples = (
-        _COUNTS,
-        totals(by_bucket.cogroup(answers(short)).applyInPandas(_triple_counts(buckets, least_count), PIECES)),
-    )
-    gains = (
-        _GAINS,
-        totals(by_bucket.cogroup(answers(short, triples)).applyInPandas(_divergences(buckets, least_count, smoothing), PIECES)),
-    )
-    return by_bucket.cogroup(answers(short, triples, gains)).applyInPandas(
-        _scored(least_count, divergence, smoothing), SCORES
+    def gathered(function, *kinds: tuple[int, DataFrame]) -> DataFrame:
+        return aligned_totals(by_bucket.cogroup(answers(*kinds)).applyInPandas(function, PIECES))
+
+    counts = _COUNTS, aligned_totals(sent)
+    triples = _TRIPLES, gathered(_triple_counts(parts, least_count), counts)
+    gains = _GAINS, gathered(_divergences(parts, least_count, smoothing), counts, triples)
+    return by_bucket.cogroup(answers(counts, triples, gains)).applyInPandas(
+        _scored(parts, least_count, divergence, smoothing), SCORES
     )
