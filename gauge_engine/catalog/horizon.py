@@ -170,7 +170,8 @@ def _(spark, sf):
         lambda h: sigmoid((F.col("level") - 250000) / 20000 + (h - 6) * 0.1),
     )
     scored = blocks.withColumn("level", level).select("window_idx", "o_orderstatus", probs.alias("probs"))
-    return emit(evaluate_intervals(interval_truth(daily, weeks, STATUS_TEST, STATUS), scored, STATUS), 6)
+    truth = interval_truth(daily, weeks, STATUS_TEST, STATUS, blocks=blocks)
+    return emit(evaluate_intervals(truth, scored, STATUS), 6)
 
 
 # --- metric logs ---------------------------------------------------------------------------------
@@ -178,7 +179,7 @@ def _(spark, sf):
 
 def _log_from_file(spark, sf):
     """A tab-separated metric log: the events' daily mean as one run per event type."""
-    day = F.dayofmonth("date")
+    day = F.datediff("date", F.lit("1970-01-01"))
     log = daily_slim(event_readings(spark, sf), EVENTS).select(
         "event_type", day.alias("iter"), F.col("value").alias("AUC"), F.col("value").alias("Logloss")
     )
@@ -189,7 +190,7 @@ def _log_from_file(spark, sf):
     )
 
 
-_LOG = """WITH log AS (SELECT event_type AS k, day(ts) AS i, avg(value) AS v FROM events GROUP BY 1, 2)"""
+_LOG = """WITH log AS (SELECT event_type AS k, CAST(ts AS DATE) - DATE '1970-01-01' AS i, avg(value) AS v FROM events GROUP BY 1, 2)"""
 
 
 @query(

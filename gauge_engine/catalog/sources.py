@@ -28,7 +28,9 @@ from gauge_engine.sources.matrix import melt_matrix
 from gauge_engine.sources.readers import (
     read_index,
     read_predictions,
+    read_entities,
     read_readings,
+    read_readings_checked,
     read_truth,
     read_truth_checked,
 )
@@ -137,6 +139,34 @@ def _(spark, sf):
     return text[0].unionByName(text[1])
 
 
+@query(
+    "readings_quarantine",
+    """SELECT 'good' AS part, event_id, round(value, 4) AS value, CAST(NULL AS VARCHAR) AS bad_line FROM events WHERE event_id % 7 <> 0
+       UNION ALL SELECT 'quarantine', NULL, NULL, event_id || ',' || event_type || ',yesterday,1.5' FROM events WHERE event_id % 7 = 0""",
+)
+def _(spark, sf):
+    path = scratch_path(spark, "dirty-readings")
+    dirty = F.col("event_id") % 7 == 0
+    ts = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    rows = event_readings(spark, sf).select(
+        "event_id", "event_type", F.when(dirty, "yesterday").otherwise(ts).alias("ts"),
+        F.when(dirty, "1.5").otherwise(F.col("value").cast("string")).alias("value"),
+    )
+    write_table(rows, path)
+    good, bad = read_readings_checked(spark, path, EVENTS, EVENT_SCHEMA)
+    parts = good.select(F.lit("good").alias("part"), "event_id", "value").unionByName(
+        bad.select(F.lit("quarantine").alias("part"), "bad_line"), allowMissingColumns=True
+    )
+    return emit(parts)
+
+
+@query("entity_list", "SELECT DISTINCT event_type FROM events")
+def _(spark, sf):
+    path = scratch_path(spark, "entities")
+    write_table(event_readings(spark, sf).select("event_type").distinct(), path)
+    return read_entities(spark, path, EVENTS)
+
+
 # --- wide matrix ---------------------------------------------------------------------------------
 
 

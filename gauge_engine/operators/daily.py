@@ -21,8 +21,8 @@ READING_SQUARES = "reading_squares"
 
 
 def _earliest_known(attr: str, time: str) -> Column:
-    """Value at the earliest time at which it is known (order-independent 'first')."""
-    known_at = F.when(F.col(attr).isNotNull(), F.col(time))
+    """Value at the earliest time at which it is known; the smallest one of that time."""
+    known_at = F.when(F.col(attr).isNotNull(), F.struct(time, attr))
     return F.min_by(F.col(attr), known_at)
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gauge_engine.columns import HISTORY_DAYS, HORIZON_DAYS, STATIONS, SensorColumns
@@ -24,20 +24,28 @@ def interval_history(
     features: Sequence[str] | None = None,
     history: int = HISTORY_DAYS,
 ) -> DataFrame:
-    """Flat history block of every (interval, entity) that has all ``history`` days."""
+    """Flat history block of every (interval, entity) that has all ``history`` days.
+
+    An interval that ends before it starts holds no day. However long an interval is, at
+    most one day more than ``history`` is collected per entity.
+    """
     names = cols.tree_features if features is None else features
-    days = intervals.select(
+    days = intervals.where("start_date <= end_date").select(
         "window_idx",
         "start_date",
         "end_date",
         F.explode(F.sequence("start_date", "end_date")).alias(cols.date),
     )
     step = F.struct(F.col(cols.date), F.array(*[F.col(f) for f in names]).alias("step"))
+    keys = ["window_idx", "start_date", "end_date", cols.entity]
+    position = F.row_number().over(Window.partitionBy(*keys).orderBy(cols.date))
     return (
         keep_entities(daily, entities, cols)
         .select(cols.entity, cols.date, *names)
         .join(days, cols.date)
-        .groupBy("window_idx", "start_date", "end_date", cols.entity)
+        .withColumn("_position", position)
+        .where(F.col("_position") <= history + 1)
+        .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(step)).alias("_steps"))
         .filter(F.size("_steps") == history)
         .withColumn("x", flatten_block(F.transform("_steps", lambda s: s["step"])))
@@ -52,18 +60,18 @@ def interval_truth(
     cols: SensorColumns = STATIONS,
     history: int = HISTORY_DAYS,
     horizon: int = HORIZON_DAYS,
+    blocks: DataFrame | None = None,
 ) -> DataFrame:
     """Event flags of the days after each interval, for every listed entity in the data.
 
-    Only intervals for which some entity has a full history count. An entity without all
+    Only intervals for which some entity has a full history count; ``blocks``, the result
+    of ``interval_history``, saves finding them again. An entity without all
     ``horizon`` days gets zeros, even if some of its days exist.
     """
     tested = keep_entities(daily, entities, cols)
-    usable = (
-        interval_history(tested, intervals, entities, cols, (), history)
-        .select("window_idx", "end_date")
-        .distinct()
-    )
+    if blocks is None:
+        blocks = interval_history(tested, intervals, entities, cols, (), history)
+    usable = blocks.select("window_idx", "end_date").distinct()
     present = tested.select(cols.entity).distinct()
     grid = (
         usable.withColumn(cols.entity, F.explode(F.array(*[F.lit(e) for e in entities])))

@@ -27,7 +27,8 @@ def best_iteration(
 
 
 def early_stop(
-    log: DataFrame, run: str, iteration: str = "iter", metric: str = "Logloss", patience: int = 5
+    log: DataFrame, run: str, iteration: str = "iter", metric: str = "Logloss", patience: int = 5,
+    larger_is_better: bool = False,
 ) -> DataFrame:
     """Per run: the first iteration that is ``patience`` rows past a strict improvement.
 
@@ -37,7 +38,8 @@ def early_stop(
     order = Window.partitionBy(run).orderBy("_iter")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    value = null_if_nan(metric)
+    sign = -1 if larger_is_better else 1
+    value = sign * null_if_nan(metric)
     entries = log.select(run, F.col(iteration).alias("_iter"), value.alias("_value"))
     marked = entries.withColumns(
         {"_row": F.row_number().over(order), "_least": F.min("_value").over(before)}
@@ -56,5 +58,5 @@ def early_stop(
     return stopped.groupBy(run).agg(
         F.max(F.when(F.col("_row") == F.col("_stop_row"), F.col("_iter"))).alias("stop_iter"),
         F.max_by("_iter", best_row).alias("best_iter"),
-        F.max_by("_value", best_row).alias("best_value"),
+        (sign * F.max_by("_value", best_row)).alias("best_value"),
     )

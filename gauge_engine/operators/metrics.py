@@ -51,16 +51,25 @@ def _required(name: str, dtype: str | None = None) -> Column:
     return F.coalesce(c, F.raise_error(F.lit(f"truth row without a usable {name}"))).alias(name)
 
 
+def binary_label(label: str) -> Column:
+    """The label as 0 or 1; a null or any other value fails the job instead of dropping out."""
+    y = F.col(label).cast("double")
+    return F.when(y.isin(0.0, 1.0), y.cast("int")).otherwise(
+        F.raise_error(F.concat(F.lit(f"{label} is neither 0 nor 1: "), F.coalesce(y.cast("string"), F.lit("null"))))
+    )
+
+
 def scored_pairs(truth: DataFrame, predictions: DataFrame) -> DataFrame:
     """Truth joined to predictions on id: ``score``, ``y_true`` and a row ``weight``.
 
     Copies in the truth are counted before the join, so repeated ids on both sides do not
-    multiply; the weight restores their number. A truth row without id or label fails the
-    job; set such rows aside beforehand to go on without them.
+    multiply; the weight restores their number. A truth row without id or with a label
+    other than 0 and 1 fails the job; set such rows aside beforehand to go on without them.
     """
     name = score_column(predictions.columns)
     score = F.col(name).cast("int" if name == "label" else "double")
     usable = truth.select(_required("id"), _required("y_true", "int"))
+    usable = usable.withColumn("y_true", binary_label("y_true"))
     counted = usable.groupBy("id", "y_true").agg(F.count(F.lit(1)).alias("weight"))
     return predictions.select("id", score.cast("double").alias("score")).join(counted, "id")
 
@@ -68,7 +77,7 @@ def scored_pairs(truth: DataFrame, predictions: DataFrame) -> DataFrame:
 def score_histogram(pairs: DataFrame, score: str = "score", label: str = "y_true", weight: str | None = None) -> DataFrame:
     """Positives and negatives per distinct score; a missing score ranks below all."""
     rows = F.col(weight) if weight else F.lit(1).cast("bigint")
-    y = F.col(label).cast("int")
+    y = binary_label(label)
     ranked = F.coalesce(null_if_nan(score), F.lit(float("-inf")))
     return pairs.groupBy(ranked.alias("score")).agg(
         F.sum(F.when(y == 1, rows).otherwise(0)).alias("pos"),
@@ -148,7 +157,7 @@ def matthews(tn: Column, fp: Column, fn: Column, tp: Column) -> Column:
 
 def confusion(df: DataFrame, score: str, label: str, cutoff: float = DECISION_CUTOFF, strict: bool = False) -> DataFrame:
     """One row with the four confusion counts at a cut-off."""
-    cells = confusion_counts(F.col(label).cast("int"), binarize(score, cutoff, strict))
+    cells = confusion_counts(binary_label(label), binarize(score, cutoff, strict))
     return df.agg(*[c.alias(name) for name, c in cells.items()])
 
 
@@ -170,7 +179,7 @@ def scores_by_group(
     df: DataFrame, group: str, score: str, label: str, cutoff: float = DECISION_CUTOFF, strict: bool = True
 ) -> DataFrame:
     """Confusion counts and scores per group, plus one row (null group) over everything."""
-    cells = confusion_counts(F.col(label).cast("int"), binarize(score, cutoff, strict))
+    cells = confusion_counts(binary_label(label), binarize(score, cutoff, strict))
     counts = df.rollup(group).agg(*[c.alias(name) for name, c in cells.items()])
     tn, fp, fn, tp = (F.col(c) for c in _CELLS)
     return counts.select(
@@ -183,7 +192,11 @@ def scores_by_group(
 
 
 def run_summary(**tables: DataFrame) -> DataFrame:
-    """Row count of each named table."""
+    """Row count of each named table.
+
+    Tables that are filters of one written table share its scan when they are given as
+    ``counts_where``; this form takes tables of any origin.
+    """
     parts = [
         df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
         for name, df in tables.items()
@@ -192,3 +205,10 @@ def run_summary(**tables: DataFrame) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def counts_where(df: DataFrame, **conditions: Column) -> DataFrame:
+    """``table, rows``: rows of ``df`` that meet each named condition, from one scan."""
+    counted = df.agg(*[_count_where(condition).alias(name) for name, condition in conditions.items()])
+    pairs = [F.struct(F.lit(name).alias("table"), F.col(name).alias("rows")) for name in conditions]
+    return counted.select(F.inline(F.array(*pairs)))

@@ -77,16 +77,29 @@ def with_dense_id(
     w = Window.partitionBy(entity).orderBy(*order)
     return (
         df.withColumn("_position", F.row_number().over(w) - 1)
-        .join(entity_offsets(df, entity, "_offset"), entity)
+        .join(
+            entity_offsets(df, entity, "_offset").withColumnRenamed(entity, "_entity"),
+            F.col(entity).eqNullSafe(F.col("_entity")),
+        )
+        .drop("_entity")
         .withColumn(name, (F.col("_offset") + F.col("_position")).cast("bigint"))
         .drop("_position", "_offset")
     )
 
 
-def with_positional_id(df: DataFrame, order: Sequence[Column | str], name: str = "id") -> DataFrame:
-    """Dense 0-based id in a total order over any columns.
+def with_positional_id(df: DataFrame, order: Sequence[str], name: str = "id") -> DataFrame:
+    """Dense 0-based id in ascending order of columns, nulls first.
 
-    A range-partitioned sort, then Spark's distributed sequence: a count per partition and
-    an offset each. ``order`` must determine the order completely.
+    Position inside an order bucket plus the rows of all earlier buckets. ``order`` must
+    determine the order completely.
     """
-    return df.orderBy(*order).pandas_api().to_spark(index_col=name)
+    placed = with_order_buckets(df.withColumn("_key", F.struct(*order)), "_key")
+    totals = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    # At most 2**BUCKET_BITS rows by construction.
+    offsets = F.broadcast(totals.select("_bucket", running_before("_rows", "_bucket").alias("_earlier")))
+    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key")) - 1
+    return (
+        placed.withColumn("_position", inside)
+        .join(offsets, "_bucket")
+        .select((F.col("_earlier") + F.col("_position")).cast("bigint").alias(name), *df.columns)
+    )
