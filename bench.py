@@ -39,6 +39,8 @@ HEADLINE = (
     "forecast_pipeline",
 )
 RUNS = 2
+# These keep what they fit for later queries of the session: only their first run counts.
+ONCE = {"forecast_pipeline"}
 
 
 def main() -> None:
@@ -58,7 +60,7 @@ def main() -> None:
     seconds: dict[str, float] = {}
     for name in names:
         best = float("inf")
-        for _ in range(RUNS):
+        for _ in range(1 if name in ONCE else RUNS):
             began = time.perf_counter()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             best = min(best, time.perf_counter() - began)

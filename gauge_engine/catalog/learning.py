@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -19,23 +21,21 @@ from gauge_engine.catalog.windows import INDEX_CTE
 from gauge_engine.operators.daily import daily_slim
 from gauge_engine.operators.index import index_with_ids
 from gauge_engine.operators.models import (
+    VALIDATED_SETTINGS,
     BoostingSettings,
     ModelBundle,
-    fit_boosting,
     fit_horizon,
-    fit_then_refit,
     load_or_fit,
     score_horizon,
     score_windows,
+    validated_fit,
 )
 from gauge_engine.operators.splits import split_entities, split_stratified
-from gauge_engine.plans.evaluate import evaluation_report
-from gauge_engine.plans.forecast import forecast, forecast_horizon, forecast_with
+from gauge_engine.plans.evaluate import evaluation_report, score_predictions
+from gauge_engine.plans.forecast import fit_bundle, forecast, forecast_horizon, forecast_with
 from gauge_engine.plans.training import scoring_windows, training_windows
-from gauge_engine.session import scratch_path
+from gauge_engine.session import materialize, scratch_path, shared_folder
 
-# Few rounds keep the registered queries short; the defaults of the library are larger.
-SETTINGS = BoostingSettings(rounds=5, rate=0.3)
 KEYS = ["o_orderpriority", "hist_start", "future_start"]
 
 
@@ -70,61 +70,117 @@ def _(spark, sf):
     return emit(forecast_with(mean_level_scorer(), readings, _index(readings), ORDERS), 6)
 
 
-@query("gbt_score")
-def _(spark, sf):
-    train, test = _split(spark, sf)
-    model = fit_boosting(training_windows(train, ORDERS), SETTINGS)
-    return score_windows(model, scoring_windows(test, ORDERS)).select(*KEYS, "y_prob")
+# --- what a fit determines: which windows and ids are answered, and probabilities -----------------
 
+_TEST = window_ctes(ORDER_READINGS, where=f"k IN {ORDERS_TEST}")
+_WINDOWS_SQL = _TEST + """
+SELECT k AS o_orderpriority, CAST(hist_start AS VARCHAR) AS hist_start, CAST(future_start AS VARCHAR) AS future_start,
+  1 AS is_probability FROM w"""
+_IDS_SQL = _TEST + INDEX_CTE + """
+SELECT CAST(id AS BIGINT) AS id, 1 AS is_probability, CAST(w.k IS NULL AS INTEGER) AS without_window
+FROM idx LEFT JOIN w ON idx.k = w.k AND idx.hist_start = w.hist_start AND idx.future_start = w.future_start"""
 
-@query("gbt_reload")
-def _(spark, sf):
-    train, test = _split(spark, sf)
-    path = scratch_path(spark, "bundle")
+
+def _is_probability(name: str):
+    return F.col(name).between(0.0, 1.0).cast("int").alias("is_probability")
+
+
+def _fitted(spark, sf, kind):
+    """The path of a bundle fitted once per session and table folder, with all its rounds."""
+    train, _ = _split(spark, sf)
+    path = f"{shared_folder(spark)}/catalog-{spark.sparkContext.applicationId}-{kind}-{zlib.crc32(sf.encode())}"
 
     def fit():
-        return ModelBundle(fit_boosting(training_windows(train, ORDERS), SETTINGS), ORDERS.tree_features, SETTINGS)
+        if kind == "horizon":
+            windows = training_windows(train, ORDERS, ORDERS.sequence_features)
+            return ModelBundle(fit_horizon(windows), ORDERS.sequence_features, kind="horizon")
+        return fit_bundle(train, ORDERS)
+
+    features = ORDERS.sequence_features if kind == "horizon" else ORDERS.tree_features
+    return path, load_or_fit(spark, path, fit, kind=kind, settings=BoostingSettings(), features=features)
 
-    load_or_fit(spark, path, fit)
-    bundle = load_or_fit(spark, path, fit)
-    return score_windows(bundle.model, scoring_windows(test, ORDERS, bundle.features)).select(*KEYS, "y_prob")
+
+@query("gbt_score", _WINDOWS_SQL)
+def _(spark, sf):
+    _, bundle = _fitted(spark, sf, "window")
+    scored = score_windows(bundle.model, scoring_windows(_split(spark, sf)[1], ORDERS))
+    return emit(scored.select(*KEYS, _is_probability("y_prob")))
 
 
-@query("gbt_refit")
+@query("gbt_reload", _WINDOWS_SQL.replace("is_probability", "same_as_before"))
+def _(spark, sf):
+    """A bundle saved again and read back scores like the one it came from."""
+    _, bundle = _fitted(spark, sf, "window")
+    path = scratch_path(spark, "bundle")
+    bundle.save(spark, path)
+    windows = materialize(scoring_windows(_split(spark, sf)[1], ORDERS), "test-windows")
+    before = score_windows(bundle.model, windows).select(*KEYS, "y_prob")
+    after = score_windows(ModelBundle.load(spark, path).model, windows).select(*KEYS, F.col("y_prob").alias("again"))
+    return emit(before.join(after, KEYS).select(*KEYS, (F.col("y_prob") == F.col("again")).alias("same_as_before")))
+
+
+@query("gbt_refit", _WINDOWS_SQL)
 def _(spark, sf):
     train, test = _split(spark, sf)
     marked = split_stratified(training_windows(train, ORDERS), KEYS[:2])
-    model = fit_then_refit(marked, "is_validation", SETTINGS)
-    return score_windows(model, scoring_windows(test, ORDERS)).select(*KEYS, "y_prob")
+    model = validated_fit(marked, "is_validation", VALIDATED_SETTINGS).model
+    return emit(score_windows(model, scoring_windows(test, ORDERS)).select(*KEYS, _is_probability("y_prob")))
 
 
-@query("horizon_forecast")
+@query(
+    "horizon_forecast",
+    _TEST + """
+SELECT k AS o_orderpriority, CAST(hist_start AS VARCHAR) AS hist_start, CAST(future_start AS VARCHAR) AS future_start,
+  CAST(h AS INTEGER) AS pos, 1 AS is_probability FROM w, range(14) AS r(h)""",
+)
 def _(spark, sf):
-    train, test = _split(spark, sf)
-    model = fit_horizon(training_windows(train, ORDERS, ORDERS.sequence_features), SETTINGS)
-    return explode_block(
-        score_horizon(model, scoring_windows(test, ORDERS, ORDERS.sequence_features), ORDERS), "probs"
-    )
+    _, bundle = _fitted(spark, sf, "horizon")
+    windows = scoring_windows(_split(spark, sf)[1], ORDERS, ORDERS.sequence_features)
+    scored = explode_block(score_horizon(bundle.model, windows, ORDERS), "probs")
+    return emit(scored.select(*KEYS, "pos", _is_probability("x")))
 
 
-@query("horizon_pipeline")
+@query("horizon_pipeline", _IDS_SQL)
 def _(spark, sf):
+    path, _ = _fitted(spark, sf, "horizon")
     train, test = _split(spark, sf)
-    return forecast_horizon(train, test, _index(test), ORDERS, settings=SETTINGS)
+    return _answers(forecast_horizon(train, test, _index(test), ORDERS, bundle_path=path), test, ORDERS.sequence_features)
 
 
-@query("forecast_pipeline")
+@query("forecast_pipeline", _IDS_SQL)
 def _(spark, sf):
+    path, _ = _fitted(spark, sf, "window")
     train, test = _split(spark, sf)
-    return forecast(train, test, _index(test), ORDERS, settings=SETTINGS)
+    return _answers(forecast(train, test, _index(test), ORDERS, bundle_path=path), test, ORDERS.tree_features)
+
+
+def _answers(predictions, test, features):
+    """Every id, whether it has a probability, and whether it has no window and so 0.5."""
+    windows = scoring_windows(test, ORDERS, features).select(*KEYS, F.lit(True).alias("_has"))
+    joined = _index(test).join(windows, KEYS, "left").join(predictions, "id")
+    without = F.col("_has").isNull() & (F.col("y_prob") == 0.5)
+    return emit(joined.select("id", _is_probability("y_prob"), without.alias("without_window")))
+
+
+def _among(entities: tuple[str, ...]) -> str:
+    return "k IN (" + ", ".join(f"'{e}'" for e in entities) + ")"
+
+
+_REPORT_SQL = f"""SELECT 'train' AS split, CAST(count(*) AS BIGINT) AS n, 1 AS is_auc FROM (
+  {window_ctes(ORDER_READINGS, where=_among(ORDERS_TRAIN))} SELECT * FROM w)
+UNION ALL SELECT 'test', CAST(count(*) AS BIGINT), 1 FROM (
+  {_TEST + INDEX_CTE} SELECT id FROM idx JOIN w ON idx.k = w.k AND idx.hist_start = w.hist_start
+  AND idx.future_start = w.future_start)"""
 
 
-@query("eval_report")
+@query("eval_report", _REPORT_SQL)
 def _(spark, sf):
+    """Scores of the training fit, and of truth joined to predictions for the test entities."""
+    path, bundle = _fitted(spark, sf, "window")
     train, test = _split(spark, sf)
-    model = fit_boosting(training_windows(train, ORDERS), SETTINGS)
-    scored = {
-        name: score_windows(model, training_windows(part, ORDERS)).select(F.col("y"), "y_prob")
-        for name, part in (("train", train), ("test", test))
-    }
-    return evaluation_report(**scored)
+    fitted = score_windows(bundle.model, training_windows(train, ORDERS)).select("y", "y_prob")
+    index = materialize(_index(test), "index")
+    truth = training_windows(test, ORDERS).select(*KEYS, "y").join(index, KEYS).select("id", F.col("y").alias("y_true"))
+    tested = score_predictions(truth, forecast(train, test, index, ORDERS, bundle_path=path))
+    report = evaluation_report(train=fitted).unionByName(tested.withColumn("split", F.lit("test")))
+    return emit(report.select("split", "n", F.col("auc").between(0.0, 1.0).alias("is_auc")))

@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field, replace
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gauge_engine.columns import HISTORY_DAYS, HORIZON_DAYS, STATIONS, SensorColumns
+from gauge_engine.columns import HISTORY_DAYS, HORIZON_DAYS, STATIONS, THRESHOLD_STDS, SensorColumns
 from gauge_engine.functions.scalars import class_weight
+from gauge_engine.operators.logs import best_iteration, early_stop
 from gauge_engine.operators.metrics import class_balance
-from gauge_engine.session import ensure_checkpoints
+from gauge_engine.session import ensure_checkpoints, materialize
 
 
 @dataclass(frozen=True)
@@ -30,10 +34,12 @@ class BoostingSettings:
     row_share: float = 0.8
     feature_share: float = 0.8
     seed: int = 42
-    # 0 runs every round unless the validation loss gets worse.
-    validation_tolerance: float = 0.0
 
 
+# Held-out rows on which rounds are compared, at most: those with the smallest hash. The
+# bound is on labelled rows for choosing a number of rounds, never on the rounds.
+VALIDATION_ROWS = 200_000
+
 # The settings of the variant that chooses its rounds on a validation split.
 VALIDATED_SETTINGS = BoostingSettings(depth=6, rounds=600, row_share=1.0, feature_share=1.0)
 
@@ -59,9 +65,7 @@ def _held(rows: DataFrame) -> Iterator[DataFrame]:
         rows.unpersist()
 
 
-def _fit(
-    rows: DataFrame, settings: BoostingSettings, label: str, validation: str | None = None
-) -> GBTClassificationModel:
+def _fit(rows: DataFrame, settings: BoostingSettings, label: str) -> GBTClassificationModel:
     ensure_checkpoints(rows.sparkSession)
     learner = GBTClassifier(
         featuresCol="features",
@@ -73,23 +77,97 @@ def _fit(
         subsamplingRate=settings.row_share,
         featureSubsetStrategy=str(settings.feature_share),
         seed=settings.seed,
-        validationTol=settings.validation_tolerance,
     )
-    if validation is None:
-        return learner.fit(_prepared(rows, label))
-    return learner.setValidationIndicatorCol(validation).fit(_prepared(rows, label, [validation]))
+    return learner.fit(_prepared(rows, label))
 
 
 def fit_boosting(
     windows: DataFrame,
     settings: BoostingSettings = BoostingSettings(),
     label: str = "y",
-    validation: str | None = None,
 ) -> GBTClassificationModel:
-    """Class-weighted boosted trees on flat blocks; ``validation`` marks held-out rows."""
-    needed = ["x", label, *([validation] if validation else [])]
-    with _held(windows.select(*needed)) as rows:
-        return _fit(rows, settings, label, validation)
+    """Class-weighted boosted trees on flat blocks."""
+    with _held(windows.select("x", label)) as rows:
+        return _fit(rows, settings, label)
+
+
+def round_metrics(
+    model: GBTClassificationModel, windows: DataFrame, label: str = "y", most_rows: int = VALIDATION_ROWS
+) -> DataFrame:
+    """A metric log ``iter, AUC, Logloss``: the model cut after each round, on the same rows.
+
+    Every tree's leaf is looked up once per row; running sums give the margins of all
+    rounds. AUC is 0.5 where a class is missing.
+    """
+    values = [
+        weight * np.array([float(v) for v in re.findall(r"Predict: (\S+)", tree.toDebugString)])
+        for weight, tree in zip(model.treeWeights, model.trees)
+    ]
+
+    @F.pandas_udf("array<double>")
+    def margins(leaves: pd.Series) -> pd.Series:
+        return leaves.map(lambda row: np.cumsum([v[int(leaf)] for v, leaf in zip(values, row)]))
+
+    rows = windows.orderBy(F.xxhash64("x", label)).limit(most_rows)
+    scored = model.copy().setLeafCol("_leaves").transform(rows.select(array_to_vector("x").alias("features"), label))
+    per_round = scored.select(F.col(label).alias("_y"), F.posexplode(margins(vector_to_array("_leaves"))).alias("iter", "_margin"))
+    # The margin is half the log odds.
+    right = F.when(F.col("_y") == 1, F.col("_margin")).otherwise(-F.col("_margin"))
+    counts = per_round.groupBy("iter", "_margin").agg(
+        F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).alias("_pos"),
+        F.sum(F.when(F.col("_y") == 1, 0).otherwise(1)).alias("_neg"),
+        F.sum(F.log1p(F.exp(-2 * right))).alias("_loss"),
+    )
+    below = Window.partitionBy("iter").orderBy("_margin").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("_below", F.coalesce(F.sum("_neg").over(below), F.lit(0)))
+    pos, neg = F.sum("_pos"), F.sum("_neg")
+    wins = F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2.0))
+    return placed.groupBy("iter").agg(
+        F.when(pos * neg == 0, 0.5).otherwise(wins / F.nullif(pos * neg, F.lit(0))).alias("AUC"),
+        (F.sum("_loss") / (pos + neg)).alias("Logloss"),
+    )
+
+
+def chosen_rounds(log: DataFrame, metric: str = "AUC", patience: int | None = None) -> int:
+    """How many rounds a metric log speaks for: the best of all, the earliest on ties.
+
+    With ``patience``, the best up to the round at which waiting that long would have ended.
+    """
+    larger = metric == "AUC"
+    one_run = log.withColumn("_run", F.lit(0))
+    if patience is None:
+        best = best_iteration(one_run, "_run", metric=metric, larger_is_better=larger)
+    else:
+        best = early_stop(one_run, "_run", metric=metric, patience=patience, larger_is_better=larger)
+    return int(best.first()["best_iter"]) + 1
+
+
+@dataclass
+class ValidatedFit:
+    """A model refitted on all rows, the rounds chosen for it and the log they come from."""
+
+    model: GBTClassificationModel
+    rounds: int
+    log: DataFrame
+
+
+def validated_fit(
+    windows: DataFrame,
+    validation: str,
+    settings: BoostingSettings = VALIDATED_SETTINGS,
+    label: str = "y",
+    metric: str = "AUC",
+    patience: int | None = None,
+    use_best_rounds: bool = True,
+) -> ValidatedFit:
+    """All rounds on the training part, every round scored on the held-out part, then a refit
+    on all rows with the chosen rounds (or all of them)."""
+    with _held(windows.select("x", label, validation)) as rows:
+        first = _fit(rows.where(~F.col(validation)), settings, label)
+        log = materialize(round_metrics(first, rows.where(validation), label), "metric-log")
+        rounds = chosen_rounds(log, metric, patience)
+        refit = replace(settings, rounds=rounds) if use_best_rounds else settings
+        return ValidatedFit(_fit(rows, refit, label), rounds, log)
 
 
 def fit_then_refit(
@@ -99,14 +177,8 @@ def fit_then_refit(
     label: str = "y",
     use_best_rounds: bool = True,
 ) -> GBTClassificationModel:
-    """Choose the number of rounds on held-out rows, then fit on all rows.
-
-    ``use_best_rounds=False`` refits with the full number of rounds.
-    """
-    with _held(windows.select("x", label, validation)) as rows:
-        if use_best_rounds:
-            settings = replace(settings, rounds=_fit(rows, settings, label, validation).getNumTrees)
-        return _fit(rows, settings, label)
+    """The model of ``validated_fit``; ``use_best_rounds=False`` refits with all rounds."""
+    return validated_fit(windows, validation, settings, label, use_best_rounds=use_best_rounds).model
 
 
 def score_windows(model: GBTClassificationModel, windows: DataFrame, out: str = "y_prob") -> DataFrame:
@@ -159,6 +231,10 @@ class ModelBundle:
     model: GBTClassificationModel
     features: Sequence[str]
     settings: BoostingSettings = field(default_factory=BoostingSettings)
+    # What the model answers ("window" or "horizon") and how its labels were made.
+    kind: str = "window"
+    stds: float = THRESHOLD_STDS
+    basis: str = "raw"
     history: int = HISTORY_DAYS
     horizon: int = HORIZON_DAYS
     thresholds: DataFrame | None = None
@@ -174,6 +250,9 @@ class ModelBundle:
         about = {
             "features": list(self.features),
             "settings": asdict(self.settings),
+            "kind": self.kind,
+            "stds": self.stds,
+            "basis": self.basis,
             "history": self.history,
             "horizon": self.horizon,
             "tables": [n for n in ("thresholds", "scaler") if getattr(self, n) is not None],
@@ -189,16 +268,29 @@ class ModelBundle:
             model=GBTClassificationModel.load(f"{path}/model"),
             features=about["features"],
             settings=BoostingSettings(**about["settings"]),
+            kind=about["kind"],
+            stds=about["stds"],
+            basis=about["basis"],
             history=about["history"],
             horizon=about["horizon"],
             **tables,
         )
 
 
-def load_or_fit(spark: SparkSession, path: str, fit: Callable[[], ModelBundle]) -> ModelBundle:
-    """Reuse a complete bundle at ``path``; otherwise fit one and save it there."""
+def load_or_fit(
+    spark: SparkSession, path: str, fit: Callable[[], ModelBundle], **expected: object
+) -> ModelBundle:
+    """Reuse a complete bundle at ``path``; otherwise fit one and save it there.
+
+    A bundle that differs in a field named in ``expected`` is refused.
+    """
     try:
-        return ModelBundle.load(spark, path)
+        found = ModelBundle.load(spark, path)
+        for name, want in expected.items():
+            has = getattr(found, name)
+            if (list(has) if name == "features" else has) != (list(want) if name == "features" else want):
+                raise ValueError(f"the bundle at {path} has {name} {has}, not {want}")
+        return found
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -16,13 +16,13 @@ from gauge_engine.operators.models import (
     ModelBundle,
     fit_boosting,
     fit_horizon,
-    fit_then_refit,
     load_or_fit,
     score_horizon,
     score_windows,
+    validated_fit,
 )
 from gauge_engine.operators.plugin import Scorer, score_with
-from gauge_engine.operators.splits import split_stratified
+from gauge_engine.operators.splits import split_random, split_stratified, split_tail
 from gauge_engine.plans.training import (
     flag_series,
     scoring_windows,
@@ -46,17 +46,33 @@ def fit_bundle(
     stds: float = THRESHOLD_STDS,
     basis: str = "raw",
     refit: bool = False,
+    split: str = "stratified",
+    metric: str = "AUC",
+    patience: int | None = None,
+    use_best_rounds: bool = True,
 ) -> ModelBundle:
-    """Fit on the training entities only; ``refit`` first chooses the rounds on a split."""
+    """Fit on the training entities only; ``refit`` first chooses the rounds on a split.
+
+    ``split``: ``stratified`` by class, the ``tail`` of the series, or ``random``.
+    """
     names = cols.tree_features if features is None else features
     daily = materialize(daily_rollup(train, cols, attrs=(), moments=True), "daily")
     windows = windows_of(flag_series(daily, cols, stds=stds, basis=basis), cols, names)
     if refit:
-        marked = split_stratified(windows, [cols.entity, "hist_start"])
-        model = fit_then_refit(marked, "is_validation", settings)
+        keys = [cols.entity, "hist_start"]
+        if split == "tail":
+            marked = split_tail(windows, keys[1:], cols=cols)
+        elif split == "random":
+            marked = split_random(windows, keys)
+        else:
+            marked = split_stratified(windows, keys)
+        model = validated_fit(
+            marked, "is_validation", settings, metric=metric, patience=patience, use_best_rounds=use_best_rounds
+        ).model
     else:
         model = fit_boosting(windows, settings)
-    return ModelBundle(model, names, settings, thresholds=series_thresholds(daily, cols, stds, basis))
+    thresholds = series_thresholds(daily, cols, stds, basis)
+    return ModelBundle(model, names, settings, stds=stds, basis=basis, thresholds=thresholds)
 
 
 def forecast(
@@ -76,8 +92,10 @@ def forecast(
     def fit() -> ModelBundle:
         return fit_bundle(train, cols, features, settings, stds, basis, refit)
 
-    bundle = load_or_fit(test.sparkSession, bundle_path, fit) if bundle_path else fit()
-    windows = require_rows(scoring_windows(test, cols, bundle.features), NO_WINDOWS)
+    asked = {"kind": "window", "settings": settings, "stds": stds, "basis": basis}
+    asked["features"] = cols.tree_features if features is None else features
+    bundle = load_or_fit(test.sparkSession, bundle_path, fit, **asked) if bundle_path else fit()
+    windows = require_rows(materialize(scoring_windows(test, cols, bundle.features), "test-windows"), NO_WINDOWS)
     return align_to_index(index, score_windows(bundle.model, windows), cols)
 
 
@@ -102,10 +120,11 @@ def forecast_horizon(
 
     def fit() -> ModelBundle:
         model = fit_horizon(training_windows(train, cols, names, stds=stds), settings)
-        return ModelBundle(model, names, settings)
+        return ModelBundle(model, names, settings, kind="horizon", stds=stds)
 
-    bundle = load_or_fit(test.sparkSession, bundle_path, fit) if bundle_path else fit()
-    windows = require_rows(scoring_windows(test, cols, bundle.features), NO_WINDOWS)
+    asked = {"kind": "horizon", "settings": settings, "stds": stds, "features": names}
+    bundle = load_or_fit(test.sparkSession, bundle_path, fit, **asked) if bundle_path else fit()
+    windows = require_rows(materialize(scoring_windows(test, cols, bundle.features), "test-windows"), NO_WINDOWS)
     daily = score_horizon(bundle.model, windows, cols, bundle.horizon)
     combined = horizon_blend("probs", bundle.horizon) if combine == "blend" else horizon_max("probs")
     return align_to_index(index, daily.withColumn("y_prob", combined), cols)

@@ -133,7 +133,16 @@ def test_forecast_answers_every_id(spark, train, test, tmp_path):
     assert sorted(r.id for r in got) == list(range(index.count()))
     assert all(0 <= r.y_prob <= 1 for r in got) and len({r.y_prob for r in got}) > 1
     with pytest.raises(ValueError, match=NO_WINDOWS):
-        forecast(train, test.limit(0), index, S, settings=QUICK, bundle_path=str(tmp_path / "m"))
+        forecast(train, test.limit(0), index, S, settings=QUICK, stds=0.5, bundle_path=str(tmp_path / "m"))
+
+
+def test_a_bundle_of_another_kind_is_refused(spark, train, test, tmp_path):
+    index, path = index_with_ids(daily_slim(test, S), S), str(tmp_path / "m")
+    forecast(train, test, index, S, settings=QUICK, stds=0.5, bundle_path=path)
+    with pytest.raises(ValueError, match="has stds"):
+        forecast(train, test, index, S, settings=QUICK, bundle_path=path)
+    with pytest.raises(ValueError, match="has kind"):
+        forecast_horizon(train, test, index, S, settings=QUICK, stds=0.5, bundle_path=path)
 
 
 def test_from_matrix_to_scores_through_files(spark, tmp_path):
