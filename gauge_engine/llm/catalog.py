@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gauge_engine.llm import oracles
 from gauge_engine.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,7 +52,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder)
 
 
-@query("op2_ngram_join")
+@query("op2_ngram_join", oracles.OP2)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gauge_engine.llm.ngram_join import ngram_components
 
@@ -91,7 +92,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "score", "verdict")
 
 
-@query("op5_quality")
+@query("op5_quality", oracles.OP5)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gauge_engine.llm.quality import judge_quality
 
@@ -110,7 +111,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("id AS doc_id", "item AS item_id", "start", "matched", "stretch")
 
 
-@query("op8_licences")
+@query("op8_licences", oracles.OP8)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gauge_engine.llm.licences import scan_licences
 

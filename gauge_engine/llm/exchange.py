@@ -10,6 +10,8 @@ from __future__ import annotations
 
 
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -46,42 +48,56 @@ def bucketed(df: DataFrame, buckets: int, id_col: str, text_col: str) -> DataFra
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted unsigned 64-bit keys, equal ones too: width, first key, then the differences in ``width`` bytes,
+    """Sorted unsigned 64-bit keys, equal ones too: width, shift, first key, then the
+    differences without their ``shift`` lowest bits, which are all 0, in ``width`` bytes, the
     lowest bytes of all first."""
     if not len(keys):
         return b""
     steps = np.diff(keys)
-    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 0
-    planes = steps.astype("<u8").view("u1").reshape(-1, 8)[:, :width].T
-    return bytes([width]) + keys[:1].astype("<u8").tobytes() + planes.tobytes()
+    used = int(np.bitwise_or.reduce(steps)) if len(steps) else 0
+    shift = (used & -used).bit_length() - 1 if used else 0
+    width = max(1, (used.bit_length() - shift + 7) // 8) if len(steps) else 0
+    planes = (steps >> np.uint64(shift)).astype("<u8").view("u1").reshape(-1, 8)[:, :width].T
+    return bytes([width, shift]) + keys[:1].astype("<u8").tobytes() + planes.tobytes()
 
 
 def unpack_keys(packed: bytes) -> np.ndarray:
     if not packed:
         return np.empty(0, np.uint64)
-    width = packed[0]
-    first = np.frombuffer(packed, "<u8", 1, 1)
+    width, shift = packed[0], packed[1]
+    first = np.frombuffer(packed, "<u8", 1, 2)
     if not width:
         return first.astype(np.uint64)
-    planes = np.frombuffer(packed, "u1", offset=9).reshape(width, -1)
+    planes = np.frombuffer(packed, "u1", offset=10).reshape(width, -1)
     steps = np.zeros((planes.shape[1], 8), "u1")
     steps[:, :width] = planes.T
-    return np.cumsum(np.concatenate([first, steps.view("<u8").ravel()]), dtype=np.uint64)
+    steps = steps.view("<u8").ravel() << np.uint64(shift)
+    return np.cumsum(np.concatenate([first, steps]), dtype=np.uint64)
+
+
+def key_bits(buckets: int, keys_per_bucket: int = BUCKET_BYTES // 4) -> int:
+    """Bits of a hash that tell so many keys apart but for one in 16,384."""
+    return min(64, (buckets * keys_per_bucket).bit_length() + 14)
+
+
+def cut_keys(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Keys with all but their upper ``bits`` bits cleared."""
+    return keys & np.uint64(~((1 << (64 - bits)) - 1) & (2**64 - 1))
 
 
 def pack_sums(sums: np.ndarray) -> bytes:
-    """Numbers in the narrowest type: whole numbers of 0 or more, else doubles."""
+    """Numbers in the narrowest type, deflated: whole numbers of 0 or more, else doubles."""
     if sums.dtype.kind == "f":
         code = 4
     else:
         top = int(sums.max()) if len(sums) else 0
         code = next(i for i, bits in enumerate((8, 16, 32, 64)) if top < 1 << bits)
-    return bytes([code]) + sums.astype(_CODES[code]).tobytes()
+    return bytes([code]) + zlib.compress(sums.astype(_CODES[code]).tobytes(), 1)
 
 
 def unpack_sums(packed: bytes) -> np.ndarray:
     kind = _CODES[packed[0]]
-    return np.frombuffer(packed, kind, offset=1).astype("f8" if kind == "<f8" else "i8")
+    return np.frombuffer(zlib.decompress(packed[1:]), kind).astype("f8" if kind == "<f8" else "i8")
 
 
 def ranges(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -31,8 +31,10 @@ from gauge_engine.llm.exchange import (
     aligned_totals,
     bucket_count,
     bucketed,
+    cut_keys,
     distinct_and_total,
     in_key_order,
+    key_bits,
     pieces,
     range_count,
 )
@@ -91,9 +93,11 @@ class _Tokens:
     ``has1`` and ``has2`` tell where one and two tokens of the same text come before.
     """
 
-    def __init__(self, frame: pd.DataFrame):
+    def __init__(self, frame: pd.DataFrame, bits: int):
         import xxhash
 
+        self.bits = bits
+
         self.numbers = [None if n is pd.NA else int(n) for n in frame["id"].astype("Int64")]
         codes: dict[bytes, int] = defaultdict(lambda: len(codes))
         end = codes[b""]  # no word is empty
@@ -118,7 +122,7 @@ class _Tokens:
         codes2, pairs = pd.factorize((self.previous * len(hashes) + word)[self.has1])
         first, second = np.divmod(pairs, len(hashes))
         keys = _mix(_mix(hashes[first]) * _M + hashes[second])
-        self.pairs = _Distinct(codes2, keys)
+        self.pairs = _Distinct(codes2, cut_keys(keys, bits))
         self.pair = np.zeros(len(word), "i8")
         self.pair[self.has1] = codes2
         self.before = np.concatenate([self.pair[:1], self.pair[:-1]])
@@ -129,7 +133,8 @@ class _Tokens:
         word, size = self.words.codes[at], len(self._hashes)
         codes, triples = pd.factorize(self.before[at] * size + word)
         pair, last = np.divmod(triples, size)
-        return _Distinct(codes, _mix(_mix(self._pair_keys[pair] + np.uint64(1)) * _M + self._hashes[last]))
+        keys = _mix(_mix(self._pair_keys[pair] + np.uint64(1)) * _M + self._hashes[last])
+        return _Distinct(codes, cut_keys(keys, self.bits))
 
 
 class _Counts:
@@ -158,11 +163,11 @@ def _root_of(returned: pd.DataFrame) -> tuple[int, int]:
     return int(returned["tokens"].iloc[0]), int(returned["distinct"].iloc[0])
 
 
-def _short_counts(parts: int):
+def _short_counts(parts: int, bits: int):
     """Words in the ranges below ``parts``, pairs in those from there on."""
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
-        t = _Tokens(frame)
+        t = _Tokens(frame, bits)
         bucket = int(frame["bucket"].iloc[0])
         return pd.concat(
             [
@@ -174,11 +179,11 @@ def _short_counts(parts: int):
     return count
 
 
-def _triple_counts(parts: int, least_count: int):
+def _triple_counts(parts: int, bits: int, least_count: int):
     """Words behind the pairs that are frequent enough to be contexts."""
 
     def count(texts: pd.DataFrame, returned: pd.DataFrame) -> pd.DataFrame:
-        t = _Tokens(texts)
+        t = _Tokens(texts, bits)
         c = _Counts(t, returned, parts, least_count)
         triples = t.triples(c.two)
         return pieces(int(texts["bucket"].iloc[0]), triples.keys, triples.sent(t.training[c.two]), parts)
@@ -204,11 +209,11 @@ def _contexts(t: _Tokens, c: _Counts) -> tuple[_Distinct, _Distinct]:
     return out[0], out[1]
 
 
-def _divergences(parts: int, least_count: int, smoothing: float):
+def _divergences(parts: int, bits: int, least_count: int, smoothing: float):
     """What each training occurrence adds to its contexts' divergence from shorter ones."""
 
     def gather(texts: pd.DataFrame, returned: pd.DataFrame) -> pd.DataFrame:
-        t = _Tokens(texts)
+        t = _Tokens(texts, bits)
         c = _Counts(t, returned, parts, least_count)
         base = c.root(returned)
         ones, twos = _contexts(t, c)
@@ -234,9 +239,9 @@ def _divergences(parts: int, least_count: int, smoothing: float):
     return gather
 
 
-def _scored(parts: int, least_count: int, divergence: float, smoothing: float):
+def _scored(parts: int, bits: int, least_count: int, divergence: float, smoothing: float):
     def score(texts: pd.DataFrame, returned: pd.DataFrame) -> pd.DataFrame:
-        t = _Tokens(texts)
+        t = _Tokens(texts, bits)
         c = _Counts(t, returned, parts, least_count)
         base = c.root(returned)
         gains = returned[returned["kind"] == _GAINS]
@@ -283,15 +288,15 @@ def suffix_tree_scores(
 
     Null and empty texts are the end token alone. A row without an id is training. Repeated
     rows count as often as they come. An empty table gives no rows; if all texts are held
-    out, every count is 0. Other columns are ignored. Words, pairs and triples are counted
-    by 64-bit hashes.
+    out, every count is 0. Other columns are ignored. Words are counted by 64-bit hashes,
+    pairs and triples by as many bits as tell all but one in 16,384 of them apart.
     """
     ship_package(docs.sparkSession)
     buckets = bucket_count(docs, text_col)
     texts = bucketed(docs, buckets, id_col, text_col)
     by_bucket = texts.groupBy("bucket")
-    parts = range_count(buckets)
-    sent = by_bucket.applyInPandas(_short_counts(parts), PIECES)
+    parts, bits = range_count(buckets), key_bits(buckets)
+    sent = by_bucket.applyInPandas(_short_counts(parts, bits), PIECES)
     root = distinct_and_total(sent, parts)
 
     def answers(*kinds: tuple[int, DataFrame]) -> GroupedData:
@@ -307,8 +312,8 @@ def suffix_tree_scores(
         return aligned_totals(by_bucket.cogroup(answers(*kinds)).applyInPandas(function, PIECES))
 
     counts = _COUNTS, aligned_totals(sent)
-    triples = _TRIPLES, gathered(_triple_counts(parts, least_count), counts)
-    gains = _GAINS, gathered(_divergences(parts, least_count, smoothing), counts, triples)
+    triples = _TRIPLES, gathered(_triple_counts(parts, bits, least_count), counts)
+    gains = _GAINS, gathered(_divergences(parts, bits, least_count, smoothing), counts, triples)
     return by_bucket.cogroup(answers(counts, triples, gains)).applyInPandas(
-        _scored(parts, least_count, divergence, smoothing), SCORES
+        _scored(parts, bits, least_count, divergence, smoothing), SCORES
     )
