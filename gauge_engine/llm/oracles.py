@@ -15,11 +15,11 @@ s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS s
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
 links AS (SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * o >= 90 * (a.n + b.n - o)),
-both AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
-reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, both.y FROM reach JOIN both ON reach.y = both.x),
-least AS (SELECT x, min(y) AS c FROM reach GROUP BY 1)
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, edges.y FROM reach JOIN edges ON reach.y = edges.x),
+smallest AS (SELECT x, min(y) AS c FROM reach GROUP BY 1)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c AS component_id
-FROM documents LEFT JOIN n USING (doc_id) JOIN least ON x = doc_id"""
+FROM documents LEFT JOIN n USING (doc_id) JOIN smallest ON x = doc_id"""
 
 OP5 = rf"""WITH w AS (
   SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS ws, {_LINES} AS ls FROM documents),
