@@ -23,6 +23,15 @@ def _written(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
     return written, (seen.get["n"], seen.get["sum"])
 
 
+# Up to so many edges, 16 bytes each, a round runs in one task and needs no exchange; beyond
+# it, rounds are shuffled. The steps and the result are the same.
+ONE_TASK_EDGES = 500_000
+
+
+def _together(edges: DataFrame, small: bool) -> DataFrame:
+    return edges.coalesce(1) if small else edges
+
+
 def _oriented(edges: DataFrame) -> DataFrame:
     """``u > v``, each edge once, no loops."""
     return (
@@ -32,18 +41,18 @@ def _oriented(edges: DataFrame) -> DataFrame:
     )
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, small: bool) -> DataFrame:
     """Every larger neighbour of a node is joined to the smallest node around it."""
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = _together(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), small)
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, small: bool) -> DataFrame:
     """A node and its smaller neighbours are joined to the smallest of them."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
     others = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return others.union(least.select("u", F.col("m").alias("v")))
+    return _together(others.union(least.select("u", F.col("m").alias("v"))), small)
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -60,4 +69,5 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
                 now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         seen = state
-        now, state = _written(_oriented(_small_star(_oriented(_large_star(now)))))
+        small = state[0] <= ONE_TASK_EDGES
+        now, state = _written(_oriented(_small_star(_oriented(_large_star(_together(now, small), small)), small)))
