@@ -8,17 +8,23 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gauge_engine.catalog.registry import emit, explode_block, query
+from gauge_engine.catalog.horizon import _WEEKS, _weeks_from_file
 from gauge_engine.catalog.stand_ins import (
     ORDER_READINGS,
     ORDERS,
     ORDERS_TEST,
     ORDERS_TRAIN,
+    STATUS,
+    STATUS_READINGS,
+    STATUS_TEST,
     block_rows,
     order_readings,
+    series_ctes,
+    status_readings,
     window_ctes,
 )
 from gauge_engine.catalog.windows import INDEX_CTE
-from gauge_engine.operators.daily import daily_slim
+from gauge_engine.operators.daily import add_features, daily_slim
 from gauge_engine.operators.index import index_with_ids
 from gauge_engine.operators.models import (
     VALIDATED_SETTINGS,
@@ -31,9 +37,9 @@ from gauge_engine.operators.models import (
     validated_fit,
 )
 from gauge_engine.operators.splits import split_entities, split_stratified
-from gauge_engine.plans.evaluate import evaluation_report, score_predictions
+from gauge_engine.plans.evaluate import evaluate_interval_forecast, evaluation_report, score_predictions
 from gauge_engine.plans.forecast import fit_bundle, forecast, forecast_horizon, forecast_with
-from gauge_engine.plans.training import scoring_windows, training_windows
+from gauge_engine.plans.training import flagged_daily, scoring_windows, training_windows
 from gauge_engine.session import materialize, scratch_path, shared_folder
 
 KEYS = ["o_orderpriority", "hist_start", "future_start"]
@@ -184,3 +190,20 @@ def _(spark, sf):
     tested = score_predictions(truth, forecast(train, test, index, ORDERS, bundle_path=path))
     report = evaluation_report(train=fitted).unionByName(tested.withColumn("split", F.lit("test")))
     return emit(report.select("split", "n", F.col("auc").between(0.0, 1.0).alias("is_auc")))
+
+
+@query(
+    "interval_forecast",
+    series_ctes(STATUS_READINGS, stds=0.5)
+    + _WEEKS
+    + """SELECT CAST(i AS INTEGER) AS window_idx, CAST(count(*) AS BIGINT) AS cells, CAST(sum(flag) AS BIGINT) AS positives
+         FROM truth JOIN (SELECT DISTINCT i AS hi, k AS hk FROM hist) ON i = hi AND k = hk GROUP BY ROLLUP (i)""",
+)
+def _(spark, sf):
+    """Which days of which intervals are scored, and the events among them."""
+    _, bundle = _fitted(spark, sf, "horizon")
+    flagged = flagged_daily(status_readings(spark, sf), STATUS, stds=0.5)
+    daily = materialize(add_features(flagged, STATUS, bundle.features), "status-days")
+    scores = evaluate_interval_forecast(bundle, daily, _weeks_from_file(spark, sf), STATUS_TEST, STATUS)
+    cells = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
+    return emit(scores.select("window_idx", cells.alias("cells"), (F.col("fn") + F.col("tp")).alias("positives")))

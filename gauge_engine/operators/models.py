@@ -210,13 +210,16 @@ def score_horizon(
     windows: DataFrame,
     cols: SensorColumns = STATIONS,
     horizon: int = HORIZON_DAYS,
+    keys: Sequence[str] | None = None,
 ) -> DataFrame:
     """A vector of daily probabilities per window, in horizon order.
 
+    ``keys`` name a window; by default its entity and dates.
+
     The regrouping by window key needs no shuffle: the exploded rows keep the entity
     partitioning of the windows.
     """
-    keys = [cols.entity, "hist_start", "future_start"]
+    keys = list(keys or (cols.entity, "hist_start", "future_start"))
     days = F.explode(F.sequence(F.lit(0), F.lit(horizon - 1)))
     per_day = windows.select(*keys, "x", days.alias("_day")).withColumn("x", _with_day("x", "_day"))
     scored = score_windows(model, per_day, "_prob")

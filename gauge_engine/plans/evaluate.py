@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from gauge_engine.columns import STATIONS, SensorColumns
 from gauge_engine.operators.intervals import interval_history, interval_truth
 from gauge_engine.operators.metrics import score_histogram, score_row, scored_pairs, scores_by_group
+from gauge_engine.operators.models import ModelBundle, score_horizon
+from gauge_engine.session import materialize
 
 
 def score_predictions(truth: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -42,15 +44,23 @@ def evaluate_intervals(
     return scores_by_group(flat, "window_idx", "y_prob", "y_true", cutoff, strict=True)
 
 
-def interval_blocks_and_truth(
+def evaluate_interval_forecast(
+    bundle: ModelBundle,
     daily: DataFrame,
     intervals: DataFrame,
     entities: Sequence[str],
     cols: SensorColumns = STATIONS,
-    features: Sequence[str] | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """History blocks to score and the truth to score them against."""
-    return (
-        interval_history(daily, intervals, entities, cols, features),
-        interval_truth(daily, intervals, entities, cols),
-    )
+    cutoff: float = 0.5,
+) -> DataFrame:
+    """Scores per interval and overall of a horizon bundle on interval histories.
+
+    ``daily`` is flagged and has the bundle's features. The history blocks are found once,
+    for the scores and for the truth.
+    """
+    if bundle.kind != "horizon":
+        raise ValueError(f"an interval forecast needs a horizon bundle, not {bundle.kind}")
+    blocks = interval_history(daily, intervals, entities, cols, bundle.features, bundle.history)
+    blocks = materialize(blocks, "interval-blocks")
+    truth = interval_truth(daily, intervals, entities, cols, bundle.history, bundle.horizon, blocks)
+    scored = score_horizon(bundle.model, blocks, cols, bundle.horizon, ["window_idx", cols.entity])
+    return evaluate_intervals(truth, scored, cols, cutoff)
