@@ -23,7 +23,7 @@ PIECES = "bucket bigint, part int, keys binary, sums binary"
 RETURNS = "bucket bigint, keys binary, sums binary"
 ALIGNED = "bucket bigint, part int, sums binary"
 
-_CODES = ("<u1", "<u2", "<u4", "<u8", "<f8")
+_CODES = ("<u1", "<u2", "<u4", "<u8", "<f4")
 
 
 def bucket_count(df: DataFrame, text_col: str, bucket_bytes: int = BUCKET_BYTES) -> int:
@@ -86,7 +86,7 @@ def cut_keys(keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 def pack_sums(sums: np.ndarray) -> bytes:
-    """Numbers in the narrowest type, deflated: whole numbers of 0 or more, else doubles."""
+    """Numbers in the narrowest type, deflated: whole numbers of 0 or more, else floats."""
     if sums.dtype.kind == "f":
         code = 4
     else:
@@ -97,7 +97,7 @@ def pack_sums(sums: np.ndarray) -> bytes:
 
 def unpack_sums(packed: bytes) -> np.ndarray:
     kind = _CODES[packed[0]]
-    return np.frombuffer(zlib.decompress(packed[1:]), kind).astype("f8" if kind == "<f8" else "i8")
+    return np.frombuffer(zlib.decompress(packed[1:]), kind).astype("f8" if kind == "<f4" else "i8")
 
 
 def ranges(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,14 +161,17 @@ def totals(sent: DataFrame, at_least: float) -> DataFrame:
     return sent.groupBy("part").applyInPandas(merge, RETURNS)
 
 
-def aligned_totals(sent: DataFrame) -> DataFrame:
+def aligned_totals(sent: DataFrame, signs: bool = False) -> DataFrame:
     """``ALIGNED``: every piece's totals over all buckets, in the order of its keys.
 
-    The bucket knows its keys, so they do not travel back.
+    The bucket knows its keys, so they do not travel back. With ``signs``, only whether a
+    total is 0 or more.
     """
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
         held, per_key = _summed(frame)
+        if signs:
+            per_key = (per_key >= 0).astype("i8")
         ends = np.cumsum([len(own) for own in held])
         return pd.DataFrame(
             {

@@ -209,8 +209,9 @@ def _contexts(t: _Tokens, c: _Counts) -> tuple[_Distinct, _Distinct]:
     return out[0], out[1]
 
 
-def _divergences(parts: int, bits: int, least_count: int, smoothing: float):
-    """What each training occurrence adds to its contexts' divergence from shorter ones."""
+def _divergences(parts: int, bits: int, least_count: int, divergence: float, smoothing: float):
+    """What each training occurrence adds to its contexts' divergence from shorter ones, less
+    the divergence asked for: a context is kept if its sum is 0 or more."""
 
     def gather(texts: pd.DataFrame, returned: pd.DataFrame) -> pd.DataFrame:
         t = _Tokens(texts, bits)
@@ -220,14 +221,14 @@ def _divergences(parts: int, bits: int, least_count: int, smoothing: float):
         # Words behind a word, against words anywhere.
         own = c.one & t.training
         gain1 = np.zeros(len(own))
-        gain1[own] = _gain(c.pair[own], c.context1[own], base[own], smoothing)
+        gain1[own] = _gain(c.pair[own], c.context1[own], base[own], smoothing) - divergence
         # Words behind a pair, against words behind its second word.
         own = c.two & t.training
         shorter = (c.pair[own] - 1 + smoothing * base[own]) / (c.context1[own] - 1 + smoothing)
         triples = t.triples(c.two)
         times = triples.told(in_key_order(returned[returned["kind"] == _TRIPLES]))[triples.codes]
         gain2 = np.zeros(len(own))
-        gain2[own] = _gain(times[t.training[c.two]], c.context2[own], shorter, smoothing)
+        gain2[own] = _gain(times[t.training[c.two]], c.context2[own], shorter, smoothing) - divergence
         bucket = int(texts["bucket"].iloc[0])
         return pd.concat(
             [
@@ -239,7 +240,7 @@ def _divergences(parts: int, bits: int, least_count: int, smoothing: float):
     return gather
 
 
-def _scored(parts: int, bits: int, least_count: int, divergence: float, smoothing: float):
+def _scored(parts: int, bits: int, least_count: int, smoothing: float):
     def score(texts: pd.DataFrame, returned: pd.DataFrame) -> pd.DataFrame:
         t = _Tokens(texts, bits)
         c = _Counts(t, returned, parts, least_count)
@@ -253,8 +254,7 @@ def _scored(parts: int, bits: int, least_count: int, divergence: float, smoothin
             (c.one, ones, c.context1, c.pair[c.one], gains["part"] < parts),
             (c.two, twos, c.context2, times, gains["part"] >= parts),
         ):
-            gain = contexts.told(in_key_order(gains[which]).astype("f8"))[contexts.codes]
-            kept = gain >= divergence * np.maximum(of[at], 1)
+            kept = contexts.told(in_key_order(gains[which]))[contexts.codes] > 0
             places = np.flatnonzero(at)[kept]
             p[places] = (seen[kept] + smoothing * p[places]) / (of[places] + smoothing)
 
@@ -308,12 +308,14 @@ def suffix_tree_scores(
             .groupBy("bucket")
         )
 
-    def gathered(function, *kinds: tuple[int, DataFrame]) -> DataFrame:
-        return aligned_totals(by_bucket.cogroup(answers(*kinds)).applyInPandas(function, PIECES))
+    def gathered(function, *kinds: tuple[int, DataFrame], signs: bool = False) -> DataFrame:
+        return aligned_totals(by_bucket.cogroup(answers(*kinds)).applyInPandas(function, PIECES), signs)
 
     counts = _COUNTS, aligned_totals(sent)
     triples = _TRIPLES, gathered(_triple_counts(parts, bits, least_count), counts)
-    gains = _GAINS, gathered(_divergences(parts, bits, least_count, smoothing), counts, triples)
+    gains = _GAINS, gathered(
+        _divergences(parts, bits, least_count, divergence, smoothing), counts, triples, signs=True
+    )
     return by_bucket.cogroup(answers(counts, triples, gains)).applyInPandas(
-        _scored(parts, bits, least_count, divergence, smoothing), SCORES
+        _scored(parts, bits, least_count, smoothing), SCORES
     )
