@@ -86,18 +86,23 @@ def cut_keys(keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 def pack_sums(sums: np.ndarray) -> bytes:
-    """Numbers in the narrowest type, deflated: whole numbers of 0 or more, else floats."""
+    """Numbers in the narrowest type, their lowest bytes first, deflated: whole numbers of 0
+    or more, else floats without the 8 lowest bits of their 24-bit fraction."""
     if sums.dtype.kind == "f":
         code = 4
+        values = (sums.astype("<f4").view("<u4") & np.uint32(0xFFFFFF00)).view("<f4")
     else:
         top = int(sums.max()) if len(sums) else 0
         code = next(i for i, bits in enumerate((8, 16, 32, 64)) if top < 1 << bits)
-    return bytes([code]) + zlib.compress(sums.astype(_CODES[code]).tobytes(), 1)
+        values = sums.astype(_CODES[code])
+    planes = values.view("u1").reshape(len(values), -1).T if len(values) else values
+    return bytes([code]) + zlib.compress(planes.tobytes(), 1)
 
 
 def unpack_sums(packed: bytes) -> np.ndarray:
-    kind = _CODES[packed[0]]
-    return np.frombuffer(zlib.decompress(packed[1:]), kind).astype("f8" if kind == "<f4" else "i8")
+    kind = np.dtype(_CODES[packed[0]])
+    planes = np.frombuffer(zlib.decompress(packed[1:]), "u1").reshape(kind.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel().astype("f8" if kind.kind == "f" else "i8")
 
 
 def ranges(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
