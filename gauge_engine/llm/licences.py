@@ -1,6 +1,7 @@
 """Licence recognition from sentences, in DataFrame expressions only.
 
-A text is cut into sentences, each normalised and looked up among known licence sentences.
+Known licence sentences are looked for in the normalised text, from one sentence start to
+a sentence end. A line end can be either, or stand inside a sentence that runs over it.
 The identifiers found, in the order of the text, are matched against rules: a rule is an
 ordered list of identifiers, other sentences may stand between them. Rules are ordered
 from the most to the least specific; a rule counts for its licence unless a more specific
@@ -65,8 +66,10 @@ RULES = (
     ("cc0", "CC0-1.0", ("cc0",)),
 )
 
-# A sentence ends at a line end, or at one of these marks with white space behind it.
-_SENTENCE_END = r"[.!?;:]\s+|\s*[\r\n]+\s*"
+# A sentence ends at one of these marks with white space behind it, and at a line without a
+# letter or digit; _ENDS stands for both in normalised texts, _LINE for any other line end.
+_SENTENCE_END = r"[.!?;:]\s+|\n[^\p{L}\p{N}\n]*(?=\n)"
+_ENDS, _LINE = "\x01", "\x02"
 
 
 def normal_sentence(sentence: str) -> str:
@@ -74,15 +77,31 @@ def normal_sentence(sentence: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
-def _normal(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), r"[^a-z0-9]+", " "))
+def _marked(text: Column) -> Column:
+    """Normalised text with its sentence and line ends; comment leaders fall away."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(text), f"[{_ENDS}{_LINE}]", " "), r"\r\n?", "\n")
+    ended = F.regexp_replace(F.regexp_replace(plain, _SENTENCE_END, f" {_ENDS} "), r"\n", f" {_LINE} ")
+    held = F.regexp_replace(ended, f"[^a-z0-9{_ENDS}{_LINE}]+", " ")
+    spaced = F.regexp_replace(held, f" ?([{_ENDS}{_LINE}]) ?", " $1 ")
+    return F.concat(F.lit(f"{_ENDS} "), F.trim(F.regexp_replace(spaced, " +", " ")), F.lit(f" {_ENDS}"))
 
 
 def _phrases() -> dict[str, str]:
-    """Normalised piece of a known sentence -> identifier; pieces are cut as texts are."""
+    """Normalised known sentence -> identifier."""
     return {normal_sentence(s): name for name, s in SENTENCES.items()}
 
 
+def _sentence_pattern() -> str:
+    """Any known sentence between two ends. Line ends may stand between its words, other ends
+    where the known sentence has them itself; of two sentences the longer one is found."""
+    line, ends = f"(?: {_LINE})* ", f"(?: [{_ENDS}{_LINE}])* "
+    patterns = []
+    for sentence in sorted(SENTENCES.values(), key=lambda s: -len(normal_sentence(s))):
+        pieces = [normal_sentence(p).split() for p in re.split(r"[.!?;:]\s+", sentence)]
+        patterns.append(ends.join(line.join(words) for words in pieces if words))
+    return f"(?<=[{_ENDS}{_LINE}] )(?:{'|'.join(patterns)})(?= [{_ENDS}{_LINE}])"
+
+
 def _telling_words() -> list[str]:
     """One word of each known sentence, its longest: without it the sentence cannot occur."""
     return sorted({max(normal_sentence(s).split(), key=lambda w: (len(w), w)) for s in SENTENCES.values()})
@@ -92,8 +111,8 @@ def scan_licences(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``licence_sentences`` (identifiers in order) and ``licences``.
 
     Both are arrays, empty where nothing is found; clashing columns are replaced. A known
-    sentence is recognised whatever its case and punctuation, if it is cut out of the text
-    as a sentence of its own. Null and empty texts have none. Repeated rows get equal
+    sentence is recognised whatever its case and punctuation, if it is a sentence of its own
+    in the text, on one line or over several, with or without comment leaders. Null and empty texts have none. Repeated rows get equal
     results; an empty table stays empty. Texts without any telling word are not cut.
     """
     text = F.coalesce(text_col, F.lit(""))
@@ -103,7 +122,10 @@ def scan_licences(docs: DataFrame, text_col: str = "text") -> DataFrame:
         may_hold = may_hold | F.contains(low, F.lit(word))
     known = F.create_map(*[F.lit(x) for pair in _phrases().items() for x in pair])
     none = F.array().cast("array<string>")
-    sentences = F.transform(F.split(text, _SENTENCE_END), lambda s: F.try_element_at(known, _normal(s)))
+    matches = F.regexp_extract_all(_marked(text), F.lit(_sentence_pattern()), F.lit(0))
+    sentences = F.transform(
+        matches, lambda s: F.try_element_at(known, F.regexp_replace(s, f"[ {_ENDS}{_LINE}]+", " "))
+    )
     found = docs.withColumn("licence_sentences", F.when(may_hold, F.array_compact(sentences)).otherwise(none))
     sequence = F.concat(F.lit("|"), F.array_join("licence_sentences", "||"), F.lit("|"))
     names, families = [], {}
