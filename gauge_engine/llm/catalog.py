@@ -40,7 +40,7 @@ def vocabulary(name: str) -> str:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gauge_engine.llm.packing import pack_documents
 
-    return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), special=True)
 
 
 @query("op7_token_files")
@@ -48,7 +48,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gauge_engine.llm.token_files import read_token_files, write_token_files
 
     folder = scratch_path(spark, "token-files")
-    write_token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), folder)
+    write_token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), folder, special=True)
     return read_token_files(spark, folder)
 
 

@@ -148,7 +148,7 @@ class _Packer:
 
 def pack_documents(
     docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
-    window: int = WINDOW, block_tokens: int = BLOCK_TOKENS,
+    window: int = WINDOW, block_tokens: int = BLOCK_TOKENS, special: bool = False,
 ) -> DataFrame:
     """Sequences of at most ``window`` tokens from whole documents, one row per piece.
 
@@ -157,6 +157,7 @@ def pack_documents(
     ``sequence_id, offset``: its place. Each id of each row lies in exactly one piece; a
     sequence is full or has a power of two of tokens.
 
+    With ``special``, special strings in a text get their own ids, else those of their letters.
     Null and empty texts are the end id alone. A null document id is kept as null. Repeated
     rows are packed as often as they come. An empty table gives no rows. Other columns are
     ignored. The packing depends on how the input is partitioned, the cover does not.
@@ -167,7 +168,7 @@ def pack_documents(
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        encode = encoder(tokenizer).ids
+        encode = encoder(tokenizer, special).ids
         end = end_id.to_bytes(4, "little")
         packer = _Packer(TaskContext.get().partitionId() << 40, window)
         for batch in batches:

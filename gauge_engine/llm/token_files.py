@@ -164,14 +164,15 @@ class TokenFile:
 
 def write_token_files(
     docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, id_col: str = "doc_id",
-    text_col: str = "text", block_ids: int = BLOCK_IDS,
+    text_col: str = "text", block_ids: int = BLOCK_IDS, special: bool = False,
 ) -> DataFrame:
     """Write whole documents in ascending id order; returns the written manifest.
 
     One file per partition of the ordered rows. Null ids come first; rows with equal ids
     are ordered by a hash of their text, so the files are the same on every run. Null and empty texts
     are the end id alone. An empty table gives no file with documents. Other columns are
-    ignored. ``folder`` must be shared by all executors and not be written to before.
+    ignored. With ``special``, special strings in a text get their own ids, else those of
+    their letters. ``folder`` must be shared by all executors and not be written to before.
     """
     spark = docs.sparkSession
     bits = bits_for(max(vocabulary_size(tokenizer), end_id + 1))
@@ -180,7 +181,7 @@ def write_token_files(
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encode = encoder(tokenizer).ids
+        encode = encoder(tokenizer, special).ids
         end = end_id.to_bytes(4, "little")
         out = _FileWriter(bits, block_ids)
         for batch in batches:

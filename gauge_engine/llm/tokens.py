@@ -56,9 +56,11 @@ class TextEncoder(dict):
 
     Two kinds of byte-level BPE files are understood: those that keep white space in the
     ids (a blank belongs to the word behind it) and those that lower-case and drop it.
+    With ``special``, the file's special strings in a text get their own ids, as a plain
+    ``encode`` does; without, they are letters like all others.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -69,6 +71,14 @@ class TextEncoder(dict):
         drops_space = spec.get("normalizer") is not None
         if not drops_space and (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel":
             raise ValueError(f"{path}: neither of the byte-level kinds that can be cut at white space")
+        self.special = {}
+        if special:
+            added = spec.get("added_tokens") or []
+            if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+                raise ValueError(f"{path}: special strings that depend on what stands around them")
+            self.special = {t["content"]: array("I", [t["id"]]).tobytes() for t in added}
+        longest_first = sorted(self.special, key=len, reverse=True)
+        self.cut = re.compile(f"({'|'.join(map(re.escape, longest_first))})").split if longest_first else None
         self.lower = drops_space
         self.merges = self.tokenizer.model.tokenize
         self.parts = (_WORDS if drops_space else _BLANK_FIRST).findall
@@ -112,7 +122,12 @@ class TextEncoder(dict):
         """All ids of a text as little-endian unsigned 32-bit integers, null as empty."""
         if not text:
             return b""
-        joined = b"".join([self[p] for p in self.parts(text)])
+        if self.cut is None:
+            joined = b"".join([self[p] for p in self.parts(text)])
+        else:
+            joined = b"".join(
+                [self.special[s] if s in self.special else b"".join([self[p] for p in self.parts(s)]) for s in self.cut(text)]
+            )
         if sys.byteorder == "big":
             swapped = array("I", joined)
             swapped.byteswap()
@@ -120,11 +135,11 @@ class TextEncoder(dict):
         return joined
 
 
-_ENCODERS: dict[str, TextEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], TextEncoder] = {}
 
 
-def encoder(path: str) -> TextEncoder:
+def encoder(path: str, special: bool = False) -> TextEncoder:
     """The worker's encoder of a file, kept between tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = TextEncoder(path)
-    return _ENCODERS[path]
+    if (path, special) not in _ENCODERS:
+        _ENCODERS[path, special] = TextEncoder(path, special)
+    return _ENCODERS[path, special]
