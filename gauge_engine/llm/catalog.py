@@ -127,3 +127,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.selectExpr("doc_id", "text", "CAST(n_lines AS bigint) AS n_lines", "CAST(n_removed AS bigint) AS n_removed")
+
+
+@query("op13_ranked_search", oracles.OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gauge_engine.llm.ranked_search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=10)
