@@ -129,6 +129,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("doc_id", "text", "CAST(n_lines AS bigint) AS n_lines", "CAST(n_removed AS bigint) AS n_removed")
 
 
+@query("op11_hard_negatives", oracles.OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gauge_engine.llm.hard_negatives import hard_negatives
+
+    rows = table(spark, sf_dir, "embeddings").selectExpr(
+        "vec_id", "CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS bigint) + 1) % 10 ELSE label END AS label", "embedding"
+    )
+    return hard_negatives(rows, "id % 100 = 0")
+
+
 @query("op13_ranked_search", oracles.OP13)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gauge_engine.llm.ranked_search import search
