@@ -139,6 +139,14 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(rows, "id % 100 = 0")
 
 
+@query("op12_page_text")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gauge_engine.llm.page_text import extract_text
+
+    found = extract_text(table(spark, sf_dir, "pages"))
+    return found.selectExpr("page_id", "url", "text", "CAST(char_length(text) AS bigint) AS n_chars")
+
+
 @query("op13_ranked_search", oracles.OP13)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gauge_engine.llm.ranked_search import search
