@@ -23,22 +23,28 @@ from gauge_engine.catalog.stand_ins import (
     status_readings,
     window_ctes,
 )
-from gauge_engine.catalog.windows import INDEX_CTE
+from gauge_engine.catalog.windows import FOUR, INDEX_CTE
 from gauge_engine.operators.daily import add_features, daily_slim
 from gauge_engine.operators.index import index_with_ids
 from gauge_engine.operators.models import (
     VALIDATED_SETTINGS,
     BoostingSettings,
     ModelBundle,
-    fit_horizon,
     load_or_fit,
-    score_horizon,
     score_windows,
     validated_fit,
 )
 from gauge_engine.operators.splits import split_entities, split_stratified
 from gauge_engine.plans.evaluate import evaluate_interval_forecast, evaluation_report, score_predictions
-from gauge_engine.plans.forecast import fit_bundle, forecast, forecast_horizon, forecast_with
+from gauge_engine.plans.forecast import (
+    fit_bundle,
+    fit_horizon_bundle,
+    forecast,
+    forecast_horizon,
+    forecast_horizon_with,
+    forecast_with,
+    score_horizon_bundle,
+)
 from gauge_engine.plans.training import flagged_daily, scoring_windows, training_windows
 from gauge_engine.session import materialize, scratch_path, shared_folder
 
@@ -76,6 +82,55 @@ def _(spark, sf):
     return emit(forecast_with(mean_level_scorer(), readings, _index(readings), ORDERS), 6)
 
 
+def rising_level_scorer():
+    """A fixed horizon rule on scaled blocks: recent steps count more, later days rise."""
+
+    def scorer(blocks: np.ndarray) -> np.ndarray:
+        steps, days = np.arange(1, 8) / 28.0, np.arange(14)
+        level = (blocks * steps[None, :, None]).sum(axis=1).mean(axis=1)
+        return 1.0 / (1.0 + np.exp(-(level[:, None] + (days - 6) * 0.1)))
+
+    return scorer
+
+
+def _among(entities: tuple[str, ...]) -> str:
+    return "k IN (" + ", ".join(f"'{e}'" for e in entities) + ")"
+
+
+_SCALED_SQL = (
+    window_ctes(ORDER_READINGS, FOUR, where=_among(ORDERS_TEST))
+    + block_rows(FOUR)
+    + INDEX_CTE
+    + f""", fitted AS (SELECT pos % 4 AS j, avg(x) AS m, stddev_pop(x) AS sd FROM (
+  {window_ctes(ORDER_READINGS, FOUR, where=_among(ORDERS_TRAIN)) + block_rows(FOUR)} SELECT pos, x FROM b) GROUP BY 1),
+level AS (SELECT k, hist_start, future_start, sum((x - m) / sd * (pos // 4 + 1) / 28.0) / 4 AS v
+  FROM b JOIN fitted ON b.pos % 4 = fitted.j GROUP BY 1, 2, 3),
+p AS (SELECT k, hist_start, future_start, i, 1 / (1 + exp(-(v + (i - 6) * 0.1))) AS p FROM level, range(14) AS r(i)),
+s AS (SELECT k, hist_start, future_start,
+  0.6 * sum(p * (0.5 + i / 13.0)) / sum(0.5 + i / 13.0) + 0.4 * max(p) AS blend, max(p) AS top FROM p GROUP BY 1, 2, 3)
+SELECT CAST(id AS BIGINT) AS id, round(coalesce(NAME, 0.5), 6) AS y_prob FROM idx
+LEFT JOIN s ON idx.k = s.k AND idx.hist_start = s.hist_start AND idx.future_start = s.future_start"""
+)
+
+
+def _plugin_horizon(name: str, combine: str, column: str) -> None:
+    @query(name, _SCALED_SQL.replace("NAME", column))
+    def _(spark, sf):
+        """A user's scorer for all days, on blocks scaled by the training entities."""
+        train, test = _split(spark, sf)
+        path = scratch_path(spark, "scorer")
+        # The second call reads the scaler that the first one stored.
+        for _ in range(2):
+            answers = forecast_horizon_with(
+                rising_level_scorer(), train, test, _index(test), ORDERS, combine=combine, bundle_path=path
+            )
+        return emit(answers, 6)
+
+
+_plugin_horizon("plugin_horizon", "blend", "blend")
+_plugin_horizon("plugin_horizon_max", "max", "top")
+
+
 # --- what a fit determines: which windows and ids are answered, and probabilities -----------------
 
 _TEST = window_ctes(ORDER_READINGS, where=f"k IN {ORDERS_TEST}")
@@ -98,8 +153,7 @@ def _fitted(spark, sf, kind):
 
     def fit():
         if kind == "horizon":
-            windows = training_windows(train, ORDERS, ORDERS.sequence_features)
-            return ModelBundle(fit_horizon(windows), ORDERS.sequence_features, kind="horizon")
+            return fit_horizon_bundle(train, ORDERS)
         return fit_bundle(train, ORDERS)
 
     features = ORDERS.sequence_features if kind == "horizon" else ORDERS.tree_features
@@ -142,7 +196,7 @@ SELECT k AS o_orderpriority, CAST(hist_start AS VARCHAR) AS hist_start, CAST(fut
 def _(spark, sf):
     _, bundle = _fitted(spark, sf, "horizon")
     windows = scoring_windows(_split(spark, sf)[1], ORDERS, ORDERS.sequence_features)
-    scored = explode_block(score_horizon(bundle.model, windows, ORDERS), "probs")
+    scored = explode_block(score_horizon_bundle(bundle, windows, ORDERS), "probs")
     return emit(scored.select(*KEYS, "pos", _is_probability("x")))
 
 
@@ -168,10 +222,6 @@ def _answers(predictions, test, features):
     return emit(joined.select("id", _is_probability("y_prob"), without.alias("without_window")))
 
 
-def _among(entities: tuple[str, ...]) -> str:
-    return "k IN (" + ", ".join(f"'{e}'" for e in entities) + ")"
-
-
 _REPORT_SQL = f"""SELECT 'train' AS split, CAST(count(*) AS BIGINT) AS n, 1 AS is_auc FROM (
   {window_ctes(ORDER_READINGS, where=_among(ORDERS_TRAIN))} SELECT * FROM w)
 UNION ALL SELECT 'test', CAST(count(*) AS BIGINT), 1 FROM (

@@ -229,12 +229,16 @@ def score_horizon(
 
 @dataclass
 class ModelBundle:
-    """A fitted model with everything needed to apply it again."""
+    """A fitted model with everything needed to apply it again.
 
-    model: GBTClassificationModel
+    The bundle of a user's scorer has no model of its own: it keeps the scaler, thresholds,
+    features and sizes that the training part gave.
+    """
+
+    model: GBTClassificationModel | None
     features: Sequence[str]
     settings: BoostingSettings = field(default_factory=BoostingSettings)
-    # What the model answers ("window" or "horizon") and how its labels were made.
+    # What the model answers ("window" or "horizon"), or "scorer", and how its labels were made.
     kind: str = "window"
     stds: float = THRESHOLD_STDS
     basis: str = "raw"
@@ -245,7 +249,8 @@ class ModelBundle:
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Write model and tables, the description last: a bundle without it is incomplete."""
-        self.model.write().overwrite().save(f"{path}/model")
+        if self.model is not None:
+            self.model.write().overwrite().save(f"{path}/model")
         for name in ("thresholds", "scaler"):
             table = getattr(self, name)
             if table is not None:
@@ -268,7 +273,7 @@ class ModelBundle:
         about = json.loads(spark.read.schema("about string").parquet(f"{path}/about").first()["about"])
         tables = {name: spark.read.parquet(f"{path}/{name}") for name in about["tables"]}
         return cls(
-            model=GBTClassificationModel.load(f"{path}/model"),
+            model=None if about["kind"] == "scorer" else GBTClassificationModel.load(f"{path}/model"),
             features=about["features"],
             settings=BoostingSettings(**about["settings"]),
             kind=about["kind"],

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gauge_engine.columns import HISTORY_DAYS, HORIZON_DAYS, STATIONS, SensorColumns
-from gauge_engine.functions.arrays import scale_block
+from gauge_engine.functions.arrays import flatten_block, reshape_block, scale_block
 from gauge_engine.operators.daily import series_window
 from gauge_engine.operators.windows import _any_null, _last_row_date
 
@@ -64,3 +64,9 @@ def apply_scaler(windows: DataFrame, scaler: DataFrame, block: str = "x") -> Dat
         {"_mean": scaler.select("mean").scalar(), "_std": scaler.select("std").scalar()}
     )
     return fitted.withColumn(block, scale_block(block, "_mean", "_std")).drop("_mean", "_std")
+
+
+def apply_scaler_flat(windows: DataFrame, scaler: DataFrame, width: int, block: str = "x") -> DataFrame:
+    """The same for flat blocks of steps of ``width`` features."""
+    scaled = apply_scaler(windows.withColumn(block, reshape_block(block, width)), scaler, block)
+    return scaled.withColumn(block, flatten_block(block))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from gauge_engine.columns import STATIONS, SensorColumns
 from gauge_engine.operators.intervals import interval_history, interval_truth
 from gauge_engine.operators.metrics import score_histogram, score_row, scored_pairs, scores_by_group
-from gauge_engine.operators.models import ModelBundle, score_horizon
+from gauge_engine.operators.models import ModelBundle
+from gauge_engine.plans.forecast import score_horizon_bundle
 from gauge_engine.session import materialize
 
 
@@ -62,5 +63,5 @@ def evaluate_interval_forecast(
     blocks = interval_history(daily, intervals, entities, cols, bundle.features, bundle.history)
     blocks = materialize(blocks, "interval-blocks")
     truth = interval_truth(daily, intervals, entities, cols, bundle.history, bundle.horizon, blocks)
-    scored = score_horizon(bundle.model, blocks, cols, bundle.horizon, ["window_idx", cols.entity])
+    scored = score_horizon_bundle(bundle, blocks, cols, ["window_idx", cols.entity])
     return evaluate_intervals(truth, scored, cols, cutoff)

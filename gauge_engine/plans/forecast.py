@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from gauge_engine.columns import STATIONS, THRESHOLD_STDS, SensorColumns
 from gauge_engine.functions.arrays import horizon_blend, horizon_max
 from gauge_engine.operators.align import align_to_index, constant_predictions
-from gauge_engine.operators.daily import daily_rollup
+from gauge_engine.operators.daily import add_features, daily_rollup
 from gauge_engine.operators.models import (
     BoostingSettings,
     ModelBundle,
@@ -21,7 +21,8 @@ from gauge_engine.operators.models import (
     score_windows,
     validated_fit,
 )
-from gauge_engine.operators.plugin import Scorer, score_with
+from gauge_engine.operators.plugin import HorizonScorer, Scorer, score_horizon_with, score_with
+from gauge_engine.operators.scaling import apply_scaler, apply_scaler_flat, fit_scaler
 from gauge_engine.operators.splits import split_random, split_stratified, split_tail
 from gauge_engine.plans.training import (
     flag_series,
@@ -119,15 +120,106 @@ def forecast_horizon(
     names = cols.sequence_features if features is None else features
 
     def fit() -> ModelBundle:
-        model = fit_horizon(training_windows(train, cols, names, stds=stds), settings)
-        return ModelBundle(model, names, settings, kind="horizon", stds=stds)
+        return fit_horizon_bundle(train, cols, names, settings, stds)
 
     asked = {"kind": "horizon", "settings": settings, "stds": stds, "features": names}
     bundle = load_or_fit(test.sparkSession, bundle_path, fit, **asked) if bundle_path else fit()
     windows = require_rows(materialize(scoring_windows(test, cols, bundle.features), "test-windows"), NO_WINDOWS)
-    daily = score_horizon(bundle.model, windows, cols, bundle.horizon)
-    combined = horizon_blend("probs", bundle.horizon) if combine == "blend" else horizon_max("probs")
-    return align_to_index(index, daily.withColumn("y_prob", combined), cols)
+    daily = score_horizon_bundle(bundle, windows, cols)
+    return align_to_index(index, _combined(daily, combine, bundle.horizon), cols)
+
+
+def _combined(daily: DataFrame, combine: str, horizon: int) -> DataFrame:
+    """One probability from the daily ones."""
+    return daily.withColumn("y_prob", horizon_blend("probs", horizon) if combine == "blend" else horizon_max("probs"))
+
+
+def training_tables(
+    train: DataFrame, cols: SensorColumns, names: Sequence[str], stds: float, basis: str = "raw"
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Daily moments, thresholds and scaler of the training entities; readings are scanned once."""
+    daily = materialize(daily_rollup(train, cols, attrs=(), moments=True), "daily")
+    scaler = materialize(fit_scaler(add_features(daily, cols, names), cols, names), "scaler")
+    return daily, series_thresholds(daily, cols, stds, basis), scaler
+
+
+def fit_horizon_bundle(
+    train: DataFrame,
+    cols: SensorColumns = STATIONS,
+    features: Sequence[str] | None = None,
+    settings: BoostingSettings = BoostingSettings(),
+    stds: float = THRESHOLD_STDS,
+) -> ModelBundle:
+    """A horizon model on scaled blocks, with the thresholds and the scaler of its training part."""
+    names = cols.sequence_features if features is None else features
+    daily, thresholds, scaler = training_tables(train, cols, names, stds)
+    windows = windows_of(flag_series(daily, cols, stds=stds), cols, names)
+    model = fit_horizon(apply_scaler_flat(windows, scaler, len(names)), settings)
+    return ModelBundle(model, names, settings, kind="horizon", stds=stds, thresholds=thresholds, scaler=scaler)
+
+
+def score_horizon_bundle(
+    bundle: ModelBundle, windows: DataFrame, cols: SensorColumns = STATIONS, keys: Sequence[str] | None = None
+) -> DataFrame:
+    """Daily probabilities of flat blocks as they were observed; a bundle with a scaler applies it."""
+    if bundle.scaler is not None:
+        windows = apply_scaler_flat(windows, bundle.scaler, len(bundle.features))
+    return score_horizon(bundle.model, windows, cols, bundle.horizon, keys)
+
+
+def fit_scorer_bundle(
+    train: DataFrame,
+    cols: SensorColumns = STATIONS,
+    features: Sequence[str] | None = None,
+    stds: float = THRESHOLD_STDS,
+    basis: str = "raw",
+) -> ModelBundle:
+    """What a user's scorer needs from the training part: its scaler and thresholds."""
+    names = cols.sequence_features if features is None else features
+    _, thresholds, scaler = training_tables(train, cols, names, stds, basis)
+    return ModelBundle(None, names, kind="scorer", stds=stds, basis=basis, thresholds=thresholds, scaler=scaler)
+
+
+def scorer_training_windows(
+    bundle: ModelBundle, train: DataFrame, cols: SensorColumns = STATIONS
+) -> DataFrame:
+    """Labelled, scaled matrix blocks on which a user fits the scorer of a bundle."""
+    windows = training_windows(train, cols, bundle.features, bundle.thresholds, layout="matrix")
+    return apply_scaler(windows, bundle.scaler)
+
+
+def forecast_horizon_with(
+    scorer: HorizonScorer,
+    train: DataFrame,
+    test: DataFrame,
+    index: DataFrame,
+    cols: SensorColumns = STATIONS,
+    features: Sequence[str] | None = None,
+    stds: float = THRESHOLD_STDS,
+    basis: str = "raw",
+    combine: str = "blend",
+    bundle_path: str | None = None,
+) -> DataFrame:
+    """Prediction per index id from a user's horizon scorer.
+
+    The scorer sees blocks standardised with the training part's scaler; its daily
+    probabilities are blended, or their maximum taken. Scaler and thresholds are kept in the
+    bundle at ``bundle_path`` and read from there the next time.
+    """
+    if combine not in ("blend", "max"):
+        raise ValueError(f"combine must be 'blend' or 'max', not {combine!r}")
+    names = cols.sequence_features if features is None else features
+
+    def fit() -> ModelBundle:
+        return fit_scorer_bundle(train, cols, names, stds, basis)
+
+    asked = {"kind": "scorer", "stds": stds, "basis": basis, "features": names}
+    bundle = load_or_fit(test.sparkSession, bundle_path, fit, **asked) if bundle_path else fit()
+    blocks = scoring_windows(test, cols, bundle.features, layout="matrix")
+    windows = require_rows(materialize(blocks, "test-windows"), NO_WINDOWS)
+    scaled = apply_scaler(windows, bundle.scaler)
+    daily = score_horizon_with(scaled, scorer, cols, bundle.features, bundle.history, bundle.horizon)
+    return align_to_index(index, _combined(daily, combine, bundle.horizon), cols)
 
 
 def publish_forecast(
