@@ -23,7 +23,7 @@ from gauge_engine.columns import METRIC_LOG_SCHEMA
 from gauge_engine.functions.arrays import horizon_blend, horizon_max
 from gauge_engine.functions.scalars import sigmoid
 from gauge_engine.operators.daily import add_features, daily_slim
-from gauge_engine.operators.intervals import interval_history, interval_truth
+from gauge_engine.operators.intervals import interval_history, interval_truth, readings_in_intervals
 from gauge_engine.operators.logs import best_iteration, early_stop
 from gauge_engine.operators.windows import sliding_windows
 from gauge_engine.plans.evaluate import evaluate_intervals
@@ -138,6 +138,23 @@ def _(spark, sf):
     return emit(interval_truth(_status_daily(spark, sf), _weeks_from_file(spark, sf), STATUS_TEST, STATUS))
 
 
+@query(
+    "interval_readings",
+    """WITH errors AS (SELECT event_id AS window_idx, ts AS s, ts + INTERVAL 90 MINUTE AS e FROM events WHERE event_type = 'error')
+SELECT window_idx, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total
+FROM errors JOIN events ON ts >= s AND ts < e GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    """Readings in the 90 minutes from every error on: overlapping intervals of timestamps."""
+    readings = event_readings(spark, sf)
+    errors = readings.where("event_type = 'error'").select(
+        F.col("event_id").alias("window_idx"), F.col("ts").alias("start_time"),
+        F.timestamp_add("MINUTE", F.lit(90), "ts").alias("end_time"),
+    )
+    found = readings_in_intervals(readings.select("event_type", "ts", "value"), errors, "ts")
+    return emit(found.groupBy("window_idx", "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")))
+
+
 _SCORES_SQL = """
 SELECT CAST(g AS INTEGER) AS window_idx, CAST(tn AS BIGINT) AS tn, CAST(fp AS BIGINT) AS fp,
   CAST(fn AS BIGINT) AS fn, CAST(tp AS BIGINT) AS tp, round((tp + tn) / (tp + tn + fp + fn)::DOUBLE, 6) AS acc,

@@ -1,20 +1,90 @@
-"""Seed intervals: history blocks and following-horizon truth per (interval, entity).
+"""Joins of points with intervals, and seed intervals: history blocks and following-horizon
+truth per (interval, entity).
 
-Intervals are expanded to their days and equi-joined on the day, so the join stays a hash
-or sort-merge join however many intervals there are.
+An interval is cut into aligned pieces, each twice as long as those of the level below: a
+number of pieces that grows with the logarithm of its length. A point lies in one piece of
+every level. Points and intervals are equi-joined on (level, piece), so the join stays a
+hash or sort-merge join however many and however long the intervals are, and every pair meets
+once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gauge_engine.columns import HISTORY_DAYS, HORIZON_DAYS, STATIONS, SensorColumns
 from gauge_engine.functions.arrays import flatten_block, zero_horizon
 from gauge_engine.operators.splits import keep_entities
 
+EPOCH = "1970-01-01"
+# Levels that hold every day number of a date, and every hour of a timestamp.
+LEVELS = 24
+SECONDS_PER_UNIT = 3600
+
+
+def day_number(day: str | Column) -> Column:
+    return F.datediff(day, F.lit(EPOCH)).cast("bigint")
+
+
+def interval_pieces(intervals: DataFrame, first: Column, last: Column, levels: int = LEVELS) -> DataFrame:
+    """One row per aligned piece ``_level, _piece`` of the whole numbers ``first`` to ``last``.
+
+    Pieces of level k are 2^k long. At most two of a level belong to an interval: one that
+    begins at an odd place and one that ends there. An interval that ends before it starts
+    has none.
+    """
+    bounded = intervals.withColumns({"_first": first, "_last": last})
+
+    def of_level(k: Column) -> Column:
+        low = -F.call_function("shiftright", -F.col("_first"), k)
+        high = F.call_function("shiftright", F.col("_last") + 1, k)
+        opens = (low < high) & (low.bitwiseAND(1) == 1)
+        closes = (low < high) & (high.bitwiseAND(1) == 1)
+        piece = F.struct(k.cast("int").alias("_level"), low.alias("_piece"))
+        return F.array(F.when(opens, piece), F.when(closes, piece.withField("_piece", high - 1)))
+
+    pieces = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), of_level))
+    return bounded.withColumn("_at", F.explode(F.array_compact(pieces))).select(*intervals.columns, "_at.*")
+
+
+def join_intervals(
+    points: DataFrame, intervals: DataFrame, at: Column, first: Column, last: Column, levels: int = LEVELS
+) -> DataFrame:
+    """Every pair of a point and an interval that holds it: ``first`` <= ``at`` <= ``last``.
+
+    A point is repeated only for the levels on which some interval has a piece.
+    """
+    pieces = interval_pieces(intervals, first, last, levels)
+    used = pieces.agg(F.collect_set("_level").alias("levels")).scalar()
+    placed = points.withColumns({"_point": at, "_level": F.explode(used)})
+    placed = placed.withColumn("_piece", F.call_function("shiftright", "_point", "_level")).drop("_point")
+    return placed.join(pieces, ["_level", "_piece"]).drop("_level", "_piece")
+
+
+def readings_in_intervals(
+    readings: DataFrame,
+    intervals: DataFrame,
+    time: str,
+    start: str = "start_time",
+    end: str = "end_time",
+    seconds: int = SECONDS_PER_UNIT,
+) -> DataFrame:
+    """Every pair of a reading and an interval with ``start`` <= time < ``end``.
+
+    Readings and pieces meet by units of ``seconds``; the exact times decide. Readings and
+    intervals without a time, and empty intervals, meet nothing.
+    """
+
+    def unit(moment: str) -> Column:
+        since = F.timestamp_diff("SECOND", F.lit(f"{EPOCH} 00:00:00").cast("timestamp_ntz"), F.col(moment).cast("timestamp_ntz"))
+        return F.floor(since / seconds)
+
+    found = join_intervals(readings, intervals.where(F.col(start) < F.col(end)), unit(time), unit(start), unit(end))
+    return found.where((F.col(start) <= F.col(time)) & (F.col(time) < F.col(end)))
+
 
 def interval_history(
     daily: DataFrame,
@@ -30,19 +100,13 @@ def interval_history(
     most one day more than ``history`` is collected per entity.
     """
     names = cols.tree_features if features is None else features
-    days = intervals.where("start_date <= end_date").select(
-        "window_idx",
-        "start_date",
-        "end_date",
-        F.explode(F.sequence("start_date", "end_date")).alias(cols.date),
-    )
+    bounds = intervals.where("start_date <= end_date").select("window_idx", "start_date", "end_date")
+    days = keep_entities(daily, entities, cols).select(cols.entity, cols.date, *names)
     step = F.struct(F.col(cols.date), F.array(*[F.col(f) for f in names]).alias("step"))
     keys = ["window_idx", "start_date", "end_date", cols.entity]
     position = F.row_number().over(Window.partitionBy(*keys).orderBy(cols.date))
     return (
-        keep_entities(daily, entities, cols)
-        .select(cols.entity, cols.date, *names)
-        .join(days, cols.date)
+        join_intervals(days, bounds, day_number(cols.date), day_number("start_date"), day_number("end_date"))
         .withColumn("_position", position)
         .where(F.col("_position") <= history + 1)
         .groupBy(*keys)
@@ -73,26 +137,22 @@ def interval_truth(
         blocks = interval_history(tested, intervals, entities, cols, (), history)
     usable = blocks.select("window_idx", "end_date").distinct()
     present = tested.select(cols.entity).distinct()
-    grid = (
-        usable.withColumn(cols.entity, F.explode(F.array(*[F.lit(e) for e in entities])))
-        .join(present, cols.entity, "left_semi")
-        .withColumn(
-            cols.date,
-            F.explode(F.sequence(F.date_add("end_date", 1), F.date_add("end_date", horizon))),
-        )
+    grid = usable.withColumn(cols.entity, F.explode(F.array(*[F.lit(e) for e in entities]))).join(
+        present, cols.entity, "left_semi"
     )
     observed = tested.select(cols.entity, cols.date, F.col(cols.flag).alias("_flag"))
+    end = day_number("end_date")
     flags = F.transform(F.sort_array("_days"), lambda d: d["_flag"])
-    return (
-        grid.join(observed, [cols.entity, cols.date], "left")
+    found = (
+        join_intervals(observed, usable, day_number(cols.date), end + 1, end + horizon)
         .groupBy("window_idx", cols.entity)
         .agg(
             F.count("_flag").alias("_found"),
             F.collect_list(F.struct(F.col(cols.date), F.col("_flag"))).alias("_days"),
         )
-        .select(
-            "window_idx",
-            cols.entity,
-            F.when(F.col("_found") == horizon, flags).otherwise(zero_horizon(horizon)).alias("y_days"),
-        )
+        .where(F.col("_found") == horizon)
+        .select("window_idx", cols.entity, flags.alias("_flags"))
+    )
+    return grid.join(found, ["window_idx", cols.entity], "left").select(
+        "window_idx", cols.entity, F.coalesce("_flags", zero_horizon(horizon)).alias("y_days")
     )

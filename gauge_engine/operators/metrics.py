@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gauge_engine.columns import DECISION_CUTOFF
 from gauge_engine.functions.scalars import binarize, null_if_nan
-from gauge_engine.operators.ordering import BUCKET_BITS, running_before, with_order_buckets
+from gauge_engine.operators.ordering import running_before, with_earlier_buckets, with_order_buckets
 
 
 _CELLS = ("tn", "fp", "fn", "tp")
@@ -85,16 +85,16 @@ def score_histogram(pairs: DataFrame, score: str = "score", label: str = "y_true
     )
 
 
-def _totals(histogram: DataFrame, cutoff: float, bits: int) -> DataFrame:
+def _totals(histogram: DataFrame, cutoff: float, buckets: int | None) -> DataFrame:
     """One row: confusion counts, won pairs (ties half) and unusable scores.
 
     Won pairs are counted inside order buckets first; each bucket then adds its positives
-    times the negatives of all earlier buckets, a running sum over the few bucket rows.
+    times the negatives of all earlier buckets.
     """
     hit = F.col("score") >= cutoff
     inside = F.col("pos").cast("double") * (F.col("_below") + F.col("neg") / 2)
-    buckets = (
-        with_order_buckets(histogram, "score", bits=bits)
+    each = (
+        with_order_buckets(histogram, "score", buckets=buckets)
         .withColumn("_below", running_before("neg", "score", "_bucket"))
         .groupBy("_bucket")
         .agg(
@@ -106,10 +106,9 @@ def _totals(histogram: DataFrame, cutoff: float, bits: int) -> DataFrame:
             _count_where(F.abs("score") == float("inf")).alias("_unusable"),
         )
         .withColumn("_neg", F.col("tn") + F.col("fp"))
-        .withColumn("_earlier", running_before("_neg", "_bucket"))
     )
     across = (F.col("fn") + F.col("tp")).cast("double") * F.col("_earlier")
-    return buckets.agg(
+    return with_earlier_buckets(each, "_neg", "_earlier").agg(
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _CELLS],
         F.sum(F.col("_wins") + across).alias("wins"),
         F.sum("_unusable").alias("unusable"),
@@ -122,10 +121,10 @@ def _area(tn: Column, fp: Column, fn: Column, tp: Column) -> Column:
     return F.when(undefined, F.lit(0.5)).otherwise(F.col("wins") / F.nullif(pairs, F.lit(0.0)))
 
 
-def roc_auc(histogram: DataFrame, bits: int = BUCKET_BITS) -> DataFrame:
+def roc_auc(histogram: DataFrame, buckets: int | None = None) -> DataFrame:
     """Area under the ROC curve; 0.5 when one class or any score is missing."""
     cells = [F.col(c) for c in _CELLS]
-    return _totals(histogram, DECISION_CUTOFF, bits).select(_area(*cells).alias("auc"))
+    return _totals(histogram, DECISION_CUTOFF, buckets).select(_area(*cells).alias("auc"))
 
 
 def confusion_counts(y_true: Column, y_pred: Column, weight: Column | None = None) -> dict[str, Column]:
@@ -161,12 +160,12 @@ def confusion(df: DataFrame, score: str, label: str, cutoff: float = DECISION_CU
     return df.agg(*[c.alias(name) for name, c in cells.items()])
 
 
-def score_row(histogram: DataFrame, cutoff: float = DECISION_CUTOFF, bits: int = BUCKET_BITS) -> DataFrame:
+def score_row(histogram: DataFrame, cutoff: float = DECISION_CUTOFF, buckets: int | None = None) -> DataFrame:
     """One row ``auc, acc, f1, mcc, n`` from a score histogram; fails when it is empty."""
     tn, fp, fn, tp = (F.col(c) for c in _CELLS)
     n = tn + fp + fn + tp
     checked = F.when(n > 0, n).otherwise(F.raise_error(F.lit("no overlapping ids between truth and predictions")))
-    return _totals(histogram, cutoff, bits).select(
+    return _totals(histogram, cutoff, buckets).select(
         _area(tn, fp, fn, tp).alias("auc"),
         accuracy(tn, fp, fn, tp).alias("acc"),
         f1(tn, fp, fn, tp).alias("f1"),

@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gauge_engine.columns import STATIONS, SensorColumns
 from gauge_engine.operators.ordering import with_dense_id
+from gauge_engine.session import materialize
 
-HASH_BUCKET_DIGITS = 4
+# Digits of the hash by which a round of the selection tells rows apart, of 32 in all.
+HASH_DIGITS = 4
+HASH_LENGTH = 32
+# The selection ends when the rows around a cut are so few; one task then sorts them.
+EDGE_ROWS = 1 << 20
 
 
 def keep_entities(df: DataFrame, names: Iterable[str], cols: SensorColumns = STATIONS) -> DataFrame:
@@ -39,46 +45,88 @@ def _hash_order(keys: Sequence[str], seed: int) -> Column:
     return F.md5(F.concat_ws("|", *parts, F.lit(str(seed))))
 
 
+@dataclass
+class Cutoff:
+    """The hash up to which a stratum is marked, and the rounds that led there."""
+
+    hash: str
+    rounds: int
+
+
+def cutoff_hashes(
+    slim: DataFrame, share: float, rounding: str, digits: int = HASH_DIGITS, most_rows: int = EDGE_ROWS
+) -> dict[bool, Cutoff]:
+    """Per stratum of ``_stratum, _hash`` the smallest hashes' last one, by radix selection.
+
+    A round counts the rows by their next ``digits`` behind the prefix that the round before
+    arrived at, and goes on with the one prefix in which the cut falls, until it holds at most
+    ``most_rows`` rows. Only that prefix is sorted. Rounds bring back a row per stratum, and
+    there are two strata at most. Equal hashes cannot be told apart and are marked together.
+    """
+    known = slim.where("_stratum IS NOT NULL")
+    rounder = F.ceil if rounding == "ceil" else F.floor
+    each = Window.partitionBy("_stratum")
+    found: dict[bool, Cutoff] = {}
+    open_at: dict[bool, tuple[str, int, int]] = {}  # stratum: prefix, rows still wanted behind it, rounds
+
+    def inside(strata: dict[bool, tuple[str, int, int]]) -> Column:
+        hit = F.lit(False)
+        for stratum, (prefix, _, _) in strata.items():
+            hit = hit | ((F.col("_stratum") == stratum) & F.col("_hash").startswith(prefix))
+        return hit
+
+    def wanted() -> Column:
+        if not open_at:
+            return rounder(F.lit(share) * F.sum("_rows").over(each)).cast("bigint")
+        want = F.lit(None).cast("bigint")
+        for stratum, (_, need, _) in open_at.items():
+            want = F.when(F.col("_stratum") == stratum, F.lit(need)).otherwise(want)
+        return want
+
+    length = 0
+    while length == 0 or open_at:
+        rows = known.where(inside(open_at)) if open_at else known
+        upto = F.substring("_hash", 1, length + digits).alias("_prefix")
+        counts = rows.groupBy("_stratum", upto).agg(F.count(F.lit(1)).alias("_rows"))
+        placed = counts.withColumns({"_upto": F.sum("_rows").over(each.orderBy("_prefix")), "_want": wanted()})
+        before = F.col("_upto") - F.col("_rows")
+        edges = placed.where((before < F.col("_want")) & (F.col("_want") <= F.col("_upto"))).collect()
+        length += digits
+        rounds = {s: r for s, (_, _, r) in open_at.items()}
+        open_at, small = {}, {}
+        for e in edges:
+            state = (e._prefix, e._want - e._upto + e._rows, rounds.get(e._stratum, 0) + 1)
+            if length >= HASH_LENGTH:
+                found[e._stratum] = Cutoff(e._prefix, state[2])
+            else:
+                (small if e._rows <= most_rows else open_at)[e._stratum] = state
+        if small:
+            need = F.lit(None).cast("bigint")
+            for stratum, (_, n, _) in small.items():
+                need = F.when(F.col("_stratum") == stratum, F.lit(n)).otherwise(need)
+            ranked = known.where(inside(small)).withColumn("_rank", F.row_number().over(each.orderBy("_hash")))
+            for row in ranked.where(F.col("_rank") == need).collect():
+                found[row._stratum] = Cutoff(row._hash, small[row._stratum][2])
+    return found
+
+
 def _mark_smallest_hashes(
     df: DataFrame, keys: Sequence[str], stratum: Column | None, share: float, rounding: str, seed: int, out: str
 ) -> DataFrame:
     """Mark exactly ``share`` of each stratum: the rows with the smallest key hash.
 
-    Hash prefixes are counted first (strata x 65536 rows). Only the one bucket per stratum
-    where the cut falls is sorted, to find the cut-off hash; every row is then compared
-    with it in place. The full table is never sorted or shuffled, and a stratum that
-    holds most rows costs no more than a small one. ``keys`` must identify a row.
+    The cut-off hash of each stratum is selected first; every row is then compared with it in
+    place. The full table is never sorted or shuffled, and a stratum that holds most rows
+    costs no more than a small one. ``keys`` must identify a row.
     """
     classes = F.lit(True) if stratum is None else stratum
-    tagged = df.withColumns({"_stratum": classes, "_hash": _hash_order(keys, seed)})
-    slim = tagged.select("_stratum", "_hash", F.substring("_hash", 1, HASH_BUCKET_DIGITS).alias("_bucket"))
-    counts = slim.groupBy("_stratum", "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    each = Window.partitionBy("_stratum")
-    rounder = F.ceil if rounding == "ceil" else F.floor
-    edge = (
-        counts.withColumns(
-            {
-                "_upto": F.sum("_rows").over(each.orderBy("_bucket")),
-                "_want": rounder(F.lit(share) * F.sum("_rows").over(each)),
-            }
-        )
-        .filter((F.col("_upto") - F.col("_rows") < F.col("_want")) & (F.col("_want") <= F.col("_upto")))
-        .select("_stratum", "_bucket", (F.col("_want") - F.col("_upto") + F.col("_rows")).alias("_need"))
-    )
-    cutoffs = (
-        # One edge row per stratum, and a stratum is a truth value: at most two rows.
-        slim.join(F.broadcast(edge), ["_stratum", "_bucket"])
-        .withColumn("_rank", F.row_number().over(each.orderBy("_hash")))
-        .filter(F.col("_rank") == F.col("_need"))
-        .select("_stratum", F.col("_hash").alias("_cutoff"))
-    )
-    if stratum is None:
-        marked = tagged.withColumn("_cutoff", cutoffs.select("_cutoff").scalar())
-    else:
-        marked = tagged.join(F.broadcast(cutoffs), "_stratum", "left")
-    return marked.withColumn(out, F.coalesce(F.col("_hash") <= F.col("_cutoff"), F.lit(False))).drop(
-        "_stratum", "_hash", "_cutoff"
-    )
+    hashed = _hash_order(keys, seed)
+    # The rounds read the written hashes, so ``df`` is computed twice in all.
+    slim = materialize(df.select(classes.alias("_stratum"), hashed.alias("_hash")), "split-hashes")
+    marked = F.lit(False)
+    for value, cutoff in cutoff_hashes(slim, share, rounding).items():
+        marked = marked | ((classes == value) & (hashed <= cutoff.hash))
+    return df.withColumn(out, F.coalesce(marked, F.lit(False)))
 
 
 def split_stratified(
