@@ -136,7 +136,7 @@ _plugin_horizon("plugin_horizon_max", "max", "top")
 _TEST = window_ctes(ORDER_READINGS, where=f"k IN {ORDERS_TEST}")
 _WINDOWS_SQL = _TEST + """
 SELECT k AS o_orderpriority, CAST(hist_start AS VARCHAR) AS hist_start, CAST(future_start AS VARCHAR) AS future_start,
-  1 AS is_probability FROM w"""
+  1 AS is_probability, 1 AS varied FROM w"""
 _IDS_SQL = _TEST + INDEX_CTE + """
 SELECT CAST(id AS BIGINT) AS id, 1 AS is_probability, CAST(w.k IS NULL AS INTEGER) AS without_window
 FROM idx LEFT JOIN w ON idx.k = w.k AND idx.hist_start = w.hist_start AND idx.future_start = w.future_start"""
@@ -146,6 +146,13 @@ def _is_probability(name: str):
     return F.col(name).between(0.0, 1.0).cast("int").alias("is_probability")
 
 
+def _probabilities(scored, name, *columns):
+    """Every row's probability, and whether the model tells rows apart at all."""
+    written = materialize(scored, "scored")
+    ends = written.agg((F.max(name) > F.min(name)).alias("varied")).scalar()
+    return emit(written.select(*columns, _is_probability(name), ends.alias("varied")))
+
+
 def _fitted(spark, sf, kind):
     """The path of a bundle fitted once per session and table folder, with all its rounds."""
     train, _ = _split(spark, sf)
@@ -164,10 +171,10 @@ def _fitted(spark, sf, kind):
 def _(spark, sf):
     _, bundle = _fitted(spark, sf, "window")
     scored = score_windows(bundle.model, scoring_windows(_split(spark, sf)[1], ORDERS))
-    return emit(scored.select(*KEYS, _is_probability("y_prob")))
+    return _probabilities(scored, "y_prob", *KEYS)
 
 
-@query("gbt_reload", _WINDOWS_SQL.replace("is_probability", "same_as_before"))
+@query("gbt_reload", _WINDOWS_SQL.replace("1 AS is_probability, 1 AS varied", "1 AS same_as_before"))
 def _(spark, sf):
     """A bundle saved again and read back scores like the one it came from."""
     _, bundle = _fitted(spark, sf, "window")
@@ -184,20 +191,20 @@ def _(spark, sf):
     train, test = _split(spark, sf)
     marked = split_stratified(training_windows(train, ORDERS), KEYS[:2])
     model = validated_fit(marked, "is_validation", VALIDATED_SETTINGS).model
-    return emit(score_windows(model, scoring_windows(test, ORDERS)).select(*KEYS, _is_probability("y_prob")))
+    return _probabilities(score_windows(model, scoring_windows(test, ORDERS)), "y_prob", *KEYS)
 
 
 @query(
     "horizon_forecast",
     _TEST + """
 SELECT k AS o_orderpriority, CAST(hist_start AS VARCHAR) AS hist_start, CAST(future_start AS VARCHAR) AS future_start,
-  CAST(h AS INTEGER) AS pos, 1 AS is_probability FROM w, range(14) AS r(h)""",
+  CAST(h AS INTEGER) AS pos, 1 AS is_probability, 1 AS varied FROM w, range(14) AS r(h)""",
 )
 def _(spark, sf):
     _, bundle = _fitted(spark, sf, "horizon")
     windows = scoring_windows(_split(spark, sf)[1], ORDERS, ORDERS.sequence_features)
     scored = explode_block(score_horizon_bundle(bundle, windows, ORDERS), "probs")
-    return emit(scored.select(*KEYS, "pos", _is_probability("x")))
+    return _probabilities(scored, "x", *KEYS, "pos")
 
 
 @query("horizon_pipeline", _IDS_SQL)
@@ -222,31 +229,34 @@ def _answers(predictions, test, features):
     return emit(joined.select("id", _is_probability("y_prob"), without.alias("without_window")))
 
 
-_REPORT_SQL = f"""SELECT 'train' AS split, CAST(count(*) AS BIGINT) AS n, 1 AS is_auc FROM (
+_REPORT_SQL = f"""SELECT 'train' AS split, CAST(count(*) AS BIGINT) AS n, 1 AS is_auc, 1 AS learned FROM (
   {window_ctes(ORDER_READINGS, where=_among(ORDERS_TRAIN))} SELECT * FROM w)
-UNION ALL SELECT 'test', CAST(count(*) AS BIGINT), 1 FROM (
+UNION ALL SELECT 'test', CAST(count(*) AS BIGINT), 1, NULL FROM (
   {_TEST + INDEX_CTE} SELECT id FROM idx JOIN w ON idx.k = w.k AND idx.hist_start = w.hist_start
   AND idx.future_start = w.future_start)"""
 
 
 @query("eval_report", _REPORT_SQL)
 def _(spark, sf):
-    """Scores of the training fit, and of truth joined to predictions for the test entities."""
+    """Scores of the training fit, which it must have learned, and of truth joined to predictions
+    for the test entities (n = 0 where no test id has a window)."""
     path, bundle = _fitted(spark, sf, "window")
     train, test = _split(spark, sf)
     fitted = score_windows(bundle.model, training_windows(train, ORDERS)).select("y", "y_prob")
     index = materialize(_index(test), "index")
     truth = training_windows(test, ORDERS).select(*KEYS, "y").join(index, KEYS).select("id", F.col("y").alias("y_true"))
-    tested = score_predictions(truth, forecast(train, test, index, ORDERS, bundle_path=path))
+    answers = forecast(train, test, index, ORDERS, bundle_path=path)
+    tested = score_predictions(truth, answers, allow_empty=True)
     report = evaluation_report(train=fitted).unionByName(tested.withColumn("split", F.lit("test")))
-    return emit(report.select("split", "n", F.col("auc").between(0.0, 1.0).alias("is_auc")))
+    learned = F.when(F.col("split") == "train", F.col("auc") > 0.8).alias("learned")
+    return emit(report.select("split", "n", F.col("auc").between(0.0, 1.0).alias("is_auc"), learned))
 
 
 @query(
     "interval_forecast",
     series_ctes(STATUS_READINGS, stds=0.5)
     + _WEEKS
-    + """SELECT CAST(i AS INTEGER) AS window_idx, CAST(count(*) AS BIGINT) AS cells, CAST(sum(flag) AS BIGINT) AS positives
+    + """SELECT CAST(i AS INTEGER) AS window_idx, CAST(count(*) AS BIGINT) AS cells, CAST(coalesce(sum(flag), 0) AS BIGINT) AS positives
          FROM truth JOIN (SELECT DISTINCT i AS hi, k AS hk FROM hist) ON i = hi AND k = hk GROUP BY ROLLUP (i)""",
 )
 def _(spark, sf):

@@ -31,10 +31,12 @@ from gauge_engine.operators.daily import (
     row_position,
     sorted_daily,
 )
-from gauge_engine.operators.metrics import run_summary
+from gauge_engine.operators.maintained import DailyStore
+from gauge_engine.operators.metrics import CountedTables
 from gauge_engine.operators.splits import keep_entities, keep_listed_entities, split_entities, union_entities
 from gauge_engine.operators.thresholds import attach_thresholds, flag_events, reading_thresholds, thresholds
 from gauge_engine.plans.training import flagged_daily
+from gauge_engine.session import scratch_path
 
 
 @query(
@@ -291,12 +293,29 @@ def _(spark, sf):
        UNION ALL SELECT 'entities', count(DISTINCT event_type) FROM events""",
 )
 def _(spark, sf):
+    """Readings, days and entities, all counted by the one plan that finds the entities."""
+    tables = CountedTables()
+    days = tables.counted("days", daily_slim(tables.counted("readings", event_readings(spark, sf)), EVENTS))
+    tables.counted("entities", days.select("event_type").distinct()).write.format("noop").mode("overwrite").save()
+    return tables.summary(spark)
+
+
+_REFRESHED = """WITH days AS (SELECT event_type, CAST(ts AS DATE) AS d, avg(value) AS v, max(value) AS top, count(value) AS n FROM events GROUP BY 1, 2),
+thr AS (SELECT event_type, avg(value) + 1.5 * stddev_samp(value) AS thr FROM events GROUP BY 1)
+SELECT event_type, CAST(d AS VARCHAR) AS date, round(v, 4) AS value, round(top, 4) AS value_max, CAST(n AS BIGINT) AS reading_count,
+  round(thr, 4) AS event_threshold FROM days JOIN thr USING (event_type)"""
+
+
+@query("daily_refreshed", _REFRESHED)
+def _(spark, sf):
+    """Days and thresholds after three batches; every batch has readings of every day, and the
+    second one is applied twice."""
     readings = event_readings(spark, sf)
-    return run_summary(
-        readings=readings,
-        days=daily_slim(readings, EVENTS),
-        entities=readings.select("event_type").distinct(),
-    )
+    store = DailyStore(spark, scratch_path(spark, "daily-store"), EVENTS)
+    for batch in (0, 1, 1, 2):
+        store.refresh(readings.where(F.col("event_id") % 3 == batch), batch)
+    days = store.daily().join(store.thresholds(), "event_type")
+    return emit(days.select("event_type", "date", "value", "value_max", "reading_count", "event_threshold"))
 
 
 # --- scalar functions ------------------------------------------------------------------------

@@ -22,7 +22,7 @@ from gauge_engine.catalog.windows import _INDEX_COLUMNS, INDEX_CTE
 from gauge_engine.functions.scalars import UNIX_EPOCH_DAYNUM
 from gauge_engine.operators.daily import daily_slim
 from gauge_engine.operators.index import index_with_ids
-from gauge_engine.plans.prepare import prepare_dataset
+from gauge_engine.plans.prepare import prepare_dataset, prepare_listed
 from gauge_engine.session import scratch_path
 from gauge_engine.sources.matrix import melt_matrix
 from gauge_engine.sources.readers import (
@@ -199,8 +199,7 @@ def _(spark, sf):
     return emit(tall)
 
 
-@query(
-    "prepare_dataset",
+_PREPARED_SQL = (
     _TALL
     + """, days AS (SELECT DISTINCT k, CAST(ts AS DATE) AS d FROM tall WHERE k IN ('error', 'signup')),
 idx AS (SELECT row_number() OVER (ORDER BY k, d) - 1 AS id, k, d FROM
@@ -210,12 +209,28 @@ SELECT CASE WHEN k IN ('error', 'signup') THEN 'test' ELSE 'train' END AS part,
   strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at, round(v, 4) AS value, CAST(NULL AS BIGINT) AS id,
   CAST(NULL AS VARCHAR) AS hist_start, CAST(NULL AS VARCHAR) AS future_end FROM tall
 UNION ALL SELECT 'index', k, strftime(CAST(d AS TIMESTAMP), '%Y-%m-%d %H:%M:%S.%f'), NULL, CAST(id AS BIGINT),
-  CAST(d - 7 AS VARCHAR), CAST(d + 13 AS VARCHAR) FROM idx""",
+  CAST(d - 7 AS VARCHAR), CAST(d + 13 AS VARCHAR) FROM idx"""
 )
+
+
+@query("prepare_dataset", _PREPARED_SQL)
 def _(spark, sf):
-    made = prepare_dataset(
+    return _prepared(prepare_dataset(
         hourly_matrix(spark, sf), entity_attributes(spark, sf), EVENTS_TRAIN, EVENTS_TEST, EVENTS, to_seconds=True
-    )
+    ))
+
+
+@query("prepare_listed", _PREPARED_SQL)
+def _(spark, sf):
+    """Entity lists from tables: which event types are tested is read from the data."""
+    names = entity_attributes(spark, sf).select("event_type")
+    tested = F.col("event_type").isin(*EVENTS_TEST)
+    return _prepared(prepare_listed(
+        hourly_matrix(spark, sf), names.where(~tested), names.where(tested), entity_attributes(spark, sf), EVENTS, to_seconds=True
+    ))
+
+
+def _prepared(made):
     columns = ["part", "event_type", "at", "value", "id", "hist_start", "future_end"]
 
     def part(df, name, at):

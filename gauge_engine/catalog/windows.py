@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gauge_engine.catalog.registry import emit, explode_block, query, table
@@ -28,7 +30,16 @@ from gauge_engine.operators.ordering import with_positional_id
 from gauge_engine.operators.scaling import apply_scaler, fit_scaler
 from gauge_engine.operators.splits import split_random, split_stratified, split_tail
 from gauge_engine.operators.windows import window_anchors
-from gauge_engine.plans.training import scoring_windows, training_windows, training_windows_segmented
+from gauge_engine.operators.thresholds import thresholds
+from gauge_engine.plans.training import (
+    flagged_daily,
+    scoring_windows,
+    scoring_windows_segmented,
+    training_windows,
+    training_windows_segmented,
+    windows_of,
+)
+from gauge_engine.sources.sinks import store_bucketed
 
 KEY_SQL = "k AS o_orderpriority, CAST(hist_start AS VARCHAR) AS hist_start, CAST(future_start AS VARCHAR) AS future_start"
 KEYS = ["o_orderpriority", "hist_start", "future_start"]
@@ -119,6 +130,39 @@ def _(spark, sf):
     return emit(explode_block(windows))
 
 
+@query(
+    "windows_bucketed",
+    window_ctes(ORDER_READINGS) + f"SELECT {KEY_SQL}, y, y_days FROM w",
+)
+def _(spark, sf):
+    """Windows over a flagged series that is stored in sorted buckets of its entities."""
+    flagged = flagged_daily(order_readings(spark, sf), ORDERS)
+    stored = store_bucketed(flagged, f"flagged_days_{uuid.uuid4().hex}", ORDERS.entity, ORDERS.date)
+    return emit(windows_of(stored, ORDERS).drop("x"))
+
+
+@query(
+    "windows_segmented_given",
+    window_ctes(ORDER_READINGS, basis="daily", drop_last=True, guard=False) + f"SELECT {KEY_SQL}, y, y_days FROM w",
+)
+def _(spark, sf):
+    """Segmented windows with given thresholds and without the last anchor of each entity."""
+    readings = order_readings(spark, sf)
+    table = thresholds(daily_slim(readings, ORDERS), ORDERS)
+    windows = training_windows_segmented(
+        readings, ORDERS, segment_rows=64, table=table, drop_last=True, guard_nulls=False
+    )
+    return emit(windows.drop("x"))
+
+
+@query(
+    "scoring_windows_segmented",
+    window_ctes(ORDER_READINGS) + block_rows() + f"SELECT {KEY_SQL}, pos, round(x, 4) AS x FROM b",
+)
+def _(spark, sf):
+    return emit(explode_block(scoring_windows_segmented(order_readings(spark, sf), ORDERS, segment_rows=64)))
+
+
 @query(
     "training_windows_daily_basis",
     window_ctes(ORDER_READINGS, basis="daily", drop_last=True, guard=False) + f"SELECT {KEY_SQL}, y, y_days FROM w",

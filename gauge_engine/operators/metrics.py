@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gauge_engine.columns import DECISION_CUTOFF
@@ -160,11 +160,18 @@ def confusion(df: DataFrame, score: str, label: str, cutoff: float = DECISION_CU
     return df.agg(*[c.alias(name) for name, c in cells.items()])
 
 
-def score_row(histogram: DataFrame, cutoff: float = DECISION_CUTOFF, buckets: int | None = None) -> DataFrame:
-    """One row ``auc, acc, f1, mcc, n`` from a score histogram; fails when it is empty."""
+def score_row(
+    histogram: DataFrame, cutoff: float = DECISION_CUTOFF, buckets: int | None = None, allow_empty: bool = False
+) -> DataFrame:
+    """One row ``auc, acc, f1, mcc, n`` from a score histogram.
+
+    An empty one fails, or with ``allow_empty`` gives n = 0, an AUC of 0.5, no accuracy, and 0
+    for the others.
+    """
     tn, fp, fn, tp = (F.col(c) for c in _CELLS)
     n = tn + fp + fn + tp
-    checked = F.when(n > 0, n).otherwise(F.raise_error(F.lit("no overlapping ids between truth and predictions")))
+    none = F.lit(0) if allow_empty else F.raise_error(F.lit("no overlapping ids between truth and predictions"))
+    checked = F.when(n > 0, n).otherwise(none)
     return _totals(histogram, cutoff, buckets).select(
         _area(tn, fp, fn, tp).alias("auc"),
         accuracy(tn, fp, fn, tp).alias("acc"),
@@ -177,9 +184,12 @@ def score_row(histogram: DataFrame, cutoff: float = DECISION_CUTOFF, buckets: in
 def scores_by_group(
     df: DataFrame, group: str, score: str, label: str, cutoff: float = DECISION_CUTOFF, strict: bool = True
 ) -> DataFrame:
-    """Confusion counts and scores per group, plus one row (null group) over everything."""
+    """Confusion counts and scores per group, plus one row (null group) over everything, also
+    where there are no rows. The total is summed up from the groups."""
     cells = confusion_counts(binary_label(label), binarize(score, cutoff, strict))
-    counts = df.rollup(group).agg(*[c.alias(name) for name, c in cells.items()])
+    groups = df.groupBy(group).agg(*[c.alias(name) for name, c in cells.items()])
+    total = groups.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in _CELLS])
+    counts = groups.unionByName(total, allowMissingColumns=True)
     tn, fp, fn, tp = (F.col(c) for c in _CELLS)
     return counts.select(
         group,
@@ -191,10 +201,10 @@ def scores_by_group(
 
 
 def run_summary(**tables: DataFrame) -> DataFrame:
-    """Row count of each named table.
+    """Row count of each named table, by scanning it.
 
-    Tables that are filters of one written table share its scan when they are given as
-    ``counts_where``; this form takes tables of any origin.
+    A table that is written or scored anyway is counted on the way by ``CountedTables``;
+    filters of one table are counted in one scan by ``counts_where``.
     """
     parts = [
         df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
@@ -206,6 +216,38 @@ def run_summary(**tables: DataFrame) -> DataFrame:
     return out
 
 
+class CountedTables:
+    """Row counts as by-products of plans that run anyway.
+
+    ``counted`` hangs an observation on a table; once an action has run the plan, ``summary``
+    gives ``table, rows`` without another scan. Rows are counted where the observation
+    stands in the plan: put it behind the filters whose rows are meant, and run each counted
+    table in one action that reads it whole (a limit or a pruned branch would be counted as such).
+    """
+
+    def __init__(self) -> None:
+        self._observed: dict[str, tuple[Observation, str]] = {}
+
+    def counted(self, name: str, df: DataFrame, **conditions: Column) -> DataFrame:
+        """``df``, counted under ``name`` when it runs, and under each of ``conditions``."""
+        observation = Observation()
+        wanted = {name: F.count(F.lit(1))} | {c: _count_where(k) for c, k in conditions.items()}
+        metrics = [F.coalesce(value, F.lit(0)).cast("bigint").alias(f"rows_{k}") for k, value in enumerate(wanted.values())]
+        for k, table in enumerate(wanted):
+            if table in self._observed:
+                raise ValueError(f"table {table} is counted twice")
+            self._observed[table] = (observation, f"rows_{k}")
+        return df.observe(observation, *metrics)
+
+    def rows(self, name: str) -> int:
+        """The count of a table; waits for the action that runs it."""
+        observation, metric = self._observed[name]
+        return observation.get[metric]
+
+    def summary(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([(name, self.rows(name)) for name in self._observed], "table string, rows bigint")
+
+
 def counts_where(df: DataFrame, **conditions: Column) -> DataFrame:
     """``table, rows``: rows of ``df`` that meet each named condition, from one scan."""
     counted = df.agg(*[_count_where(condition).alias(name) for name, condition in conditions.items()])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field, replace
@@ -36,6 +37,14 @@ class BoostingSettings:
     seed: int = 42
 
 
+# A round is a handful of small jobs. Few rows in many tasks cost more than they save, so rows are
+# dealt to tasks by their number; a task's partial sums are what it sends.
+ROWS_PER_TASK = 50_000
+# Rounds between two cuts of the lineage.
+CHECKPOINT_ROUNDS = 25
+# Histograms of the nodes that one pass splits, per task.
+NODE_MEMORY_MB = 512
+
 # Held-out rows on which rounds are compared, at most: those with the smallest hash. The
 # bound is on labelled rows for choosing a number of rounds, never on the rounds.
 VALIDATION_ROWS = 200_000
@@ -55,14 +64,23 @@ def _prepared(windows: DataFrame, label: str, keep: Sequence[str] = ()) -> DataF
     )
 
 
+def fitting_tasks(rows: int) -> int:
+    """How many tasks a fit over so many rows takes."""
+    return max(1, -(-rows // ROWS_PER_TASK))
+
+
 @contextmanager
 def _held(rows: DataFrame) -> Iterator[DataFrame]:
-    """Keep rows while a fit passes over them; lost blocks are recomputed from the source."""
-    rows.persist(StorageLevel.MEMORY_AND_DISK)
+    """Keep rows, dealt to as many tasks as their number asks for, while a fit passes over them.
+
+    They are written once, so that lost executors cost a read and not the series again.
+    """
+    written = materialize(rows, "fit-rows")
+    held = written.repartition(fitting_tasks(written.count())).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        yield rows
+        yield held
     finally:
-        rows.unpersist()
+        held.unpersist()
 
 
 def _fit(rows: DataFrame, settings: BoostingSettings, label: str) -> GBTClassificationModel:
@@ -77,6 +95,8 @@ def _fit(rows: DataFrame, settings: BoostingSettings, label: str) -> GBTClassifi
         subsamplingRate=settings.row_share,
         featureSubsetStrategy=str(settings.feature_share),
         seed=settings.seed,
+        checkpointInterval=CHECKPOINT_ROUNDS,
+        maxMemoryInMB=NODE_MEMORY_MB,
     )
     return learner.fit(_prepared(rows, label))
 
@@ -104,9 +124,14 @@ def round_metrics(
         for weight, tree in zip(model.treeWeights, model.trees)
     ]
 
+    # One table of leaf values, tree after tree; a batch of leaves is one look-up in it.
+    first_leaf = np.cumsum([0, *[len(v) for v in values[:-1]]])
+    leaf_values = np.concatenate(values)
+
     @F.pandas_udf("array<double>")
     def margins(leaves: pd.Series) -> pd.Series:
-        return leaves.map(lambda row: np.cumsum([v[int(leaf)] for v, leaf in zip(values, row)]))
+        at = np.stack(leaves.to_list()).astype("int64") + first_leaf if len(leaves) else np.empty((0, len(values)), int)
+        return pd.Series(list(np.cumsum(leaf_values[at], axis=1)))
 
     rows = windows.orderBy(F.xxhash64("x", label)).limit(most_rows)
     scored = model.copy().setLeafCol("_leaves").transform(rows.select(array_to_vector("x").alias("features"), label))
@@ -227,6 +252,9 @@ def score_horizon(
     return scored.groupBy(*keys).agg(F.transform(ordered, lambda d: d["_prob"]).alias("probs"))
 
 
+_PUBLISHED = "written timestamp, about string, attempt string"
+
+
 @dataclass
 class ModelBundle:
     """A fitted model with everything needed to apply it again.
@@ -244,17 +272,28 @@ class ModelBundle:
     basis: str = "raw"
     history: int = HISTORY_DAYS
     horizon: int = HORIZON_DAYS
+    # How the number of rounds was chosen, if it was ("stratified AUC", ...), and a checksum of the
+    # readings behind the fit.
+    validation: str = ""
+    trained_on: str = ""
     thresholds: DataFrame | None = None
     scaler: DataFrame | None = None
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Write model and tables, the description last: a bundle without it is incomplete."""
+        """Write model and tables under an attempt's name, then publish it by one row.
+
+        The row is a file in a folder of its own, so fits that save at once do not meet.
+        Readers take the last row and see whole bundles only, also while one is written.
+        Earlier attempts stay for those who still read them.
+        """
+        name = uuid.uuid4().hex
+        attempt = f"{path}/attempts/{name}"
         if self.model is not None:
-            self.model.write().overwrite().save(f"{path}/model")
-        for name in ("thresholds", "scaler"):
-            table = getattr(self, name)
+            self.model.write().save(f"{attempt}/model")
+        for part in ("thresholds", "scaler"):
+            table = getattr(self, part)
             if table is not None:
-                table.write.mode("overwrite").parquet(f"{path}/{name}")
+                table.write.parquet(f"{attempt}/{part}")
         about = {
             "features": list(self.features),
             "settings": asdict(self.settings),
@@ -263,26 +302,39 @@ class ModelBundle:
             "basis": self.basis,
             "history": self.history,
             "horizon": self.horizon,
+            "validation": self.validation,
+            "trained_on": self.trained_on,
             "tables": [n for n in ("thresholds", "scaler") if getattr(self, n) is not None],
         }
-        row = spark.range(1).select(F.lit(json.dumps(about)).alias("about"))
-        row.write.mode("overwrite").parquet(f"{path}/about")
+        row = spark.range(1).select(F.current_timestamp().alias("written"), F.lit(json.dumps(about)).alias("about"))
+        row.coalesce(1).write.parquet(f"{path}/published/attempt={name}")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> ModelBundle:
-        about = json.loads(spark.read.schema("about string").parquet(f"{path}/about").first()["about"])
-        tables = {name: spark.read.parquet(f"{path}/{name}") for name in about["tables"]}
-        return cls(
-            model=None if about["kind"] == "scorer" else GBTClassificationModel.load(f"{path}/model"),
-            features=about["features"],
-            settings=BoostingSettings(**about["settings"]),
-            kind=about["kind"],
-            stds=about["stds"],
-            basis=about["basis"],
-            history=about["history"],
-            horizon=about["horizon"],
-            **tables,
-        )
+    def load(cls, spark: SparkSession, path: str) -> ModelBundle | None:
+        """The bundle published last; None where there is none."""
+        try:
+            rows = spark.read.schema(_PUBLISHED).parquet(f"{path}/published")
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        last = rows.orderBy(F.desc("written"), F.desc("attempt")).first()
+        if last is None:
+            return None
+        about = json.loads(last["about"])
+        attempt = f"{path}/attempts/{last['attempt']}"
+        tables = {name: spark.read.parquet(f"{attempt}/{name}") for name in about.pop("tables")}
+        about["settings"] = BoostingSettings(**about["settings"])
+        model = None if about["kind"] == "scorer" else GBTClassificationModel.load(f"{attempt}/model")
+        return cls(model=model, **about, **tables)
+
+
+def fingerprint(readings: DataFrame, *columns: str) -> str:
+    """A checksum of the rows that no order or partitioning changes; repeated rows count."""
+    sums = readings.select(F.xxhash64(*columns).alias("_a"), F.xxhash64(F.lit(1), *columns).alias("_b")).agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(F.col("_a").cast("decimal(38,0)")), F.lit(0)), F.coalesce(F.bit_xor("_b"), F.lit(0))
+    )
+    return "-".join(str(v) for v in sums.first())
 
 
 def load_or_fit(
@@ -292,15 +344,12 @@ def load_or_fit(
 
     A bundle that differs in a field named in ``expected`` is refused.
     """
-    try:
+    found = ModelBundle.load(spark, path)
+    if found is None:
+        fit().save(spark, path)
         found = ModelBundle.load(spark, path)
-        for name, want in expected.items():
-            has = getattr(found, name)
-            if (list(has) if name == "features" else has) != (list(want) if name == "features" else want):
-                raise ValueError(f"the bundle at {path} has {name} {has}, not {want}")
-        return found
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-    fit().save(spark, path)
-    return ModelBundle.load(spark, path)
+    for name, want in expected.items():
+        has = getattr(found, name)
+        if (list(has) if name == "features" else has) != (list(want) if name == "features" else want):
+            raise ValueError(f"the bundle at {path} has {name} {has}, not {want}")
+    return found

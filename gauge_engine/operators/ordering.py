@@ -65,13 +65,15 @@ def with_order_buckets(
     if buckets is not None and not 0 < buckets <= MAX_BUCKETS:
         raise ValueError(f"buckets must lie within 1 and {MAX_BUCKETS}, not {buckets}")
     cuts = _cuts(df, key, buckets, rows_per_bucket)
-    searched = df.withColumns({"_cuts": cuts.scalar(), name: F.lit(0)})
+    searched = df.withColumns({"_cuts": cuts.scalar(), "_found": F.lit(0)})
     for bit in reversed(range(BUCKET_BITS if buckets is None else (buckets - 1).bit_length())):
         step = 2**bit
         # Behind the last cut there is none to pass.
-        passed = F.get("_cuts", F.col(name) + (step - 1)) <= F.col(key)
-        searched = searched.withColumn(name, F.col(name) + F.when(passed, step).otherwise(0))
-    return searched.drop("_cuts")
+        passed = F.get("_cuts", F.col("_found") + (step - 1)) <= F.col(key)
+        searched = searched.withColumn("_found", F.col("_found") + F.when(passed, step).otherwise(0))
+    # A generated column: rules that trace a join key to its source would write out the halving, whose
+    # text doubles with every bit.
+    return searched.select(*df.columns, F.explode(F.array("_found")).alias(name))
 
 
 def running_before(value: str, order: str, *partition: str) -> Column:

@@ -25,8 +25,14 @@ def keep_entities(df: DataFrame, names: Iterable[str], cols: SensorColumns = STA
 
 
 def keep_listed_entities(df: DataFrame, listing: DataFrame, cols: SensorColumns = STATIONS) -> DataFrame:
-    """Rows of the entities in a table; duplicates in the table do not multiply rows."""
-    return df.join(listing.select(cols.entity), cols.entity, "left_semi")
+    """Rows of the entities in a table; duplicates in the table do not multiply rows.
+
+    Over readings stored by entity the listing prunes folders while the job runs. The
+    optimiser tries that only for a listing that is filtered, so the filter for names is
+    written as a comparison.
+    """
+    named = listing.select(cols.entity).where(F.length(F.col(cols.entity).cast("string")) >= 0)
+    return df.join(named, cols.entity, "left_semi").select(*df.columns)
 
 
 def split_entities(

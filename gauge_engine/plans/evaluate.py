@@ -15,9 +15,10 @@ from gauge_engine.plans.forecast import score_horizon_bundle
 from gauge_engine.session import materialize
 
 
-def score_predictions(truth: DataFrame, predictions: DataFrame) -> DataFrame:
-    """One score row over the ids both tables hold; fails when they share none."""
-    return score_row(score_histogram(scored_pairs(truth, predictions), weight="weight"))
+def score_predictions(truth: DataFrame, predictions: DataFrame, allow_empty: bool = False) -> DataFrame:
+    """One score row over the ids both tables hold; fails when they share none, unless a row
+    of n = 0 is asked for."""
+    return score_row(score_histogram(scored_pairs(truth, predictions), weight="weight"), allow_empty=allow_empty)
 
 
 def evaluation_report(**scored: DataFrame) -> DataFrame:

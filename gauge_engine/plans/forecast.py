@@ -14,6 +14,7 @@ from gauge_engine.operators.daily import add_features, daily_rollup
 from gauge_engine.operators.models import (
     BoostingSettings,
     ModelBundle,
+    fingerprint,
     fit_boosting,
     fit_horizon,
     load_or_fit,
@@ -72,8 +73,25 @@ def fit_bundle(
         ).model
     else:
         model = fit_boosting(windows, settings)
-    thresholds = series_thresholds(daily, cols, stds, basis)
-    return ModelBundle(model, names, settings, stds=stds, basis=basis, thresholds=thresholds)
+    return ModelBundle(
+        model,
+        names,
+        settings,
+        stds=stds,
+        basis=basis,
+        validation=validation_name(refit, split, metric, patience, use_best_rounds),
+        trained_on=trained_on(train, cols),
+        thresholds=series_thresholds(daily, cols, stds, basis),
+    )
+
+
+def validation_name(refit: bool, split: str, metric: str, patience: int | None, use_best_rounds: bool) -> str:
+    """How the number of rounds is chosen, as bundles remember it."""
+    return f"{split} {metric} patience {patience} best {use_best_rounds}" if refit else ""
+
+
+def trained_on(train: DataFrame, cols: SensorColumns) -> str:
+    return fingerprint(train, cols.entity, cols.time, cols.value)
 
 
 def forecast(
@@ -87,15 +105,27 @@ def forecast(
     basis: str = "raw",
     refit: bool = False,
     bundle_path: str | None = None,
+    split: str = "stratified",
+    metric: str = "AUC",
+    patience: int | None = None,
 ) -> DataFrame:
-    """Prediction per index id. A bundle at ``bundle_path`` is reused, else fitted and kept."""
+    """Prediction per index id.
+
+    A bundle at ``bundle_path`` is reused, else fitted and kept. One that was fitted on other
+    readings, with other settings or with its rounds chosen in another way is refused.
+    """
 
     def fit() -> ModelBundle:
-        return fit_bundle(train, cols, features, settings, stds, basis, refit)
+        return fit_bundle(train, cols, features, settings, stds, basis, refit, split, metric, patience)
 
-    asked = {"kind": "window", "settings": settings, "stds": stds, "basis": basis}
-    asked["features"] = cols.tree_features if features is None else features
-    bundle = load_or_fit(test.sparkSession, bundle_path, fit, **asked) if bundle_path else fit()
+    def bundled() -> ModelBundle:
+        asked = {"kind": "window", "settings": settings, "stds": stds, "basis": basis}
+        asked["features"] = cols.tree_features if features is None else features
+        asked["validation"] = validation_name(refit, split, metric, patience, True)
+        asked["trained_on"] = trained_on(train, cols)
+        return load_or_fit(test.sparkSession, bundle_path, fit, **asked)
+
+    bundle = bundled() if bundle_path else fit()
     windows = require_rows(materialize(scoring_windows(test, cols, bundle.features), "test-windows"), NO_WINDOWS)
     return align_to_index(index, score_windows(bundle.model, windows), cols)
 
@@ -122,8 +152,11 @@ def forecast_horizon(
     def fit() -> ModelBundle:
         return fit_horizon_bundle(train, cols, names, settings, stds)
 
-    asked = {"kind": "horizon", "settings": settings, "stds": stds, "features": names}
-    bundle = load_or_fit(test.sparkSession, bundle_path, fit, **asked) if bundle_path else fit()
+    def bundled() -> ModelBundle:
+        asked = {"kind": "horizon", "settings": settings, "stds": stds, "features": names}
+        return load_or_fit(test.sparkSession, bundle_path, fit, trained_on=trained_on(train, cols), **asked)
+
+    bundle = bundled() if bundle_path else fit()
     windows = require_rows(materialize(scoring_windows(test, cols, bundle.features), "test-windows"), NO_WINDOWS)
     daily = score_horizon_bundle(bundle, windows, cols)
     return align_to_index(index, _combined(daily, combine, bundle.horizon), cols)
@@ -155,7 +188,8 @@ def fit_horizon_bundle(
     daily, thresholds, scaler = training_tables(train, cols, names, stds)
     windows = windows_of(flag_series(daily, cols, stds=stds), cols, names)
     model = fit_horizon(apply_scaler_flat(windows, scaler, len(names)), settings)
-    return ModelBundle(model, names, settings, kind="horizon", stds=stds, thresholds=thresholds, scaler=scaler)
+    about = {"kind": "horizon", "stds": stds, "trained_on": trained_on(train, cols)}
+    return ModelBundle(model, names, settings, thresholds=thresholds, scaler=scaler, **about)
 
 
 def score_horizon_bundle(
@@ -177,7 +211,8 @@ def fit_scorer_bundle(
     """What a user's scorer needs from the training part: its scaler and thresholds."""
     names = cols.sequence_features if features is None else features
     _, thresholds, scaler = training_tables(train, cols, names, stds, basis)
-    return ModelBundle(None, names, kind="scorer", stds=stds, basis=basis, thresholds=thresholds, scaler=scaler)
+    about = {"kind": "scorer", "stds": stds, "basis": basis, "trained_on": trained_on(train, cols)}
+    return ModelBundle(None, names, thresholds=thresholds, scaler=scaler, **about)
 
 
 def scorer_training_windows(
@@ -213,8 +248,11 @@ def forecast_horizon_with(
     def fit() -> ModelBundle:
         return fit_scorer_bundle(train, cols, names, stds, basis)
 
-    asked = {"kind": "scorer", "stds": stds, "basis": basis, "features": names}
-    bundle = load_or_fit(test.sparkSession, bundle_path, fit, **asked) if bundle_path else fit()
+    def bundled() -> ModelBundle:
+        asked = {"kind": "scorer", "stds": stds, "basis": basis, "features": names}
+        return load_or_fit(test.sparkSession, bundle_path, fit, trained_on=trained_on(train, cols), **asked)
+
+    bundle = bundled() if bundle_path else fit()
     blocks = scoring_windows(test, cols, bundle.features, layout="matrix")
     windows = require_rows(materialize(blocks, "test-windows"), NO_WINDOWS)
     scaled = apply_scaler(windows, bundle.scaler)

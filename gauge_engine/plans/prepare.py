@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from gauge_engine.columns import STATIONS, TESTING_STATIONS, TRAINING_STATIONS, SensorColumns
 from gauge_engine.operators.daily import daily_slim
 from gauge_engine.operators.index import index_with_ids
-from gauge_engine.operators.splits import split_entities
+from gauge_engine.operators.splits import keep_listed_entities, split_entities
+from gauge_engine.session import scratch_path
 from gauge_engine.sources.matrix import melt_matrix
-from gauge_engine.sources.sinks import write_table
+from gauge_engine.sources.sinks import store_by_entity, write_table
 
 
 @dataclass
@@ -43,3 +44,25 @@ def prepare_dataset(
     readings = melt_matrix(wide, entities, cols, to_seconds=to_seconds)
     train_readings, test_readings = split_entities(readings, train, test, cols)
     return Dataset(train_readings, test_readings, index_with_ids(daily_slim(test_readings, cols), cols))
+
+
+def prepare_listed(
+    wide: DataFrame,
+    train: DataFrame,
+    test: DataFrame,
+    entities: DataFrame | None = None,
+    cols: SensorColumns = STATIONS,
+    to_seconds: bool = False,
+    path: str | None = None,
+) -> Dataset:
+    """The same with the entity lists as tables.
+
+    The matrix is melted once and stored by entity at ``path`` (else in the shared folder);
+    the lists prune its folders. Entities that a list repeats count once, and names that are
+    not in the matrix have no readings.
+    """
+    readings = store_by_entity(
+        melt_matrix(wide, entities, cols, to_seconds=to_seconds), path or scratch_path(wide.sparkSession, "melted"), cols
+    )
+    train_readings, test_readings = (keep_listed_entities(readings, names, cols) for names in (train, test))
+    return Dataset(train_readings, test_readings, index_with_ids(daily_slim(test_readings, cols), cols))

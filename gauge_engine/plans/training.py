@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from gauge_engine.columns import STATIONS, THRESHOLD_STDS, SensorColumns
+from gauge_engine.columns import HISTORY_DAYS, HORIZON_DAYS, STATIONS, THRESHOLD_STDS, SensorColumns
 from gauge_engine.operators.daily import add_features, daily_rollup
 from gauge_engine.operators.segments import HOME, SEGMENT, own_rows, split_into_segments
 from gauge_engine.operators.thresholds import (
@@ -86,6 +86,34 @@ def training_windows(
     return windows_of(flagged, cols, features, layout, drop_last, guard_nulls)
 
 
+def _segment_windows(
+    daily: DataFrame,
+    cols: SensorColumns,
+    names: Sequence[str],
+    segment_rows: int,
+    labels: bool,
+    layout: str,
+    drop_last: bool,
+    guard_nulls: bool,
+) -> DataFrame:
+    """Windows of a daily series whose entities are worked on in overlapping segments."""
+    split = [SEGMENT]
+    after = HISTORY_DAYS + HORIZON_DAYS - 1 + (1 if drop_last else 0)
+    segments = add_features(split_into_segments(daily, cols, segment_rows, after=after), cols, names, split)
+    windows = sliding_windows(
+        segments,
+        cols,
+        names,
+        labels=labels,
+        layout=layout,
+        drop_last=drop_last,
+        guard_nulls=guard_nulls,
+        split=split,
+        keep=[SEGMENT, HOME],
+    )
+    return own_rows(windows)
+
+
 def training_windows_segmented(
     readings: DataFrame,
     cols: SensorColumns = STATIONS,
@@ -94,22 +122,34 @@ def training_windows_segmented(
     basis: str = "raw",
     segment_rows: int = 4096,
     layout: str = "flat",
+    table: DataFrame | None = None,
+    drop_last: bool = False,
+    guard_nulls: bool = True,
 ) -> DataFrame:
     """The same windows for few, very long series: work is split below the entity.
 
-    Thresholds come from partially aggregated tables instead of a whole-entity frame. The
-    daily table feeds three branches, so it is written once.
+    Thresholds come from ``table``, or from partially aggregated tables instead of a
+    whole-entity frame. The daily table feeds several branches, so it is written once.
     """
     names = cols.tree_features if features is None else features
-    daily = materialize(daily_rollup(readings, cols, attrs=(), moments=True), "daily")
-    table = series_thresholds(daily, cols, stds, basis)
+    daily = materialize(daily_rollup(readings, cols, attrs=(), moments=table is None), "daily")
+    if table is None:
+        table = series_thresholds(daily, cols, stds, basis)
     flagged = flag_events(attach_thresholds(daily, table, cols), cols)
-    split = [SEGMENT]
-    segments = add_features(split_into_segments(flagged, cols, segment_rows), cols, names, split)
-    windows = sliding_windows(
-        segments, cols, names, labels=True, layout=layout, split=split, keep=[SEGMENT, HOME]
-    )
-    return own_rows(windows)
+    return _segment_windows(flagged, cols, names, segment_rows, True, layout, drop_last, guard_nulls)
+
+
+def scoring_windows_segmented(
+    readings: DataFrame,
+    cols: SensorColumns = STATIONS,
+    features: Sequence[str] | None = None,
+    layout: str = "flat",
+    segment_rows: int = 4096,
+) -> DataFrame:
+    """Unlabelled windows of few, very long series."""
+    names = cols.tree_features if features is None else features
+    daily = materialize(daily_rollup(readings, cols, attrs=()), "daily")
+    return _segment_windows(daily, cols, names, segment_rows, False, layout, False, True)
 
 
 def scoring_windows(

@@ -18,23 +18,25 @@ def melt_matrix(
 ) -> DataFrame:
     """One reading per matrix cell, nulls kept, times decoded from day-numbers.
 
-    ``entities`` carries the attributes, one row per entity.
+    ``entities`` carries the attributes. A row's measures are one array, exploded by position;
+    a small table gives each position its entity, so the plan is the same for any number of
+    columns and the time is decoded once per row.
     """
     names = [c for c in wide.columns if c != daynum]
-    tall = wide.unpivot(daynum, names, cols.entity, cols.value)
-    readings = tall.select(
-        daynum_to_timestamp(daynum, to_seconds).alias(cols.time),
-        cols.entity,
-        null_if_nan(cols.value).alias(cols.value),
+    measures = F.array(*[F.col(f"`{c.replace('`', '``')}`").cast("double") for c in names])
+    tall = wide.select(
+        daynum_to_timestamp(daynum, to_seconds).alias(cols.time), F.posexplode(measures).alias("_position", "_measure")
     )
-    if entities is None or not cols.attrs:
-        return readings
-    attributes = (
-        entities.filter(F.col(cols.entity).isin(names))
-        .groupBy(cols.entity)
-        .agg(*[F.any_value(a, F.lit(True)).alias(a) for a in cols.attrs])
-    )
-    # At most one row per matrix column, so the cells never shuffle by entity.
-    return readings.join(F.broadcast(attributes), cols.entity, "left").select(
-        cols.time, cols.entity, *cols.attrs, cols.value
+    listed = wide.sparkSession.createDataFrame(list(enumerate(names)), f"_position int, `{cols.entity}` string")
+    if entities is not None and cols.attrs:
+        attributes = (
+            entities.join(F.broadcast(listed), cols.entity, "left_semi")
+            .groupBy(cols.entity)
+            .agg(*[F.any_value(a, F.lit(True)).alias(a) for a in cols.attrs])
+        )
+        listed = listed.join(attributes, cols.entity, "left")
+    attrs = cols.attrs if entities is not None else ()
+    # One row per matrix column, so the cells never shuffle.
+    return tall.join(F.broadcast(listed), "_position").select(
+        cols.time, cols.entity, *attrs, null_if_nan("_measure").alias(cols.value)
     )
