@@ -224,3 +224,12 @@ def test_packed_keys_and_sums_round_trip():
     for sums in ([], [0, 255], [256], [2**40]):
         assert unpack_sums(pack_sums(np.array(sums, "i8"))).tolist() == sums
     assert unpack_sums(pack_sums(np.array([0.5, -1.0]))).tolist() == [0.5, -1.0]
+
+
+def test_repeated_rows_lose_each_line_once(spark):
+    """Three copies of a row whose two lines stand in an older one."""
+    rng = random.Random(6)
+    text = f"{prose(rng, 8)}\n{prose(rng, 11)}"
+    docs = [(0, text, 0, 0, 0), *[(1, text, 0, 0, 0)] * 3]
+    got = sorted((r.doc_id, r.text, r.n_lines, r.n_removed) for r in dedup_lines(table(spark, docs)).collect())
+    assert got == [(0, text, 2, 0), *[(1, "", 2, 2)] * 3]
