@@ -51,6 +51,9 @@ BOILERPLATE_WORDS = frozenset(
     "nav navbar navigation newsletter notice notices overlay pager pagination popup promo promotion recommended related "
     "replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
+# The head of a page, unless one of the others says that it is the head of an article.
+HEAD_WORDS = frozenset(["header"])
+_OF_ARTICLE = frozenset("article content entry post section story title".split())
 # Words that turn the meaning round: a layout with a sidebar is not the sidebar.
 _TURNED = frozenset("has no with without".split())
 # Deeper elements share the node of the last level: coarser, but no text is lost.
@@ -77,8 +80,9 @@ class Node:
 
 
 def signature(tag: str, attributes: str) -> str:
-    """Tag, ``!`` when the markup itself names it boilerplate, and a short hash of its class."""
-    boiler = tag in BOILERPLATE_TAGS
+    """Tag, ``!`` when the markup itself names it boilerplate or ``^`` a header, and a short hash of
+    its class."""
+    boiler, head = tag in BOILERPLATE_TAGS, tag == "header"
     mark = ""
     if attributes and _MARKED.search(attributes):
         found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
@@ -86,13 +90,14 @@ def signature(tag: str, attributes: str) -> str:
         words = {w.lower() for w in _WORD.findall(f"{found.get('class', '')} {found.get('id', '')}")}
         if tag not in ("html", "body", "main") and words & BOILERPLATE_WORDS and not (words & _TURNED):
             boiler = tag != "article" or bool(words & {"comment", "comments", "reply", "related", "promo", "ad", "sponsored"})
+        head |= tag not in ("html", "body", "main", "article") and bool(words & HEAD_WORDS) and not words & (_OF_ARTICLE | _TURNED)
         boiler |= found.get("role", "").lower() in BOILERPLATE_ROLES or "hidden" in found
         boiler |= found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
         if found.get("role", "").lower() in ("main", "article") and not boiler:
             tag = found["role"].lower()
         shape = " ".join(sorted(re.sub(r"\d+", "", named).split()))
         mark = f".{zlib.crc32(shape.encode('utf-8', 'replace')) % CLASSES}" if shape else ""
-    return f"{tag}{'!' if boiler else ''}{mark}"
+    return f"{tag}{'!' if boiler else '^' if head else ''}{mark}"
 
 
 _PLAIN = {tag: signature(tag, "") for tag in BLOCK}

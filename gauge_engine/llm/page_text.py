@@ -10,7 +10,8 @@
 3. A template node whose text is the same on all pages that have it, while these pages'
    main parts differ, is constant: it belongs to the template. The others are slots. A slot is
    content unless the markup names it a menu, header, footer, notice, advert or the like, or
-   most of its text on all pages is links. Where the template has an article or main
+   most of its text on all pages is links; a header is one unless a varying title stands in it.
+   Where the template has an article or main
    element, content lies inside it.
 4. Every page is aligned with its host's template, and the blocks of its content slots are its
    text. Nodes that align with none follow the node above them.
@@ -62,12 +63,16 @@ class Template:
 
     @property
     def tag(self) -> str:
-        return self.sig.partition(".")[0].rstrip("!")
+        return self.sig.partition(".")[0].rstrip("!^")
 
     @property
     def boilerplate(self) -> bool:
         return "!" in self.sig
 
+    @property
+    def header(self) -> bool:
+        return "^" in self.sig
+
     @property
     def constant(self) -> bool:
         return self.same is not None and len(self.mains) == DIFFERENT_PAGES
@@ -210,9 +215,14 @@ def wrapper(template: Template) -> list:
         region = []
     inside = {id(r) for r in region}
 
+    def titled(node: Template) -> bool:
+        """Whether a heading of the first level varies in it: the head of the article itself."""
+        return (node.tag == "h1" and not node.constant) or any(titled(c) for c in node.children.values())
+
     def decide(node: Template, within: bool) -> list:
         entered = within or id(node) in inside
-        if node.boilerplate or (node.tag == "header" and not within and region) or (node.tag == "article" and within and region):
+        page_head = node.header and not within and (region or not titled(node))
+        if node.boilerplate or page_head or (node.tag == "article" and within and region):
             return [node.sig, "b", []]
         if region and not entered:
             decision = "o"

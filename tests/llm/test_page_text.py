@@ -143,6 +143,23 @@ def test_templates_handed_on_early(spark, monkeypatch):
     assert pt.wrapper(left) == merged == pt.wrapper(pt.unpacked(left.packed()))
 
 
+def test_headers_of_pages_and_of_articles(spark):
+    draw = random.Random(3)
+    rest = "<div class='entry-header'><h1>{t}</h1></div><p>{p}</p>"
+    heads = ["<header><p>{s}</p></header>", "<div id='header'>{s}</div>", "<div class='site-header'><b>{s}</b></div>"]
+    pages, want = [], {}
+    for k, head in enumerate(heads):
+        for i in range(2):  # too few pages for a constant
+            title, text = words(draw, 3), words(draw, 20)
+            key = 10 * k + i
+            pages.append((key, f"http://h{k}.example/", "<body>" + head.format(s=words(draw, 5)) + rest.format(t=title, p=text)))
+            want[key] = f"{title}\n\n{text}"
+    pages.append((90, "http://own.example/", "<article><header><h1>T</h1><p>by me</p></header><p>text of it</p></article>"))
+    pages.append((91, "http://top.example/", "<body><header><h1>T</h1></header><p>text of it</p>"))
+    want |= {90: "T\n\nby me\n\ntext of it", 91: "T\n\ntext of it"}
+    assert texts(spark, pages) == want
+
+
 def test_copies_do_not_become_template(spark):
     draw = random.Random(1)
     article = [words(draw, 30), words(draw, 20)]
