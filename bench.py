@@ -36,6 +36,9 @@ HEADLINE = (
     "auc_bucketed",
     "scores",
     "plugin_score",
+    "plugin_horizon",
+    "interval_readings",
+    "prepare_listed",
     "forecast_pipeline",
 )
 RUNS = 2
