@@ -1,15 +1,17 @@
 """Quality rules, URL filter, licences and the pipeline on small tables."""
 
+import random
 import re
 from collections import defaultdict
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gauge_engine.llm.catalog import ORACLES, QUERIES
 from gauge_engine.llm.licences import scan_licences
-from gauge_engine.llm.quality import RULES, Rule, judge_quality, keep_quality
+from gauge_engine.llm.quality import RULES, Rule, judge_quality, keep_quality, keeps, order_rules
 from gauge_engine.llm.url_filter import LikelihoodRatio, judge_urls
 from gauge_engine.llm.url_filter import Rule as UrlRule
 
@@ -54,6 +56,35 @@ def test_the_order_of_rules_does_not_change_verdicts(spark):
         assert keep_quality(df, rules).count() == want
 
 
+def test_the_measured_order_is_stable(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("abcdefghij") * rng.randint(2, 9) for _ in range(rng.randint(5, 120))) for _ in range(200)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").repartition(7)
+
+    def slow_never(m):
+        return (m["n_repeat_words"] < 0) | (m["n_dup_lines"] < 0)
+
+    rules = (
+        Rule("a_slow_never", slow_never), Rule("b_slow_all", lambda m: (m["n_repeat_words"] >= 0) & (m["n_words"] > 0)),
+        Rule("c_quick_all", lambda m: m["n_words"] > 0), Rule("d_quick_few", lambda m: m["n_words"] < 6),
+    )
+    orders = {tuple(r.name for r in order_rules(df, rules)) for _ in range(3)}
+    assert {o[0] for o in orders} == {"c_quick_all"} and {o[-1] for o in orders} == {"a_slow_never"}
+    assert len(orders) == 1
+    assert order_rules(df.limit(0), rules) == list(rules)
+    blank = spark.createDataFrame([(1, None), (2, "")], "doc_id int, text string")
+    assert {r.name for r in order_rules(blank, rules)} == {r.name for r in rules}
+
+
+def test_the_cascade_reads_metrics_where_it_needs_them(spark):
+    """A rule behind one that has rejected is not evaluated: its metric would fail."""
+    df = spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id int, text string")
+    rules = [Rule("all", lambda m: m["n_words"] > 0), Rule("fails", lambda m: F.raise_error(F.lit("evaluated")).cast("boolean"))]
+    assert df.where(keeps(rules)).count() == 0
+    with pytest.raises(Exception, match="evaluated"):
+        df.where(keeps(rules[::-1])).count()
+
+
 def test_url_parts_rules_and_verdicts(spark):
     rules = [UrlRule("block", "net", "/"), UrlRule("allow", "example.net", "/en/"), UrlRule("block", "example.com", "/de/"), UrlRule("allow", "org", "/fr/")]
     urls = [
@@ -102,8 +133,6 @@ def test_licence_sentences_and_rules(spark):
 
 
 def test_pipeline_stages_keep_and_drop(spark, tmp_path):
-    import random
-
     rng = random.Random(1)
 
     def prose(n):
