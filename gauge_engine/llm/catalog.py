@@ -89,7 +89,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         Rule("allow", "org", "/fr/"),
     )
     judged = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
-    return judged.select("page_id", "host", "path", "rule", "score", "verdict")
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
 @query("op5_quality", oracles.OP5)

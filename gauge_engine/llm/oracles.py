@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from gauge_engine.llm.licences import RULES, SENTENCES, normal_sentence
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -40,16 +42,29 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def _licences_sql() -> str:
-    known = ", ".join(f"'{normal_sentence(s)}': '{name}'" for name, s in SENTENCES.items())
+    """Sentence and line ends are written twice, as a match takes one on either side."""
+    known = ", ".join(f"'{normal_sentence(x)}': '{name}'" for name, x in SENTENCES.items())
+    ends, line = r"(?: [\x01\x02])* ", r"(?: \x02)* "
+    sentences = []
+    for sentence in sorted(SENTENCES.values(), key=lambda x: -len(normal_sentence(x))):
+        pieces = [normal_sentence(p).split() for p in re.split(r"[.!?;:]\s+", sentence)]
+        sentences.append(ends.join(line.join(words) for words in pieces if words))
     cases, earlier = [], {}
     for family, licence, ids in RULES:
         fits = "q LIKE '%" + "%".join(f"|{i}|" for i in ids) + "%'"
         blocked = " AND ".join(f"NOT ({e})" for e in earlier.get(family, []))
         cases.append(f"CASE WHEN {fits}{' AND ' + blocked if blocked else ''} THEN '{licence}' END")
         earlier.setdefault(family, []).append(fits)
-    return rf"""WITH s AS (SELECT doc_id, list_filter(list_transform(
-    string_split_regex(coalesce(text, ''), '[.!?;:]\s+|\s*[\r\n]+\s*'),
-    lambda x: MAP {{{known}}}[trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))]), lambda x: x IS NOT NULL) AS ids FROM documents),
+    return rf"""WITH plain AS (SELECT doc_id, regexp_replace(
+    translate(lower(coalesce(text, '')), chr(1) || chr(2), '  '), '\r\n?', chr(10), 'g') AS t FROM documents),
+ended AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t,
+    '[.!?;:][\x20\x09-\x0D]+', ' ' || chr(1) || ' ', 'g'),
+    '\n[^\p{{L}}\p{{N}}\n]*\n', ' ' || chr(1) || ' ' || chr(10), 'g'), '\n', ' ' || chr(2) || ' ', 'g') AS t FROM plain),
+marked AS (SELECT doc_id, ' ' || chr(1) || ' ' || trim(regexp_replace(regexp_replace(
+    regexp_replace(t, '[^a-z0-9\x01\x02]+', ' ', 'g'), ' ?([\x01\x02]) ?', ' \1 \1 ', 'g'), ' +', ' ', 'g')) || ' ' || chr(1) AS t FROM ended),
+s AS (SELECT doc_id, list_filter(list_transform(
+    regexp_extract_all(t, '[\x01\x02] ({"|".join(sentences)}) [\x01\x02]', 1),
+    lambda x: MAP {{{known}}}[regexp_replace(x, '[ \x01\x02]+', ' ', 'g')]), lambda x: x IS NOT NULL) AS ids FROM marked),
 f AS (SELECT doc_id, ids, '|' || array_to_string(ids, '||') || '|' AS q FROM s)
 SELECT doc_id, array_to_string(ids, ',') AS licence_sentences,
   array_to_string(list_filter([{", ".join(cases)}], lambda x: x IS NOT NULL), ',') AS licences FROM f"""

@@ -2,9 +2,20 @@
 
 import textwrap
 
+import duckdb
+
+from gauge_engine.llm.catalog import ORACLES
 from gauge_engine.llm.licences import RULES, SENTENCES, scan_licences
 
 
+def by_sql(rows):
+    """What the SQL counterpart finds in the same texts."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    return {i: (x.split(",") if x else [], y.split(",") if y else []) for i, x, y in con.execute(ORACLES["op8_licences"]).fetchall()}
+
+
 def test_every_rule_fires_on_its_own_text(spark):
     rows, want = [], []
     for _, licence, ids in RULES:
@@ -19,7 +30,9 @@ def test_every_rule_fires_on_its_own_text(spark):
         rows += [(len(rows) + k, s) for k, s in enumerate(shapes)]
         want += [(licence, list(ids))] * len(shapes)
     got = {r.doc_id: r for r in scan_licences(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    sql = by_sql(rows)
     for (i, text), (licence, ids) in zip(rows, want):
+        assert sql[i] == (ids, [licence]), (licence, text, sql[i])
         assert got[i].licences == [licence] and got[i].licence_sentences == ids, (licence, text, got[i].licences)
 
 
@@ -29,3 +42,4 @@ def test_an_empty_line_and_other_words_keep_sentences_apart(spark):
     rows = [(0, broken), (1, broken.replace("\n\n", "\n#\n# ")), (2, f"Not {whole}"), (3, f"{whole[:-1]} or not."), (4, whole.replace(" notice ", " notice\n", 1))]
     got = {r.doc_id: r.licence_sentences for r in scan_licences(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
     assert got == {0: [], 1: [], 2: [], 3: [], 4: ["mit-notice"]}
+    assert {i: found for i, (found, _) in by_sql([*rows, (5, None), (6, "")]).items()} == {**got, 5: [], 6: []}
