@@ -1,5 +1,6 @@
 """Quality rules, URL filter, licences and the pipeline on small tables."""
 
+import math
 import random
 import re
 from collections import defaultdict
@@ -12,7 +13,7 @@ import corpus_pipeline
 from gauge_engine.llm.catalog import ORACLES, QUERIES
 from gauge_engine.llm.licences import scan_licences
 from gauge_engine.llm.quality import RULES, Rule, judge_quality, keep_quality, keeps, order_rules
-from gauge_engine.llm.url_filter import LikelihoodRatio, judge_urls
+from gauge_engine.llm.url_filter import ORDER, LikelihoodRatio, judge_urls
 from gauge_engine.llm.url_filter import Rule as UrlRule
 
 DATA = Path("/root/testdata/sf0.001")
@@ -162,6 +163,58 @@ def test_pipeline_stages_keep_and_drop(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == kept[3]
 
 
+def test_near_duplicates_go_with_and_without_ids(spark):
+    rng = random.Random(3)
+    words = [["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(80)] for _ in range(3)]
+    text, other, third = (" ".join(w) for w in words)
+    near = " ".join(["new", *words[0][1:]])
+    docs = [
+        (5, text), (3, near), (7, text), (7, text), (None, text), (None, near), (8, other), (None, third), (None, third),
+        (None, " ".join([*words[2][:-1], "end"])), (9, None), (10, ""), (None, None), (11, "a b"),
+    ]
+    rows = [(i, t, len(t or "")) for i, t in docs]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    left = corpus_pipeline.near_duplicates(spark, df, "")
+    assert left.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in left.collect()), key=str)
+    found = [x for x in got if x[0] is None and x[1]]
+    assert len(found) == 1 and found[0][1].startswith(" ".join(words[2][:-1]))
+    assert [x for x in got if x not in found] == sorted([(3, near), (8, other), (9, None), (10, ""), (None, None), (11, "a b")], key=str)
+    assert corpus_pipeline.near_duplicates(spark, df.limit(0), "").count() == 0
+
+
+def test_markov_models_equal_brute_force():
+    """Smoothing, score and threshold by their definitions, from substring counts."""
+    good = ["http://a.org/fr/x", "http://bb.org/fr/yy", "http://c.org/fr/zx"]
+    bad = ["http://a.net/q", "http://dd.net/qq?9"]
+    ratio = LikelihoodRatio(good, bad)
+
+    def log_p(texts, text):
+        padded = ["\x02" * ORDER + t + "\x03" for t in texts]
+
+        def p(context, char):
+            starts = [(t, i) for t in padded for i in range(ORDER, len(t)) if t[i - len(context) : i] == context]
+            after = [t[i] for t, i in starts]
+            shorter = 1 / 65_536 if not context else p(context[1:], char)
+            return (after.count(char) + len(set(after)) * shorter) / (len(after) + len(set(after))) if after else shorter
+
+        whole = "\x02" * ORDER + text + "\x03"
+        return sum(math.log(p(whole[i - ORDER : i], whole[i])) for i in range(ORDER, len(whole)))
+
+    asked = [*good, *bad, "", "é://ü", "http://e.org/fr/q", "http://e.net/x", "x" * 3_000]
+    for text in asked:
+        assert ratio.score(text) == pytest.approx((log_p(good, text) - log_p(bad, text)) / (len(text) + 1), abs=1e-9)
+    accepted, rejected = asked[:3] + asked[7:8], asked[3:5] + asked[8:9]
+    ratio.calibrate(accepted, rejected)
+
+    def rate(cut):
+        hits = [sum(keep(ratio.score(t)) for t in texts) / len(texts) for texts, keep in ((accepted, lambda x: x >= cut), (rejected, lambda x: x < cut))]
+        return sum(hits)
+
+    scores = sorted({ratio.score(t) for t in (*accepted, *rejected)})
+    assert rate(ratio.threshold) == max(map(rate, [*scores, *[(a + b) / 2 for a, b in zip(scores, scores[1:])]]))
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="the given tables are not here")
 def test_queries_are_listed(spark):
     import __spark_entry__
