@@ -157,3 +157,43 @@ def test_intervals_join_without_a_row_per_day(spark):
 @pytest.mark.parametrize("name", ["interval_readings", "interval_hist", "interval_truth", "interval_eval", "positional_id", "auc_bucketed", "split_stratified", "split_random"])
 def test_queries_match_sql(spark, name):
     assert oracle.differences(QUERIES[name](spark, SF), oracle.connect(SF), ORACLES[name]) == []
+
+
+def test_pairs_are_counted_like_they_are_listed(spark):
+    draw = random.Random(13)
+    zero = datetime(1969, 12, 30)
+
+    def moment():
+        return zero + timedelta(microseconds=draw.randint(0, 3 * 86_400_000_000))
+
+    readings = [(draw.choice(["a", "b", None]), moment(), draw.choice([float(draw.randint(0, 9)), None])) for _ in range(400)]
+    readings += [("a", None, 1.0), ("only", zero, float("nan")), *readings[:5]]
+    lengths = [-1, 0, 0.000001, 0.000003, 59, 3600, 4096, 5400, 90_000, 400_000]
+    intervals = [(draw.choice([k, 7, None]), a, a + timedelta(seconds=draw.choice(lengths))) for k, a in enumerate(moment() for _ in range(120))]
+    intervals += [(300 + k, t, t + timedelta(seconds=length)) for k, (_, t, _) in enumerate(readings[:20]) for length in (0.000001, 0.000002, 7200)]
+    intervals += [(400, readings[0][1], readings[1][1]), (401, readings[1][1], readings[0][1]), (402, None, zero), (403, zero, zero + timedelta(days=9))]
+    want = {}
+    for i, a, b in intervals:
+        for k, t, v in readings:
+            if a is not None and t is not None and a <= t < b:
+                want.setdefault((i, k), []).append(v)
+    for kind in ("timestamp_ntz", "timestamp"):
+        points = spark.createDataFrame(readings, f"k string, t {kind}, v double")
+        bounds = spark.createDataFrame(intervals, f"i int, start_time {kind}, end_time {kind}")
+        found = readings_in_intervals(points, bounds, "t", by=["i", "k"], sums={"total": "v"}).collect()
+        got = {(r.i, r.k): (r.n, r.total) for r in found}
+        assert len(got) == len(found) and set(got) == set(want)
+        for key, values in want.items():
+            known = [v for v in values if v is not None]
+            assert got[key][0] == len(values) and (got[key][1] == pytest.approx(sum(known), nan_ok=True) if known else got[key][1] is None)
+        assert readings_in_intervals(points, bounds.limit(0), "t", by=["i", "k"]).collect() == []
+
+
+def test_dense_readings_are_counted_without_their_pairs(spark):
+    points = spark.range(20_000).selectExpr("id % 3 AS k", "timestamp_micros(id * 1000) AS t")
+    bounds = points.selectExpr("t AS start_time", "t + INTERVAL 10 SECONDS AS end_time").withColumn("i", F.monotonically_increasing_id())
+    df = readings_in_intervals(points, bounds, "t", by=["i", "k"])
+    # 150 million pairs; no join makes more than a few rows per reading and interval.
+    assert df.agg(F.sum("n")).first()[0] == 10_000 * 10_000 + sum(range(1, 10_001))
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert text.count("_piece") == 0 and "NestedLoop" not in text and "Cartesian" not in text
