@@ -11,6 +11,7 @@ from gauge_engine.functions.arrays import horizon_blend, horizon_max, horizon_we
 from gauge_engine.functions.scalars import binarize, composite_key, sigmoid
 from gauge_engine.operators.daily import daily_slim
 from gauge_engine.operators.index import index_with_ids
+from gauge_engine.operators import models
 from gauge_engine.operators.models import (
     BoostingSettings,
     ModelBundle,
@@ -201,3 +202,14 @@ def test_plugin_scores_rows_in_batches(spark, test):
             score_with(windows, lambda m: m, S).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_horizon_rows_are_dealt_by_what_the_fit_passes_over(spark, monkeypatch):
+    monkeypatch.setattr(models, "ROWS_PER_TASK", 100)
+    seen = []
+    monkeypatch.setattr(models, "_fit", lambda rows, settings, label: seen.append((rows.rdd.getNumPartitions(), rows.count())))
+    windows = spark.range(50).select(F.array(F.col("id").cast("double")).alias("x"), F.array_repeat(F.lit(1), 14).alias("y_days"))
+    models.fit_horizon(windows.union(windows.selectExpr("x", "CAST(NULL AS array<int>)").limit(1)))
+    models.fit_horizon(windows.limit(0))
+    models.fit_boosting(windows.withColumn("y", F.lit(1)))
+    assert seen == [(7, 700), (1, 0), (1, 50)]
