@@ -189,13 +189,6 @@ def aligned_totals(sent: DataFrame, signs: bool = False) -> DataFrame:
     return sent.groupBy("part").applyInPandas(merge, ALIGNED)
 
 
-def in_key_order(returned: pd.DataFrame) -> np.ndarray:
-    """A bucket's aligned totals, in the order of its sorted keys."""
-    if not len(returned):
-        return np.empty(0, "i8")
-    return np.concatenate([unpack_sums(s) for s in returned.sort_values("part")["sums"]])
-
-
 def distinct_and_total(sent: DataFrame, parts: int) -> DataFrame:
     """One row: ``distinct`` keys with a sum above 0 and the ``total`` of all sums, over the
     ranges below ``parts``. Sums are whole numbers."""

@@ -18,8 +18,6 @@ the counts of its own words; so it is the same kind of sum.
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,12 +31,11 @@ from gauge_engine.llm.exchange import (
     bucketed,
     cut_keys,
     distinct_and_total,
-    in_key_order,
     key_bits,
     pieces,
     range_count,
+    unpack_sums,
 )
-from gauge_engine.llm.ngram_join import words_of
 from gauge_engine.llm.shipping import ship_package
 
 LEAST_COUNT = 16
@@ -51,8 +48,6 @@ SCORES = (
     "base_score double, score double"
 )
 
-_COUNTS, _TRIPLES, _GAINS = 0, 1, 2
-
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,6 +57,38 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+_SPACE = np.isin(np.arange(256), list(b"\t\n\v\f\r "))
+# A number for every byte at every place of a word; places repeat after so many.
+_PLACES = 64
+_BYTES = _mix(_mix(np.arange(1, 256 * _PLACES + 1, dtype=np.uint64) * _M))
+_END = _M
+
+
+def _word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in one row, and how many words each text has.
+
+    Words are cut at ASCII white space, A-Z lower-cased. A word's hash sums the numbers of
+    its bytes at their places.
+    """
+    held = [t.encode("utf-8", "surrogatepass").lower() if t else b"" for t in texts]
+    ends = np.cumsum([len(b) + 1 for b in held])
+    letters = np.frombuffer(b" ".join(held), "u1")
+    inside = ~_SPACE[letters]
+    edges = np.diff(np.concatenate([[False], inside, [False]]).view("i1"))
+    starts = np.flatnonzero(edges == 1)
+    if not len(starts):
+        return np.empty(0, np.uint64), np.zeros(len(held), "i8")
+    lengths = np.flatnonzero(edges == -1) - starts
+    first = np.cumsum(lengths) - lengths
+    letters = letters[inside]
+    place = np.arange(len(letters)) - np.repeat(first, lengths)
+    numbers = _BYTES[(place % _PLACES << 8) + letters]
+    late = np.flatnonzero(place >= _PLACES)
+    numbers[late] = _mix(numbers[late] + (place[late] // _PLACES).astype(np.uint64) * _M)
+    of_text = np.searchsorted(ends, starts, side="right")
+    return np.add.reduceat(numbers, first), np.bincount(of_text, minlength=len(held))
+
+
 def is_held_out(number: int | None) -> bool:
     """Decided by the crc32 of the id as text; a row without an id is training."""
     return number is not None and zlib.crc32(str(number).encode()) % 5 == 1
@@ -72,7 +99,7 @@ class _Distinct:
 
     def __init__(self, codes: np.ndarray, keys: np.ndarray):
         self.codes = codes
-        self.order = np.argsort(keys, kind="stable")
+        self.order = np.argsort(keys)
         self.keys = keys[self.order]
 
     def sent(self, weights: np.ndarray) -> np.ndarray:
@@ -94,23 +121,16 @@ class _Tokens:
     """
 
     def __init__(self, frame: pd.DataFrame, bits: int):
-        import xxhash
-
         self.bits = bits
-
         self.numbers = [None if n is pd.NA else int(n) for n in frame["id"].astype("Int64")]
-        codes: dict[bytes, int] = defaultdict(lambda: len(codes))
-        end = codes[b""]  # no word is empty
-        held, sizes = [], []
-        for text in frame["text"]:
-            words = words_of(text)
-            words.append(b"")
-            held.append(np.fromiter(map(codes.__getitem__, words), "i8", len(words)))
-            sizes.append(len(words))
-        assert end == 0
-        hashes = _mix(np.array([xxhash.xxh3_64_intdigest(w) for w in codes], np.uint64))
-        word = np.concatenate(held)
-        self.sizes = np.array(sizes, "i8")
+        hashed, counts = _word_hashes(list(frame["text"]))
+        self.sizes = counts + 1
+        ends = np.zeros(self.sizes.sum(), bool)
+        ends[np.cumsum(self.sizes) - 1] = True
+        all_words = np.full(len(ends), _END)
+        all_words[~ends] = hashed
+        word, found = pd.factorize(all_words)
+        hashes = _mix(found)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.held_out = np.array([is_held_out(n) for n in self.numbers], bool)
         self.training = np.repeat(~self.held_out, self.sizes)
@@ -141,9 +161,7 @@ class _Counts:
     """Training counts at each token: of it, with one and two before it, and of those."""
 
     def __init__(self, t: _Tokens, returned: pd.DataFrame, parts: int, least_count: int):
-        counts = returned[returned["kind"] == _COUNTS]
-        words = t.words.told(in_key_order(counts[counts["part"] < parts]))
-        pairs = t.pairs.told(in_key_order(counts[counts["part"] >= parts]))
+        words, pairs = (grams.told(found) for grams, found in zip((t.words, t.pairs), _answer(returned, "counts", parts)))
         self.word = words[t.words.codes]
         self.context1 = words[t.previous]
         self.pair, self.context2 = (
@@ -158,6 +176,16 @@ class _Counts:
         return (self.word + 0.5) / (tokens + 0.5 * (distinct + 1))
 
 
+def _answer(returned: pd.DataFrame, name: str, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """A bucket's totals of one exchange in the order of its keys: those of the ranges below
+    ``parts``, and the others."""
+    ranges, sums = returned[name].iloc[0], returned[f"{name}_sums"].iloc[0]
+    # Ranges come in order; a bucket without keys has no answer.
+    below = 0 if ranges is None else int(np.searchsorted(ranges, parts))
+    both = (sums[:below], sums[below:]) if ranges is not None else ((), ())
+    return tuple(np.concatenate([unpack_sums(s) for s in some]) if len(some) else np.empty(0, "i8") for some in both)
+
+
 def _root_of(returned: pd.DataFrame) -> tuple[int, int]:
     """Training tokens and distinct training words, which every returned row repeats."""
     return int(returned["tokens"].iloc[0]), int(returned["distinct"].iloc[0])
@@ -226,7 +254,7 @@ def _divergences(parts: int, bits: int, least_count: int, divergence: float, smo
         own = c.two & t.training
         shorter = (c.pair[own] - 1 + smoothing * base[own]) / (c.context1[own] - 1 + smoothing)
         triples = t.triples(c.two)
-        times = triples.told(in_key_order(returned[returned["kind"] == _TRIPLES]))[triples.codes]
+        times = triples.told(_answer(returned, "triples", parts)[0])[triples.codes]
         gain2 = np.zeros(len(own))
         gain2[own] = _gain(times[t.training[c.two]], c.context2[own], shorter, smoothing) - divergence
         bucket = int(texts["bucket"].iloc[0])
@@ -245,16 +273,16 @@ def _scored(parts: int, bits: int, least_count: int, smoothing: float):
         t = _Tokens(texts, bits)
         c = _Counts(t, returned, parts, least_count)
         base = c.root(returned)
-        gains = returned[returned["kind"] == _GAINS]
+        gains = _answer(returned, "gains", parts)
         triples = t.triples(c.two)
-        times = triples.told(in_key_order(returned[returned["kind"] == _TRIPLES]))[triples.codes]
+        times = triples.told(_answer(returned, "triples", parts)[0])[triples.codes]
         p = base.copy()
         ones, twos = _contexts(t, c)
-        for at, contexts, of, seen, which in (
-            (c.one, ones, c.context1, c.pair[c.one], gains["part"] < parts),
-            (c.two, twos, c.context2, times, gains["part"] >= parts),
+        for at, contexts, of, seen, gain in (
+            (c.one, ones, c.context1, c.pair[c.one], gains[0]),
+            (c.two, twos, c.context2, times, gains[1]),
         ):
-            kept = contexts.told(in_key_order(gains[which]))[contexts.codes] > 0
+            kept = contexts.told(gain)[contexts.codes] > 0
             places = np.flatnonzero(at)[kept]
             p[places] = (seen[kept] + smoothing * p[places]) / (of[places] + smoothing)
 
@@ -294,28 +322,30 @@ def suffix_tree_scores(
     ship_package(docs.sparkSession)
     buckets = bucket_count(docs, text_col)
     texts = bucketed(docs, buckets, id_col, text_col)
-    by_bucket = texts.groupBy("bucket")
+    by_bucket = texts.drop("key").groupBy("bucket")
     parts, bits = range_count(buckets), key_bits(buckets)
     sent = by_bucket.applyInPandas(_short_counts(parts, bits), PIECES)
     root = distinct_and_total(sent, parts)
 
-    def answers(*kinds: tuple[int, DataFrame]) -> GroupedData:
-        """Sums of all kinds by bucket, each row with the two numbers of the root."""
-        rows = [sums.select("bucket", "part", "sums", F.lit(kind).alias("kind")) for kind, sums in kinds]
-        return (
-            reduce(DataFrame.union, rows)
-            .withColumns({"tokens": root.select("total").scalar(), "distinct": root.select("distinct").scalar()})
-            .groupBy("bucket")
-        )
-
-    def gathered(function, *kinds: tuple[int, DataFrame], signs: bool = False) -> DataFrame:
-        return aligned_totals(by_bucket.cogroup(answers(*kinds)).applyInPandas(function, PIECES), signs)
-
-    counts = _COUNTS, aligned_totals(sent)
-    triples = _TRIPLES, gathered(_triple_counts(parts, bits, least_count), counts)
-    gains = _GAINS, gathered(
-        _divergences(parts, bits, least_count, divergence, smoothing), counts, triples, signs=True
-    )
-    return by_bucket.cogroup(answers(counts, triples, gains)).applyInPandas(
+    def answer(name: str, sums: DataFrame) -> DataFrame:
+        """A row per bucket: the ranges in order, and their sums. It is shuffled once, however
+        many passes read it."""
+        each = sums.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("part", "sums"))).alias("a"))
+        return each.select("bucket", F.col("a.part").alias(name), F.col("a.sums").alias(f"{name}_sums"))
+
+    def with_root(answers: DataFrame) -> GroupedData:
+        """Answers by bucket, each row with the two numbers of the root."""
+        return answers.withColumns(
+            {"tokens": root.select("total").scalar(), "distinct": root.select("distinct").scalar()}
+        ).groupBy("bucket")
+
+    def gathered(function, answers: DataFrame, signs: bool = False) -> DataFrame:
+        return aligned_totals(by_bucket.cogroup(with_root(answers)).applyInPandas(function, PIECES), signs)
+
+    # Every bucket has words, but not always frequent contexts.
+    counts = answer("counts", aligned_totals(sent))
+    triples = counts.join(answer("triples", gathered(_triple_counts(parts, bits, least_count), counts)), "bucket", "left")
+    gains = gathered(_divergences(parts, bits, least_count, divergence, smoothing), triples, signs=True)
+    return by_bucket.cogroup(with_root(triples.join(answer("gains", gains), "bucket", "left"))).applyInPandas(
         _scored(parts, bits, least_count, smoothing), SCORES
     )
