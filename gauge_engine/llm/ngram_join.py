@@ -13,7 +13,8 @@ components then grow, and what one component holds is never compared again. Sets
 that are still apart after the rounds are paired without exception, so the result is
 exact; rounds only decide how few comparisons that takes. Before a pair is compared in
 full, a bitmap of each set, one bit per hash value telling whether an odd number of
-shingles has it, bounds from below in how many shingles the two differ.
+shingles has it, bounds from below in how many shingles the two differ; and it is made at
+the first shingle the two have in common, not at each of them.
 """
 
 from __future__ import annotations
@@ -166,6 +167,27 @@ def _few_differences(a: str, b: str, percent: int) -> Column:
     return (100 + percent) * sum(bits[1:], bits[0]) <= (100 - percent) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
+def _met_once(apart: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: pairs of sets of two components that share a token and pass the filters.
+
+    ``apart`` has a row per token and set. Two sets share most of their tokens if they share
+    any, so a pair is made only by the first one: no token before it is in both prefixes.
+    The filters hold at every shared token, so none is lost by that.
+    """
+    placed = apart.withColumn("earlier", F.slice("prefix", F.lit(1), F.col("i"))).drop("prefix")
+    return (
+        placed.alias("x")
+        .join(placed.alias("y"), "token")
+        .where(
+            (F.col("x.component") < F.col("y.component"))
+            & _few_differences("x", "y", percent)
+            & _can_match("x", "y", percent)
+            & ~F.arrays_overlap("x.earlier", "y.earlier")
+        )
+        .select(F.col("x.set_key").alias("a"), F.col("y.set_key").alias("b"))
+    )
+
+
 def ngram_components(
     docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
@@ -257,18 +279,9 @@ def ngram_components(
             apart = (
                 tokens.join(hub.select("token"), "token", "left_semi")
                 .join(parted, "gid")
-                .join(sets.select("set_key", "bitmap"), "set_key")
-            )
-            pairs = (
-                apart.alias("x")
-                .join(apart.alias("y"), "token")
-                .where(
-                    (F.col("x.component") < F.col("y.component"))
-                    & _few_differences("x", "y", percent)
-                    & _can_match("x", "y", percent)
-                )
-                .select(F.col("x.set_key").alias("a"), F.col("y.set_key").alias("b"))
+                .join(sets.select("set_key", "bitmap", "prefix"), "set_key")
             )
+            pairs = _met_once(apart, percent)
         links.append(materialize(_links(pairs.distinct(), members, percent), "links"))
 
     found = connected_components(reduce(DataFrame.union, links), "a", "b")
