@@ -128,6 +128,32 @@ def test_refit_uses_the_chosen_rounds(train):
     assert fit_then_refit(marked, "is_validation", QUICK, use_best_rounds=False).getNumTrees == QUICK.rounds
 
 
+@pytest.mark.parametrize("sorted_rows", [10_000, 1_000_000])
+def test_rounds_are_scored_on_every_held_out_row(spark, monkeypatch, sorted_rows):
+    monkeypatch.setattr(models, "SORTED_ROWS", sorted_rows)
+    n = 200_500
+    rows = spark.range(n).select(
+        F.array(((F.col("id") * 7919) % 10_007).cast("double")).alias("x"), ((F.col("id") * 104_729) % 1009 < F.col("id") / 400).cast("int").alias("y")
+    )
+    model = fit_boosting(rows.limit(2000), QUICK)
+    got = models.round_metrics(model, rows).orderBy("iter").toPandas()
+    scored = score_windows(model, rows).select("y", "y_prob").toPandas()
+    loss = -np.log(np.where(scored.y == 1, scored.y_prob, 1 - scored.y_prob)).mean()
+    by_prob = scored.groupby("y_prob").y.agg(["sum", "size"])
+    neg = by_prob["size"] - by_prob["sum"]
+    wins = (by_prob["sum"] * (neg.cumsum() - neg / 2)).sum()
+    assert list(got.iter) == [0, 1] and len(scored) == n
+    assert got.Logloss[1] == pytest.approx(loss, rel=1e-9)
+    assert got.AUC[1] == pytest.approx(wins / (by_prob["sum"].sum() * neg.sum()), rel=1e-12)
+
+
+def test_rounds_of_one_class_or_no_rows(spark):
+    rows = spark.range(40).select(F.array(F.col("id").cast("double")).alias("x"), (F.col("id") > 20).cast("int").alias("y"))
+    model = fit_boosting(rows, QUICK)
+    assert [r.AUC for r in models.round_metrics(model, rows.where("y = 0")).collect()] == [0.5, 0.5]
+    assert models.round_metrics(model, rows.limit(0)).count() == 0
+
+
 def test_forecast_answers_every_id(spark, train, test, tmp_path):
     index = index_with_ids(daily_slim(test, S), S)
     got = forecast(train, test, index, S, settings=QUICK, stds=0.5, bundle_path=str(tmp_path / "m")).collect()
